@@ -1,0 +1,208 @@
+"""Near-duplicates, top-k, archives, url rules and the pipeline against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from signalmill.llm import common, simhash, topk, url_rules, warc
+
+
+def brute_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    runs = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(ids, fps, radius):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in zip(ids, fps):
+        for j, b in zip(ids, fps):
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_fingerprints():
+    for text in [None, "", " \t", "one", "One two", "a b c", "a b c a b c", "é\u00a0x y\x0bz " * 50]:
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bk_tree(seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    values = list(dict.fromkeys(b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) for b in base for _ in range(12)))
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for v in values[:40]:
+        assert sorted(values[k] for k in tree.within(v, 2)) == sorted(x for x in values if (x ^ v).bit_count() <= 2)
+    want = components(range(len(values)), values, 2)
+    got = {k: min(g) for g in simhash.shard_groups(values, 2) for k in g}
+    assert all(got.get(k, k) == want[k] for k in want)
+
+
+def test_near_duplicates(spark, monkeypatch):
+    rng = random.Random(5)
+    voc = [f"w{k}" for k in range(400)]
+    texts = [None, "", " "]
+    for _ in range(12):
+        long = [rng.choice(voc) for _ in range(rng.choice([5, 60, 900]))]
+        texts += [" ".join(long)] * rng.randint(1, 4)
+        texts += [" ".join(long[:-1] + [rng.choice(voc)]) for _ in range(rng.randrange(5))]
+    rows = [(k, t, "x") for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    want = components([k for k, *_ in rows], [brute_fingerprint(t) for _, t, _ in rows], 2)
+    for limit in (simhash.SHARD_LIMIT, 1):  # 1: every shard is dealt again by finer blocks
+        monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)
+        got = simhash.near_duplicates(df).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
+        assert all(r["fingerprint"] == f"{brute_fingerprint(dict((k, t) for k, t, _ in rows)[r['doc_id']]):016x}" for r in got)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_edges(spark):
+    df = spark.createDataFrame([(3, "a b c"), (3, "a b c"), (5, "A B c"), (None, "a b c"), (9, None)], "doc_id long, text string")
+    got = sorted(map(tuple, simhash.near_duplicates(df).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(3, 3), (3, 3), (5, 3), (None, None), (9, 9)], key=str)
+    assert sorted(map(str, (r["doc_id"] for r in simhash.keep_first(df).collect()))) == ["3", "9", "None"]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    n = 300
+    links = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(1001, 1000), (1001, 1000)], "node long, root long")
+    got = {r["node"]: r["root"] for r in simhash.connected(spark, links).collect()}
+    assert got == {**{k: 0 for k in range(1, n + 1)}, 1001: 1000}
+
+
+def brute_topk(rows, k=5):
+    ok = [(i, np.floor(256 * np.array(v, dtype=float)).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, v in {i: v for i, v in ok if i % 50 == 0}.items():
+        hits = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(hits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cells", [64 * 8, 1 << 19])
+def test_topk(spark, monkeypatch, cells):
+    monkeypatch.setattr(topk, "TILE_CELLS", cells)
+    monkeypatch.setattr(topk, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(topk, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(topk, "FAN_IN", 2)
+    rng = random.Random(7)
+    rows = [(k, [round(rng.uniform(-1, 1), 1) for _ in range(3)], "x") for k in range(700)]
+    rows += [(900 + k, [0.5, 0.5, 0.5], "x") for k in range(30)] + [(2000, None, "x"), (2050, [0.1, None, 0.2], "x"), (2100, [0.1, float("nan"), 0.2], "x"), (None, [1.0, 1.0, 1.0], "x"), (2150, [1e300, 1.0, 1.0], "x"), (2200, [1.0], "x"), (2201, [], "x"), (2250, [], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect()))
+    clip = 2**63 - 1
+    want = [(q, r, v, max(-clip, min(clip, s))) for q, r, v, s in brute_topk([r[:2] for r in rows])]
+    plain = lambda xs: [x for x in xs if abs(x[3]) < clip]
+    assert plain(got) == plain(want)
+    assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_warc(spark):
+    big, rows = "é" * 600, []
+    for k, html in enumerate([None, "", "small", "small", big, big, big + "x", big]):
+        rows.append((k, f"http://a/{k}\r\nX: y" if k % 2 else None, html, "extra"))
+    rows.append((7, "http://a/7", big, "extra"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, size string")
+    path = common.scratch(spark, "warc-test")
+    warc.write_archive(df, path)
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.checked_records(spark, path).collect())
+    assert got == sorted([(0, 0, "response", None), (1, 0, "response", None), (2, 5, "response", None), (3, 5, "response", None), (4, 1200, "revisit", 7), (5, 1200, "revisit", 7), (6, 1201, "response", None), (7, 1200, "response", None), (7, 1200, "response", None)])
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    restored = warc.restore(spark, path)
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in restored.collect()} == {(k, h or "") for k, _, h, _ in rows}
+    for r in warc.warc_bytes(restored).collect():
+        head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        assert len(body) == int(fields[b"Content-Length"]) + 4 and body.startswith(b"HTTP/1.1 200 OK\r\n")
+    empty = common.scratch(spark, "warc-empty")
+    warc.write_archive(df.limit(0), empty)
+    assert warc.checked_records(spark, empty).count() == 0
+
+
+def test_url_rules(spark):
+    R = url_rules.Rule
+    rules = [R("allow", "com", "/"), R("block", "example.com", "/en/"), R("allow", "www.example.com", "/en/"), R("block", "net", "/es/"), R("block", "example.com", "/en/deep"), R("allow", "example.com", "/en/deep"), R("block", "a-b.net", "/")]
+    hosts, paths = ["com", "net", "example.com", "www.example.com", "xexample.com", "a.b.example.com", "a-b.net", "b.net", ".com", "com.", "EXAMPLE.com", "é.com"], ["", "/", "/en/", "/en/x", "/en/deep/1", "/es/", "/EN/"]
+    urls = [f"http://{h}{p}{t}" for h in hosts for p in paths for t in ("", "?q=/en/", "#/es/")] + [None, "", "com/", "://", "a://b://c/", "http:///en/"]
+
+    def judge(u):
+        if u is None or "://" not in u:
+            return "", "", None, "block"
+        rest = u.split("://", 1)[1]
+        n = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:n], rest[n:]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = min(fit, key=lambda r: (-len(r.name), r.verdict != "block"), default=None)
+        return host, path, best and best.name, best.verdict if best else "allow" if host else "block"
+
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls * 2)], "page_id long, url string, host string")
+    for buckets in (url_rules.MOST_BUCKETS, 2):
+        url_rules.MOST_BUCKETS, before = buckets, url_rules.MOST_BUCKETS
+        got = url_rules.judge(df, rules).collect()
+        url_rules.MOST_BUCKETS = before
+        assert len(got) == 2 * len(urls)
+        assert all((r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]) for r in got)
+    assert url_rules.judge(df.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_rules.judge(df, []).collect()} == {"allow", "block"}
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.materialise(spark, stage(spark, before, sf_dir), name)
+        ids = lambda d: {r[0] for r in d.select("doc_id").collect()}
+        if name == "language_id":
+            assert ids(after) == {r[0] for r in before.where(before.text.rlike(r"\p{L}")).select("doc_id").collect()}
+        elif name == "simhash_near_dedup":
+            rows = before.select("doc_id", "text").collect()
+            assert ids(after) == set(components([r[0] for r in rows], [brute_fingerprint(r[1]) for r in rows], 2).values())
+        elif name == "benchmark_decontamination":
+            from tests.llm.test_text_operators import brute_passages
+
+            items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            assert ids(after) == {r["doc_id"] for r in before.collect() if not brute_passages(items, r["text"], 10)[1]}
+        elif name == "secret_scan":
+            from tests.llm.test_text_operators import brute_secrets
+
+            assert ids(after) == ids(before) and not any(brute_secrets(r["text"]) for r in after.collect())
+        if name != "byte_bpe":
+            assert after.columns == columns
+        before = after
+    assert before.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    rows = [(1, None, None, "s", None, "x"), (2, "", "en", "s", 0, "x"), (3, "A text, of words.", "en", None, 17, "x"), (3, "A text, of words.", "en", None, 17, "x"), (4, "123", "en", "s", 3, "x"), (None, "Other words here", "en", "s", 16, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["3", "None"] and all(r["n_tokens"] > 0 for r in out)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
