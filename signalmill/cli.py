@@ -1,4 +1,4 @@
-"""Commands: run, signals, audit, pii, tick, report, search, expand."""
+"""Commands: run, signals, audit, pii, ner, sentiment, evaluate, tick, report, search, expand."""
 
 from __future__ import annotations
 
@@ -30,8 +30,9 @@ def parser() -> argparse.ArgumentParser:
     signals.add_argument("--chi2", type=float, default=4.0)
     audit = sub.add_parser("audit", help="verify the audit log; status 2 if it is broken")
     audit.add_argument("--tail", type=int, default=0)
-    pii = sub.add_parser("pii", help="personal data in texts given as arguments")
-    pii.add_argument("text", nargs="+")
+    for name, what in (("pii", "personal data"), ("ner", "drugs, symptoms and pairs"), ("sentiment", "the sentiment")):
+        sub.add_parser(name, help=f"{what} of texts given as arguments").add_argument("text", nargs="+")
+    sub.add_parser("evaluate", help="recall of the personal-data detectors on made-up posts").add_argument("-n", type=int, default=500)
     sub.add_parser("tick", help="run what is due")
     report = sub.add_parser("report", help="print one of the reports")
     report.add_argument("name", choices=["kpis", "health", "projects", "signals", "recent", "compliance", "log", "activity", "about"])
@@ -45,10 +46,16 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=2, default=str))
-    if args.command == "pii":
-        from .functions.extract import pii_hits, redact
+    if args.command in ("pii", "ner", "sentiment"):
+        from .functions.extract import entities, pii_hits, redact, sentiment
 
-        show([{"redacted": redact(t), "hits": pii_hits(t)} for t in args.text])
+        of = {"pii": lambda t: {"redacted": redact(t), "hits": pii_hits(t)}, "ner": entities, "sentiment": sentiment}[args.command]
+        show([of(t) for t in args.text])
+        return 0
+    if args.command == "evaluate":
+        from .functions.evaluate import posts, recall
+
+        show([r.asDict() for r in recall(posts(_session(), args.n)).collect()])
         return 0
     if args.command == "expand":
         from .functions.keywords import expand_layered

@@ -98,6 +98,20 @@ def test_personal_data():
     assert extract.redact(None) is None and extract.pii_hits("word " * 20_000) == []
 
 
+def test_recall_of_detectors(spark):
+    from signalmill.functions.evaluate import posts, recall
+
+    got = {r["type"]: r["recall"] for r in recall(posts(spark, 60)).collect()}
+    assert len(got) == 6 and all(v >= 0.95 for v in got.values())
+
+
+def test_commands(capsys):
+    from signalmill import cli
+
+    assert cli.main(["pii", "PAN ABCDE1234F"]) == 0 and "<PAN>" in capsys.readouterr().out
+    assert cli.main(["ner", "Crocin and rash"]) == cli.main(["sentiment", "fine"]) == cli.main(["expand", "crocin"]) == 0
+
+
 def test_content_hash(spark):
     rows = spark.createDataFrame([("A  b\nC",), ("a b c",), (" a b c ",), (None,)], "t string").select(text.content_hash(F.col("t"))).collect()
     assert rows[0] == rows[1] == rows[2] and rows[3][0] is None
