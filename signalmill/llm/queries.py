@@ -87,10 +87,34 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _secret_sql() -> str:
+    """Letters of the assignment's names in either case are spelled out, as (?i) has more letters in SQL's engine."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    either = lambda name: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+    value = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    assign = "(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + value
+    table = "[" + ", ".join(map(str, secrets.ratios())) + "]"
+    kinds = [(kind, assign if kind == "assign" else pattern, group, least) for kind, pattern, group, least in secrets.PATTERNS] + [(secrets.MARKOV, secrets.CANDIDATE, 0, 0)]
+    found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {k} AS ord, {least} AS least, regexp_extract_all(t, {quote(p)}) AS hits, regexp_extract_all(t, {quote(p)}, {g}) AS vals, string_split_regex(t, {quote(p)}) AS gaps FROM d" for k, (kind, p, g, least) in enumerate(kinds))
+    sums = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    place = f"strpos('{secrets.ALPHABET}', h[{{}}])"
+    ratio = f"list_sum(list_transform(generate_series(1, length(h)), lambda p: r[{secrets.SIDE} * CASE WHEN p = 1 THEN 0 ELSE {place.format('p - 1')} END + {place.format('p')} + 1]))"
+    said = "kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}), lr AS (SELECT {table} AS r),
+e AS (SELECT doc_id, kind, ord, least, hits, vals, gaps, unnest(generate_series(1, len(hits))) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT doc_id, kind, ord, least, CAST({sums("gaps[1:i]")} + {sums("hits[1:i - 1]")} AS BIGINT) AS a, hits[i] AS h, vals[i] AS v FROM e),
+f AS (SELECT doc_id, kind, ord, a, a + length(h) AS b FROM s, lr WHERE CASE WHEN kind <> '{secrets.MARKOV}' THEN length(v) >= least ELSE regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]') AND {ratio} > {secrets.MARGIN} * length(h) END),
+g AS (SELECT * FROM f WHERE kind <> '{secrets.MARKOV}' OR NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind <> '{secrets.MARKOV}' AND o.a < f.b AND f.a < o.b)),
+n AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.PATTERNS)}, string_agg({said}, ',' ORDER BY a, ord) FILTER (kind <> '{secrets.MARKOV}') AS base, string_agg({said}, ',' ORDER BY a, ord) AS spans FROM g GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in secrets.PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n ON d.doc_id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL expresses; the others are tested against brute force, a library or held-out rows."""
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.name}', '{r.verdict}')" for r in URL_RULES)
     return {
+        "op10_secret_scan": _secret_sql(),
         "op2_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
