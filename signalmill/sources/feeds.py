@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,8 +132,6 @@ def comment_column(most: int = 100):
     """Column function of (post id, JSON of the thread's comment listing)."""
     import json
 
-    import pandas as pd
-
     @F.pandas_udf(COMMENT)
     def flat(post: pd.Series, thread: pd.Series) -> pd.Series:
         return pd.Series([[{**c, "created_utc": float(c["created_utc"])} for c in comments(json.loads(t), p, most)] if t else [] for p, t in zip(post, thread)])

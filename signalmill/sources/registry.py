@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ Reader = Callable[[SparkSession, dict, F.Column], DataFrame]
 
 def _fetched(spark: SparkSession, urls: list[str]) -> DataFrame:
     """(page_id, url, html): configuration-sized lists of pages, fetched where they are read."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def load(url: pd.Series) -> pd.Series:
         return url.map(lambda u: (lambda r: r.text if r.ok else None)(api.fetch(u)))
@@ -41,8 +40,6 @@ def _listing(spark, p, now) -> DataFrame:
 
 
 def _items(spark, p, now, hashed) -> DataFrame:
-    import pandas as pd
-
     keys = {"listing": p.get("list_selector", "article"), "title": p.get("title_selector"), "body": p.get("body_selector"), "link": p.get("link_selector"), "date": p.get("date_selector"), "most": int(p.get("max_items", 100 if hashed else 10)), "hashed": hashed}
 
     @F.pandas_udf("array<struct<external_id:string,url:string,text:string,date:string>>")

@@ -256,6 +256,12 @@ def test_comments_breadth_first():
     assert [c["text"] for c in feeds.comments(tree, "p")] == list("abcde") and len(feeds.comments(tree, "p", 3)) == 3
 
 
+def test_comment_column(spark):
+    thread = json.dumps({"data": {"children": [{"kind": "t1", "data": {"id": "a", "body": "b", "created_utc": 5}}]}})
+    got = spark.createDataFrame([("p", thread), ("q", None)], "post string, thread string").select(feeds.comment_column()("post", "thread").alias("c")).collect()
+    assert [[c["external_id"] for c in r["c"]] for r in got] == [["reddit:p:c:a"], []]
+
+
 def test_depths(spark):
     edges = spark.createDataFrame([("p", None), ("a", "p"), ("b", "a"), ("c", "b"), ("lost", "gone")], "id string, up string")
     assert {r["id"]: r["depth"] for r in threads.depths(edges, "id", "up").collect()} == {"p": 0, "a": 1, "b": 2, "c": 3}
@@ -271,6 +277,27 @@ def test_html():
     assert [(r["url"], r["text"]) for r in rows] == [("http://h/l", "A\n\nB")] and len(html.items("http://h/", "<div class='c'></div>", ".c", hashed=False)) == 1
 
 
+def test_registry(spark, tmp_path):
+    from signalmill.errors import ConnectorError
+    from signalmill.project import SourceConfig
+
+    body = "words of a block, " * 8
+    (tmp_path / "seed.html").write_text(f"<a href='a.html'>a</a><a href='b.html'>b</a><a href='http://other/c.html'>c</a>")
+    for name in "ab":
+        (tmp_path / f"{name}.html").write_text(f"<title>{name}</title><nav>{body}</nav><p>{name} {body}</p><p>short</p><div class=i><h2>T{name}</h2><a href=x>l</a></div>")
+    now, at = F.lit(NOW), f"file://{tmp_path}"
+    get = lambda connector, **params: registry.read(spark, SourceConfig("s", connector, params), now)
+    rows = get("crawler", url=f"{at}/seed.html", link_pattern="[ab].html$").collect()
+    assert sorted(r["text"][:5] for r in rows) == ["a\n\na ", "b\n\nb "] and all(r["posted_at"] == NOW.replace(tzinfo=None) for r in rows)
+    assert [r["external_id"] for r in get("html", url=f"{at}/a.html").collect()] == [r["external_id"] for r in rows if r["text"].startswith("a")]
+    assert get("html_stealth", url=f"{at}/a.html", list_selector="div.i", title_selector="h2").first()["text"] == "Ta"
+    assert get("generic_html", url=f"{at}/a.html", list_selector="div.i", title_selector="h2").first()["external_id"] == f"html:{at}/a.html#0"
+    assert get("html", urls=[f"{at}/missing.html"]).count() == 0
+    for unknown in ("synthetic", "nothing"):
+        with pytest.raises(ConnectorError):
+            get(unknown)
+
+
 def test_ladder():
     def missing(url, timeout):
         raise ImportError
