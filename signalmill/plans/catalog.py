@@ -503,3 +503,74 @@ def project_counts(spark, sf_dir):
 def recent_signals(spark, sf_dir):
     new = F.col("o_orderdate") >= F.lit("1998-08-01").cast("timestamp_ntz")
     return _t(spark, sf_dir, "orders").where("o_totalprice >= 1000").orderBy(F.desc("o_orderdate"), F.desc("o_totalprice"), "o_orderkey").limit(6).select("o_custkey", "o_orderkey", "o_totalprice", new.alias("is_new"))
+
+
+# --- further joins, totals and projections ---
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 280), 'tion', '<REDACTED_DRUG>', 'gi'), 'ent', '<u>\0</u>', 'gi') AS snippet FROM documents""")
+def evidence_highlight(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.highlight(F.col("text"), F.lit("tion"), F.lit("ent")).alias("snippet"))
+
+
+@query(f"""WITH h AS (SELECT source, doc_id, contains(lower(text), 'tion') AS hit, row_number() OVER (PARTITION BY {_HASH} ORDER BY doc_id) = 1 AS first FROM documents)
+SELECT source, count(*) AS fetched, count(*) FILTER (hit) AS matched, count(*) FILTER (first) AS inserted, count(*) - count(*) FILTER (first) AS duplicates FROM h GROUP BY source""")
+def ingest_totals(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", (F.size(text.keyword_hits(F.col("text"), ["tion"])) > 0).alias("hit"), text.content_hash(F.col("text")).alias("content_hash"))
+    fetched = docs.groupBy("source").agg(F.count("*").alias("fetched"), F.count_if("hit").alias("matched"))
+    inserted = changes.first_writers(docs.drop("hit"), "content_hash", ["doc_id"]).groupBy("source").agg(F.count("*").alias("inserted"))
+    both = fetched.join(inserted, "source", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0).cast("long")))
+    return both.withColumn("duplicates", F.col("fetched") - F.col("inserted"))
+
+
+@query("""SELECT c_custkey, greatest(TIMESTAMP '1998-07-01', coalesce(max(o_orderdate), TIMESTAMP '1998-07-01')) AS since FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def effective_since(spark, sf_dir):
+    marks = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("mark"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(marks, "c_custkey", "left").select("c_custkey", F.greatest(F.lit("1998-07-01").cast("timestamp_ntz"), F.col("mark").cast("timestamp_ntz")).alias("since"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS total, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type")
+def payload_fields(spark, sf_dir):
+    k = F.from_json("props", "k long")["k"]
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.coalesce(k, F.lit(0))).alias("total"), F.max(k).alias("most"))
+
+
+@query("""SELECT n_nationkey, n_name, count(DISTINCT c_custkey) AS sources, count(o_orderkey) AS records, max(o_orderdate) AS last_run FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_name""")
+def project_summary(spark, sf_dir):
+    per = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
+    own = _t(spark, sf_dir, "customer").join(per, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("sources"), F.sum("n").alias("records"), F.max("last").alias("last_run"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(own, "n_nationkey", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("sources", "records")})
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey <> 3 AND s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'changed' ELSE s_name END FROM supplier WHERE s_nationkey = 3 AND s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'changed' FROM supplier WHERE s_nationkey <> 3 AND s_suppkey % 5 = 0""")
+def sync_sources(spark, sf_dir):
+    target = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    new = target.where("s_suppkey % 5 = 0").withColumn("s_name", F.lit("changed"))
+    return changes.without_missing(changes.upsert(target, new, ["s_suppkey"]), target.where("s_suppkey % 2 = 0").select("s_suppkey"), ["s_suppkey"], F.col("s_nationkey") == 3).drop("s_nationkey")
+
+
+@query("SELECT n_regionkey, min(o_orderdate) AS window_since, max(o_orderdate) AS window_until, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+def window_bounds(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_regionkey").agg(F.min("o_orderdate").alias("window_since"), F.max("o_orderdate").alias("window_until"), F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, coalesce(nullif(role, 'user'), CASE WHEN contains(text, '?') THEN 'question' ELSE 'statement' END) AS label FROM conversations")
+def label_fallback(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("user")), F.when(F.contains("text", F.lit("?")), "question").otherwise("statement")).alias("label"))
+
+
+@query("""SELECT l_returnflag, s_nationkey, count(*) AS n, max(l_shipdate) AS last_run, CAST(round(100 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS pct, CAST(round(100 * count(*) / max(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS bar_pct
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_returnflag, s_nationkey""")
+def contributing_sources(spark, sf_dir):
+    evidence = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part").where("p_size > 25"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    rows = evidence.join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    last = rows.groupBy("l_returnflag", "s_nationkey").agg(F.max("l_shipdate").alias("last_run"))
+    return timeline.shares(rows, "s_nationkey", of=("l_returnflag",)).join(last, ["l_returnflag", "s_nationkey"])
+
+
+@query("SELECT lower(trim(w)) AS keyword, min(item_id) AS first_item, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(trim(w)) > 2 GROUP BY 1")
+def keyword_union(spark, sf_dir):
+    words = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length(F.trim("w")) > 2)
+    return words.groupBy(F.lower(F.trim("w")).alias("keyword")).agg(F.min("item_id").alias("first_item"), F.count("*").alias("n"))
