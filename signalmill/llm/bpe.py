@@ -195,7 +195,7 @@ class Pieces(dict):
     common prefixes of up to `shared` bytes. Bounded: whichever of the three tables is full is
     emptied; long pieces aren't held."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000, longest: int = 48, shared: int = 8, prefix_limit: int = 300_000, pair_limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000, longest: int = 48, shared: int = 8, prefix_limit: int = 200_000, pair_limit: int = 400_000):
         self.vocabulary, self.limit, self.longest, self.shared, self.prefix_limit, self.pair_limit = vocabulary, limit, longest, shared, prefix_limit, pair_limit
         self.prefixes: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}

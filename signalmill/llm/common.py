@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -73,6 +74,7 @@ def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataTyp
     """df with further columns. make() is called once a task and returns a function from the lists
     of values of `columns` to lists of values of the added columns; batches stay Arrow otherwise."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     fields = [T.StructField(n, t) for n, t in added]
     schema = T.StructType([*df.schema.fields, *fields])
     from pyspark.sql.pandas.types import to_arrow_type
@@ -90,8 +92,16 @@ def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataTyp
     return df.mapInArrow(run, schema)
 
 
-#: Bytes of a batch that are turned into Python objects at once.
-SLICE_BYTES = 16 << 20
+#: Bytes of a batch that are turned into Python objects at once; bytes of a batch that the JVM and a worker both hold.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts are bounded by bytes, not by rows only: long texts would else fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(re.sub(r"\D", "", spark.conf.get(key) or "") or 0)
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

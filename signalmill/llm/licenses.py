@@ -124,6 +124,7 @@ def scan(index: Index, text: str | None) -> tuple:
 def word_frequencies(df: DataFrame, vocabulary: set[bytes], text: str = "text") -> tuple[dict[bytes, int], int]:
     """In how many rows each word stands, and the number of rows: over all rows, summed where they are read."""
     common.ship(df.sparkSession)
+    common.bound_batches(df.sparkSession)
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(batches):
