@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,14 +99,14 @@ def fit(samples: list[tuple[str, np.ndarray]], features: int, landmarks: int, ri
 
 
 #: The bounds of what is learnt from: rows of a language, rows in all, landmarks of a language, n-grams.
-PER_LANGUAGE, MOST_ROWS, LANDMARKS, FEATURES, RIDGE = 400, 20_000, 48, 8192, 0.5
+PER_LANGUAGE, MOST_ROWS, LANDMARKS, FEATURES, RIDGE = 400, 4_000, 48, 8192, 0.5
 
 
 def learn(df: DataFrame, where, text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE) -> Model | None:
     """A model of the rows of df that `where` picks and that have a text with a letter and a non-null language. Of each
-    language at most `per_language` rows, those with the smallest hashes of `order`, and `most_rows` in all. None without rows."""
+    language at most `per_language` rows, those with the smallest hashes of `order` and text, and `most_rows` in all. None without rows."""
     common.ship(df.sparkSession)
-    rows = df.where(where & df[lang].isNotNull() & df[text].isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(order).alias("h"))
+    rows = df.where(where & df[lang].isNotNull() & df[text].isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(order, text).alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()
     if not counts:
         return None
@@ -114,17 +114,11 @@ def learn(df: DataFrame, where, text: str = "text", lang: str = "lang", order: s
     # A hash bound that leaves about twice as many; ranking then takes a few rows of each language.
     bound = {r["lang"]: min(2**63 - 1, (2**63 - 1) * (2 * each + 40) // r["count"]) for r in counts}
     limits = df.sparkSession.createDataFrame(list(bound.items()), "lang string, bound long")
-    near = rows.join(F.broadcast(limits), "lang").where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound")).drop("bound")
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.LongType()), T.StructField("codes", T.BinaryType())])
-
-    def work(columns):
-        return [[distinct_codes(t).tobytes() if _LETTER(t) else None for t in columns[0]]]
-
-    packed = common.map_rows(near, ["text"], [("codes", T.BinaryType())], lambda: work).select(*schema.names).where("codes IS NOT NULL")
-    got: dict[str, list] = {}
-    for r in packed.orderBy("h", "codes").limit(4 * most_rows).collect():
-        got.setdefault(r["lang"], []).append(np.frombuffer(r["codes"], dtype="<i4"))
-    return fit([(k, c) for k in sorted(got) for c in got[k][:each]], features, landmarks, ridge)
+    near = rows.join(F.broadcast(limits), "lang").where((F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound")) & F.col("text").rlike(r"\p{L}"))
+    few = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= each)
+    packed = common.map_rows(few.select("lang", "nth", "text"), ["text"], [("codes", T.BinaryType())], lambda: lambda columns: [[distinct_codes(t).tobytes() for t in columns[0]]])
+    got = packed.select("lang", "nth", "codes").collect()  # most_rows rows, each of the n-grams of a text
+    return fit([(r["lang"], np.frombuffer(r["codes"], dtype="<i4")) for r in sorted(got, key=lambda r: (r["lang"], r["nth"]))], features, landmarks, ridge)
 
 
 #: Texts of one matrix product.
