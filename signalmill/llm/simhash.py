@@ -259,7 +259,8 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     (times,) = common.fresh(df, "_times")
     kept = common.materialise(df.sparkSession, kept.withColumnRenamed("n", times), "simhash-kept")
-    rows = df.join(kept, df[doc_id].cast("long") == kept["doc_id"], "inner").drop(kept["doc_id"])
+    # The same join at every size; hashing the ids, so that texts needn't be sorted.
+    rows = df.join(kept.hint("shuffle_hash"), df[doc_id].cast("long") == kept["doc_id"], "inner").drop(kept["doc_id"])
     once = rows.where(F.col(times) == 1).drop(times)
     if not kept.where(F.col(times) > 1).isEmpty():
         once = once.unionByName(rows.where(F.col(times) > 1).drop(times).dropDuplicates([doc_id]))
