@@ -65,8 +65,9 @@ def has_trigger(text: Column) -> Column:
 
 
 def pairs(a: Column, b: Column) -> Column:
-    """Each distinct combination of two arrays, of one record."""
-    return F.array_distinct(F.flatten(F.transform(a, lambda d: F.transform(b, lambda e: F.struct(d.alias("drug"), e.alias("event"))))))
+    """Each distinct combination of two arrays, of one record. b is bound first: in a lambda it would be computed for each element of a."""
+    combined = lambda y: F.flatten(F.transform(F.array_distinct(a), lambda d: F.transform(y, lambda e: F.struct(d.alias("drug"), e.alias("event")))))
+    return F.element_at(F.transform(F.array(F.array_distinct(b)), combined), 1)
 
 
 def count_terms(text: Column, terms: Iterable[str]) -> Column:
