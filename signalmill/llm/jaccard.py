@@ -1,0 +1,252 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two sets that are at least LEAST alike share one of the first n - ceil(LEAST n) + 1 of their shingles in any common order of all
+shingles (prefix filter), so every link lies in the group of a shingle. Common shingles come last in that order, by a sample;
+the sample decides the cost only. Parity sketches bound the difference of two sets from below and sort out most pairs;
+the rest is compared shingle by shingle. Links of neighbours come first, then those between different components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import common, simhash
+
+#: Words of a shingle; the least similarity, as numerator and denominator.
+SHINGLE, LEAST = 5, (4, 5)
+#: Texts that are sampled for common shingles; texts of those that make one common; common ones that are told apart.
+SAMPLE, COMMON, MOST_COMMON = 8_000, 8, 50_000
+#: Rows of the smaller side up to which a join is a broadcast.
+SMALL = 200_000
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words (of all, where there are fewer), lower-cased and split as by simhash.fingerprint."""
+    w = (text or "").encode("utf-8").lower().split()
+    if not w:
+        return np.empty(0, dtype="<u8")
+    runs = map(b" ".join, zip(*(w[k:] for k in range(size)))) if len(w) > size else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), dtype="<u8"))
+
+
+def alike(a: int, b: int, both: int) -> bool:
+    """Whether sets of a and b shingles with `both` in common reach LEAST."""
+    return LEAST[1] * both >= LEAST[0] * (a + b - both)
+
+
+def sketch(codes: np.ndarray) -> bytes:
+    """For each of a power of two of bits, at least two a shingle, the parity of the shingles that fall on it."""
+    bits = max(64, 1 << (2 * len(codes) - 1).bit_length())
+    odd = np.bincount((codes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(own: bytes, length: int) -> np.ndarray:
+    """The sketch as it is with fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(own, dtype="<u8").reshape(-1, length // 8), axis=0)
+
+
+def may_be_alike(n: int, own: bytes, m: int, other: bytes) -> bool:
+    """False only of sets below LEAST: each bit that differs takes a shingle that only one of them has."""
+    length = min(len(own), len(other))
+    apart = int(np.bitwise_count(folded(own, length) ^ folded(other, length)).sum())
+    return (LEAST[0] + LEAST[1]) * apart <= (LEAST[1] - LEAST[0]) * (n + m)
+
+
+#: Bytes of the sketches that go with each shingle; pairs that these leave are held against the whole sketches.
+SHORT = 64
+
+
+def _fitting(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that sizes and whole sketches leave."""
+    sides = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    fit = common.map_rows(sides, ["na", "sa", "nb", "sb"], [("fit", T.BooleanType())], lambda: lambda columns: [[may_be_alike(*x) for x in zip(*columns)]])
+    return common.materialise(pairs.sparkSession, fit.where("fit").select("a", "b"), "jaccard-pairs")
+
+
+def prefix(codes: np.ndarray, common_: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(LEAST n) + 1 shingles; common ones (sorted, with their ranks from 1) come after all others."""
+    n = len(codes)
+    length = n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
+    if not len(common_):
+        return codes[:length]
+    at = np.minimum(np.searchsorted(common_, codes), len(common_) - 1)
+    late = np.where(common_[at] == codes, rank[at], 0)
+    return codes[np.lexsort((codes, late))[:length]]
+
+
+def _common_shingles(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    total = df.count()
+    part = max(1, total // SAMPLE)
+    few = df.where(F.pmod(F.xxhash64(text), F.lit(part)) == 0).select(F.col(text).alias("text"))
+    codes = common.map_rows(few, ["text"], [("codes", T.ArrayType(T.LongType()))], lambda: lambda columns: [[shingles(t).view("<i8").tolist() for t in columns[0]]])
+    counts = codes.select(F.explode("codes").alias("code")).groupBy("code").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "code").limit(MOST_COMMON)
+    got = sorted((r["code"] % (1 << 64), r["count"]) for r in counts.collect())  # MOST_COMMON rows
+    return np.array([c for c, _ in got], dtype="<u8"), np.array([n for _, n in got], dtype=np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of equal first column, which rows are sorted by; one of each second."""
+    key, held = None, {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 10):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 1 << 10).columns)):
+                if row[0] != key:
+                    if len(held) > 1:
+                        yield list(held.values())
+                    key, held = row[0], {}
+                held[row[1]] = row
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def _batches(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own, held = to_arrow_schema(schema), []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), own)], schema=own)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == 1 << 12:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
+_NEAR = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "node", "n", "mate")])
+_PAIR = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+
+
+def _neighbours(batches):
+    """Rows of shingles that several sets have, each with the set next in size if that is near enough. Among sets of a size
+    the order changes with the shingle."""
+
+    def rows():
+        for group in _groups(batches):
+            group.sort(key=lambda r: (r[2], xxhash.xxh64_intdigest((r[1] % (1 << 64)).to_bytes(8, "little"), r[0] % 4)))
+            before = None
+            for token, node, n in group:
+                mate = before[0] if before and LEAST[1] * before[1] >= LEAST[0] * n else None
+                yield token, node, n, mate
+                before = node, n
+
+    return _batches(rows(), _NEAR)
+
+
+def _across(batches):
+    """Pairs of different components in the group of a shingle that sizes and sketches leave; each once a task, as far as held."""
+
+    def rows():
+        seen = set()
+        for group in _groups(batches):
+            if len({r[3] for r in group}) == 1:
+                continue
+            group.sort(key=lambda r: r[2])
+            first = 0
+            for k, (_, node, n, comp, own) in enumerate(group):
+                while LEAST[1] * group[first][2] < LEAST[0] * n:
+                    first += 1
+                for _, other, m, theirs, their in group[first:k]:
+                    pair = (min(node, other), max(node, other))
+                    if comp == theirs or pair in seen:
+                        continue
+                    if len(seen) >= 1 << 15:
+                        seen.clear()
+                    seen.add(pair)
+                    if may_be_alike(n, own, m, their):
+                        yield pair
+
+    return _batches(rows(), _PAIR)
+
+
+def _join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    return big.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of the pairs that reach LEAST; sets are made again from the texts, of the sets in pairs only."""
+    spark = pairs.sparkSession
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = common.materialise(spark, nodes.select("node", "place").join(named, "node"), "jaccard-asked")
+    texts = _join(rows.withColumn("place", F.xxhash64("text")), asked, ["place"], "inner").select("node", "text")
+    codes = common.map_rows(texts, ["text"], [("codes", T.BinaryType())], lambda: lambda columns: [[shingles(t).tobytes() for t in columns[0]]])
+    sets = common.materialise(spark, codes.select("node", "codes").groupBy("node").agg(F.first("codes").alias("codes")), "jaccard-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("cb")), "b")
+
+    def make():
+        def work(columns):
+            out = []
+            for x, y in zip(*columns):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                out.append(alike(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            return [out]
+
+        return work
+
+    found = common.map_rows(both, ["ca", "cb"], [("link", T.BooleanType())], make).where("link")
+    return common.materialise(spark, found.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")), "jaccard-links")
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, place, component) for every row with a doc_id and a word: place is the hash of the text, rows whose shingle sets are
+    at least LEAST alike, directly or by others, have the same component."""
+    spark = df.sparkSession
+    rows = df.where(df[doc_id].isNotNull()).select(df[doc_id].alias("doc_id"), df[text].alias("text"))
+    shared = spark.sparkContext.broadcast(_common_shingles(rows, "text"))  # MOST_COMMON numbers
+
+    def make():
+        late, rank = shared.value
+
+        def work(columns):
+            sets = [shingles(t) for t in columns[0]]
+            nodes = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))) for s in sets]
+            return [nodes, [len(s) for s in sets], [sketch(s) if len(s) else b"" for s in sets], [prefix(s, late, rank).view("<i8").tolist() for s in sets]]
+
+        return work
+
+    added = [("node", T.LongType()), ("n", T.LongType()), ("sketch", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+    placed = rows.withColumn("place", F.xxhash64("text"))
+    made = common.materialise(spark, common.map_rows(placed, ["text"], added, make).where("n > 0").drop("text"), "jaccard-docs")
+    nodes = common.materialise(spark, made.groupBy("node").agg(*(F.min_by(c, F.struct("doc_id", "place")).alias(c) for c in ("place", "n", "sketch"))), "jaccard-nodes")
+    tokens = made.select("node", "n", F.explode("prefix").alias("token")).select("token", "node", "n")
+    dealt = tokens.repartition("token").sortWithinPartitions("token")
+    near = common.materialise(spark, dealt.mapInArrow(_neighbours, _NEAR), "jaccard-near")
+    small = nodes.select("node", "n", "sketch")
+    pairs = near.where("mate IS NOT NULL").select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
+    pairs = _fitting(pairs, small)
+    links = _verified(pairs, nodes, rows)
+    roots = simhash.connected(spark, links)
+    cut = lambda: lambda columns: [[folded(x, min(len(x), SHORT)).tobytes() for x in columns[0]]]
+    short = common.map_rows(nodes.select("node", "sketch"), ["sketch"], [("short", T.BinaryType())], cut).select("node", F.col("short").alias("sketch"))
+    known = common.materialise(spark, short.join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("component")), "jaccard-known")
+    again = near.select("token", "node", "n").join(known, "node").select("token", "node", "n", "component", "sketch").repartition("token").sortWithinPartitions("token")
+    more = _fitting(again.mapInArrow(_across, _PAIR).distinct().join(pairs, ["a", "b"], "left_anti"), small)
+    if not more.isEmpty():
+        roots = simhash.connected(spark, links.union(_verified(more, nodes, rows)))
+    return made.select("doc_id", "place", "node").join(roots, "node", "left").select("doc_id", "place", F.coalesce("root", "node").alias("component"))
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df but those that have an earlier near copy in their component: the smallest doc_id stays (of rows that share it,
+    one text). Rows without a doc_id or without a word stay all."""
+    classes = near_copies(df, doc_id, text)
+    key = F.struct("doc_id", "place")
+    first = classes.groupBy("component").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").select("component", "first")
+    surplus = classes.join(first, "component").where(key != F.col("first")).select("doc_id", "place").distinct()
+    surplus = common.materialise(df.sparkSession, surplus, "jaccard-surplus")
+    id_, place = common.fresh(df, "_surplus_id", "_surplus_place")
+    surplus = surplus.toDF(id_, place)
+    few = F.broadcast(surplus) if surplus.count() <= SMALL else surplus
+    return df.join(few, (df[doc_id] == F.col(id_)) & (F.xxhash64(df[text]) == F.col(place)), "left_anti")

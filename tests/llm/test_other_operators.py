@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from signalmill.llm import common, simhash, topk, url_rules, warc
+from signalmill.llm import common, jaccard, simhash, topk, url_rules, warc
 
 
 def brute_fingerprint(text):
@@ -89,6 +89,72 @@ def test_components_of_long_chains(spark):
     assert got == {**{k: 0 for k in range(1, n + 1)}, 1001: 1000}
 
 
+def brute_near_copies(rows):
+    """doc_ids that stay, of rows of distinct ids and a word each."""
+    def runs(text):
+        w = text.lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    own, root = {i: runs(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in own:
+        for j in own:
+            if i < j and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in own})
+
+
+@pytest.mark.parametrize("common_ones", [0, 10])
+def test_near_copies(spark, monkeypatch, common_ones):
+    monkeypatch.setattr(jaccard, "MOST_COMMON", common_ones)
+    rng = random.Random(11)
+    voc = [f"w{k}" for k in range(500)]
+    line = " ".join(rng.choice(voc) for _ in range(14))
+    texts = ["one", "One", "a b c d e f", line]
+    for _ in range(14):
+        long = [rng.choice(voc) for _ in range(rng.choice([8, 60, 300]))]
+        for _ in range(rng.randint(1, 12)):
+            changed = list(long)
+            for _ in range(rng.randint(0, max(1, len(long) // 30))):
+                changed[rng.randrange(len(changed))] = rng.choice(voc)
+            texts.append(" ".join(changed) if rng.random() < 0.5 else f"{' '.join(changed)} {line}")
+    rows = [(k, t, "x") for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, "one", "x"), (900, None, "x"), (901, " ", "x")], "doc_id long, text string, component string")
+    got = [r["doc_id"] for r in jaccard.keep_first(df).collect()]
+    want = brute_near_copies([r[:2] for r in rows])
+    assert len(want) < len(rows) and sorted(got, key=str) == sorted([*want, None, 900, 901], key=str)
+    assert jaccard.keep_first(df.limit(0)).count() == 0
+
+
+def test_sketches_never_part_near_copies():
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 40, 64, 65, 1000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(n * rng.uniform(0, 0.3)) :], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.3)), dtype=np.uint64)]))
+            if len(b) and jaccard.alike(len(a), len(b), len(np.intersect1d(a, b))):
+                assert jaccard.may_be_alike(len(a), jaccard.sketch(a), len(b), jaccard.sketch(b))
+
+
+def test_pipeline_drops_near_copies(spark, sf_dir, tmp_path):
+    """Planted: six words of 400 changed, which is beyond two bits of a fingerprint."""
+    rng = random.Random(12)
+    long = [f"word{rng.randrange(900)}" for _ in range(400)]
+    copy = [f"other{k}" if k % 70 == 5 else w for k, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(copy)), (3, " ".join(reversed(long)))]
+    assert (brute_fingerprint(rows[0][1]) ^ brute_fingerprint(rows[1][1])).bit_count() > 2
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 3]
+
+
 def brute_topk(rows, k=5):
     ok = [(i, np.floor(256 * np.array(v, dtype=float)).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
