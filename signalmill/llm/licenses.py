@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index.
 
-The index holds, for each word of some licence templates, the templates and positions where it stands. A file's rarest licence words
-(by inverse document frequency over all files) are looked up; each of their places votes for template
-starts, and where enough of them agree, the template is compared word by word and its key phrases are required.
+The index holds each licence template's rarest positions (by inverse document frequency over all files), so many that any match has some of
+them in place. In files that hold a template's key phrases, the places of these words vote for its starts; where enough agree, the
+template is compared word by word and its key phrases are required within it. No match is missed, however many licences a file has.
 """
 
 from __future__ import annotations
@@ -44,17 +44,24 @@ TEMPLATES = [
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["creative commons attribution sharealike"]),
 ]
 
-#: Distinct licence words of a file that are looked up, its rarest ones; how many must agree on a start (of a template's words, or
-#: all it has); the least share of a template's words at their places.
-RAREST, AGREE, LEAST = 8, 3, 0.7
+#: Rare positions of a template that agree on a start in any match, where it has so many; the least share of a template's words at their
+#: places.
+AGREE, LEAST = 3, 0.7
+
+
+@dataclass
+class Template:
+    label: str
+    text: list[bytes]
+    keys: list[bytes]
+    rarest: list[tuple[bytes, int]]  # words and positions
+    agree: int  # of the rarest, in any match
 
 
 @dataclass
 class Index:
     phrases: list[tuple[bytes, str]]
-    templates: list[tuple[str, list[bytes], list[bytes]]]
-    postings: dict[bytes, np.ndarray]  # rows of template and position
-    idf: dict[bytes, float]
+    templates: list[Template]
 
 
 def spaced(text: str) -> bytes:
@@ -62,40 +69,38 @@ def spaced(text: str) -> bytes:
 
 
 def build(phrases: dict[str, str], templates: list, frequency: dict[bytes, int], files: int) -> Index:
-    made = [(label, words(text), [spaced(k) for k in keys]) for label, text, keys in templates]
-    postings: dict[bytes, list] = {}
-    for t, (_, own, _) in enumerate(made):
-        for p, w in enumerate(own):
-            postings.setdefault(w, []).append((t, p))
-    idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) for w in postings}
-    return Index([(spaced(p), label) for p, label in phrases.items()], made, {w: np.array(v, dtype=np.int64) for w, v in postings.items()}, idf)
+    made = []
+    for label, text, keys in templates:
+        own = words(text)
+        idf = [math.log((files + 1) / (frequency.get(w, 0) + 1)) for w in own]
+        astray = len(own) - next((n for n in range(len(own) + 1) if own and n / len(own) >= LEAST), 0)
+        order = sorted(range(len(own)), key=lambda p: (-idf[p], own[p], p))[: astray + AGREE]
+        made.append(Template(label, own, [spaced(k) for k in keys], [(own[p], p) for p in order], len(order) - astray))
+    return Index([(spaced(p), label) for p, label in phrases.items()], made)
 
 
-def template_matches(index: Index, own: list[bytes], places: dict[bytes, np.ndarray]) -> dict[str, float]:
+def template_matches(index: Index, own: list[bytes], flat: bytes) -> dict[str, float]:
     """Labels with the largest share of a template's words found at their places."""
-    rarest = sorted(places, key=lambda w: (-index.idf[w], w))[:RAREST]
-    span = len(own) + 1
-    votes = []
-    for w in rarest:
-        post = index.postings[w]
-        starts = places[w][:, None] - post[None, :, 1]
-        votes.append(np.unique((post[None, :, 0] * 4 * span + starts + span).ravel()))  # a word votes once for a start
-    if not votes:
-        return {}
-    starts, counts = np.unique(np.concatenate(votes), return_counts=True)
+    held = [t for t in index.templates if t.text and all(k in flat for k in t.keys)]
+    looked = {w for t in held for w, _ in t.rarest}
+    places: dict[bytes, list] = {}
+    for p, w in enumerate(own) if looked else ():
+        if w in looked:
+            places.setdefault(w, []).append(p)
+    known = {w: np.array(p, dtype=np.int64) for w, p in places.items()}
     out: dict[str, float] = {}
-    for code in starts[counts >= 2].tolist() if len(starts) else []:
-        t, start = code // (4 * span), code % (4 * span) - span
-        label, text, keys = index.templates[t]
-        agree = int(counts[np.searchsorted(starts, code)])
-        if agree < min(AGREE, len({w for w in text if w in places})):
+    for t in held:
+        votes = [known[w] - p for w, p in t.rarest if w in known]
+        if not votes:
             continue
-        low, high = max(0, start), min(len(own), start + len(text))
-        same = sum(a == b for a, b in zip(own[low:high], text[low - start :])) / len(text)
-        if same >= LEAST and same > out.get(label, 0):
-            window = b" " + b" ".join(own[low:high]) + b" "
-            if all(k in window for k in keys):
-                out[label] = same
+        starts, counts = np.unique(np.concatenate(votes), return_counts=True)
+        for start in starts[counts >= t.agree].tolist():
+            low, high = max(0, start), min(len(own), start + len(t.text))
+            same = sum(a == b for a, b in zip(own[low:high], t.text[low - start :])) / len(t.text)
+            if same >= LEAST and same > out.get(t.label, 0):
+                window = b" " + b" ".join(own[low:high]) + b" "
+                if all(k in window for k in t.keys):
+                    out[t.label] = same
     return out
 
 
@@ -112,11 +117,7 @@ def scan(index: Index, text: str | None) -> tuple:
             at = flat.find(phrase, at + 1)
     # A place's word number is the number of gaps before it.
     at_words = [flat.count(b" ", 0, at) for at in (min(found), max(found))] if found else [None, None]
-    ids = np.fromiter(map(index.postings.__contains__, own), dtype=bool, count=len(own))
-    held: dict[bytes, list] = {}
-    for p in np.flatnonzero(ids).tolist():
-        held.setdefault(own[p], []).append(p)
-    more = template_matches(index, own, {w: np.array(p) for w, p in held.items()}) if len(held) > 1 else {}
+    more = template_matches(index, own, flat)
     score = 1.0 if labels else max(more.values(), default=0.0)
     return len(own), len(found), *at_words, sorted(labels), sorted(labels | more.keys()), round(score, 6)
 

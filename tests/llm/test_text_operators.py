@@ -150,6 +150,31 @@ def test_licenses(spark):
     assert licenses.find_licenses(frame(spark, [])).count() == 0
 
 
+def brute_templates(text):
+    """Labels of the templates with enough words in place and their keys within, at any start."""
+    own, out = words(text), set()
+    for label, template, keys in licenses.TEMPLATES:
+        t = words(template)
+        for start in range(1 - len(t), len(own)):
+            low, high = max(0, start), min(len(own), start + len(t))
+            same = sum(a == b for a, b in zip(own[low:high], t[low - start :]))
+            if same / len(t) >= licenses.LEAST and all(licenses.spaced(k) in b" " + b" ".join(own[low:high]) + b" " for k in keys):
+                out.add(label)
+    return out
+
+
+def test_several_licenses_of_a_file(spark):
+    rng, bodies = random.Random(8), [t for _, t, _ in licenses.TEMPLATES]
+    texts = [f"{a} {b}" for a in bodies for b in bodies if a is not b] + ["\n".join(bodies), "license " * 3_000 + bodies[6]]
+    for body in bodies * 8:  # words changed, the rarest ones too
+        texts.append(" ".join(w if rng.random() < 0.8 else rng.choice(["the", "thing", "GNU"]) for w in body.split()) + " end")
+    found = {r["text"]: r for r in licenses.find_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    for t in texts:
+        assert set(found[t]["label_list"]) == brute_templates(t) | set(found[t]["base_label_list"])
+    assert found["\n".join(bodies)]["label_list"] == sorted({label for label, *_ in licenses.TEMPLATES})
+    assert {"gpl-3", "mit"} <= set(found[f"{bodies[6]} {bodies[0]}"]["label_list"])
+
+
 # --- language ---
 
 
