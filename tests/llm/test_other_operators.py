@@ -268,6 +268,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in out) == ["3", "None"] and all(r["n_tokens"] > 0 for r in out)
 
 
+def test_pipeline_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "Clean text of words.", None), (2, "123 !", None), (3, None, None), (4, "éa", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
