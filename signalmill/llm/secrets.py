@@ -120,13 +120,13 @@ def _random_like(token: Column) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios()))), ",").cast("array<int>")
     total = _total(token, table)
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(mixed, total > MARGIN * F.length(token)).otherwise(F.lit(False))
+    return F.when(mixed, total > F.length(token).cast("long") * MARGIN).otherwise(F.lit(False))
 
 
 def _total(token: Column, table: Column) -> Column:
     marks = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     step = lambda acc, k: F.struct(k.alias("last"), (acc["sum"] + F.get(table, acc["last"] * SIDE + k)).alias("sum"))
-    return F.aggregate(marks, F.struct(F.lit(0).alias("last"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"])
+    return F.aggregate(marks, F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("sum")), step, lambda acc: acc["sum"])
 
 
 def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans") -> DataFrame:

@@ -123,6 +123,15 @@ def test_markov_model_tells_keys_from_names():
     assert all(secrets.ratio(k) < 0 for k in ("getElementsByTagNameAndClass2024", "user_profile_settings_page_2", "content/articles/2024/title-of-it"))
 
 
+def test_secrets_of_a_long_mixed_run(spark):
+    """The sum of its log-likelihoods is beyond 2**31."""
+    rng = random.Random(4)
+    run = "".join(rng.choices(secrets.ALPHABET, k=2_000_000))
+    assert secrets.ratio(run) > 2**31
+    (found,) = secrets.find_secrets(spark.createDataFrame([(f"data {run} end",)], "text string")).select("secret_spans").collect()
+    assert [tuple(s) for s in found[0]] == [(5, 3, secrets.MARKOV, 2_000_005)]
+
+
 def test_secrets_masked(spark):
     df = secrets.find_secrets(spark.createDataFrame([("é token=abcdef0 and 0123456789abcdef0123456789abcdef.",), ("clean",), (None,)], "text string"))
     assert [r[0] for r in df.select(secrets.masked(F.col("text"), F.col("secret_spans"))).collect()] == ["é [SECRET] and [SECRET].", "clean", None]
