@@ -129,10 +129,10 @@ def _total(token: Column, table: Column) -> Column:
     return F.aggregate(marks, F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("sum")), step, lambda acc: acc["sum"])
 
 
-def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans") -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans", partly: bool = False) -> DataFrame:
     """df with two arrays of (start, ord, kind, end), sorted: `base` has the matches of the fixed patterns,
     `spans` also those strings of 20 and more characters with letters and digits that the Markov model of random
-    strings explains better, where no base match overlaps them. Offsets are code points, ends exclusive.
+    strings explains better, where no base match overlaps them (`partly`: where base matches don't cover all of them). Offsets are code points, ends exclusive.
 
     Null texts count as empty and have none. Whole texts are scanned; rows are kept as they come, repeated ones too.
     Columns of df with the name of a new one are replaced.
@@ -142,7 +142,9 @@ def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", sp
     t = F.col(source)
     kinds = [_located(t, p, _at_least(n), g, kind, k) for k, (kind, p, g, n) in enumerate(PATTERNS)]
     rows = rows.withColumns({base: F.array_sort(F.concat(*kinds)), extra: _located(t, CANDIDATE, _random_like, 0, MARKOV, len(PATTERNS))})
-    apart = F.when(F.size(extra) == 0, F.col(extra)).otherwise(F.filter(extra, lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))))
+    reach = lambda e: F.aggregate(base, e["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    taken = (lambda e: reach(e) >= e["end"]) if partly else lambda e: F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    apart = F.when(F.size(extra) == 0, F.col(extra)).otherwise(F.filter(extra, lambda e: ~taken(e)))
     return rows.withColumn(spans, F.array_sort(F.concat(F.col(base), apart))).drop(source, extra)
 
 
