@@ -276,6 +276,12 @@ def test_pipeline_masks_keys_covered_in_part(spark):
     assert rows == [(0, "a [SECRET] b", 12), (1, "[SECRET]", 8), (2, "[SECRET]", 8), (3, "clean", 5)]
 
 
+def test_pipeline_drops_passages_of_items_without_id(spark, tmp_path):
+    spark.createDataFrame([(None, "one two three four five six seven eight nine ten eleven"), (1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "x two three four five six seven eight nine ten eleven y"), (2, "an item"), (3, "one two three")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [3]
+
+
 def test_pipeline_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "Clean text of words.", None), (2, "123 !", None), (3, None, None), (4, "éa", None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
