@@ -8,10 +8,11 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -24,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session; a folder
-    of our own only where that is unset, as in tests on one machine."""
+    of our own only where that is unset and all runs in one process, as in tests."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined() and not set_dir:
         return current.get().rsplit("/", 1)[0]
+    if not set_dir and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     target = set_dir or tempfile.mkdtemp(prefix="signalmill-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(target)
@@ -59,9 +62,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that df doesn't have yet."""
-    taken, out = {c.lower() for c in df.columns}, []
+def fresh(df: DataFrame, *names: str, besides: Iterable[str] = ()) -> list[str]:
+    """Column names that df doesn't have yet, and that aren't in besides."""
+    taken, out = {c.lower() for c in (*df.columns, *besides)}, []
     for name in names:
         while name.lower() in taken:
             name = f"_{name}"
@@ -113,5 +116,23 @@ def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES)
         yield batch.slice(at, step)
 
 
+#: Rows of one key that a task gets at least before the key is split, and keys that are split at most.
+SALT_ROWS, SALT_KEYS = 100, 10_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "left") -> DataFrame:
+    """left joined with the columns of right, which has one row for each value of `key` and tells in column `rows` how many rows
+    of left have it. Rows of left whose key has many are dealt over several tasks, each of which gets right's row. At most
+    SALT_KEYS keys are split, and their list is broadcast. left must be a stored table: rows are told apart by their place in it."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    bound = max(SALT_ROWS, -(-total // SALT_KEYS))
+    salt, salts = fresh(left, "_salt", "_salts", besides=right.columns)
+    n = F.ceil(F.col(rows) / bound).cast("int")
+    hot = F.broadcast(right.where(F.col(rows) > bound).select(key, n.alias(salts)))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salts)).cast("int"), F.lit(0))).drop(salts)
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > bound, n - 1).otherwise(0)))
+    return dealt.join(right.withColumn(salt, copies).drop(rows), [key, salt], how).drop(salt)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

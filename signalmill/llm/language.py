@@ -44,13 +44,18 @@ class Model:
             self._table[self.grams] = np.arange(len(self.grams))
         return self._table
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The regression values of each text, and the share of its n-grams (repeats included) that the model looks at."""
         table, n = self.table(), len(self.grams)
-        present = np.zeros((len(texts), n + 1), dtype=np.float32)
-        for row, text in zip(present, texts):
-            for codes in gram_codes(text):
-                row[table[codes]] = 1
-        return kernel(present[:, :n], self.landmarks) @ self.weights + self.bias
+        present, known = np.zeros((len(texts), n + 1), dtype=np.float32), np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            seen = 0
+            for codes in (all_codes := gram_codes(text)):
+                places = table[codes]
+                present[k, places] = 1
+                seen += np.count_nonzero(places < n)
+            known[k] = seen / max(1, sum(map(len, all_codes)))
+        return kernel(present[:, :n], self.landmarks) @ self.weights + self.bias, known
 
 
 def gram_codes(text: str) -> list[np.ndarray]:
@@ -70,18 +75,15 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common_ / np.sqrt(np.maximum(1, na))[:, None] / np.sqrt(np.maximum(1, nb))[None, :]
 
 
-def fit(samples: list[tuple[str, np.ndarray]], features: int, landmarks: int, ridge: float) -> Model | None:
-    """samples: (language, distinct codes), in an order that decides ties and the choice of landmarks."""
+def fit(samples: list[tuple[str, np.ndarray]], grams: np.ndarray, landmarks: int, ridge: float) -> Model | None:
+    """samples: (language, places in grams of the n-grams that the text holds), in an order that decides ties and the choice
+    of landmarks."""
     languages = sorted({s[0] for s in samples})
     if not languages:
         return None
-    codes, counts = np.unique(np.concatenate([c for _, c in samples]), return_counts=True)
-    grams = np.sort(codes[np.lexsort((codes, -counts))[:features]])
     x = np.zeros((len(samples), len(grams)), dtype=np.float32)
     for row, (_, own) in zip(x, samples):
-        at = np.searchsorted(grams, own)
-        at[at == len(grams)] = 0
-        row[at[grams[at] == own]] = 1
+        row[own] = 1
     y = np.array([languages.index(s) for s, _ in samples])
     chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])
     marks = x[chosen]
@@ -98,57 +100,83 @@ def fit(samples: list[tuple[str, np.ndarray]], features: int, landmarks: int, ri
     return Model(languages, grams, marks.astype(np.uint8), root @ solved, mean_t - mean_z @ solved)
 
 
-#: The bounds of what is learnt from: rows of a language, rows in all, landmarks of a language, n-grams.
-PER_LANGUAGE, MOST_ROWS, LANDMARKS, FEATURES, RIDGE = 400, 4_000, 48, 8192, 0.5
+#: The bounds of what is learnt from: rows of a language, rows in all (at least one a language), languages, landmarks of a
+#: language, n-grams. A labelled row's share of what is collected is a bit for each n-gram, however long its text is.
+PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES, LANDMARKS, FEATURES, RIDGE = 400, 4_000, 1_000, 48, 8192, 0.5
 
 
 def learn(df: DataFrame, where, text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE) -> Model | None:
     """A model of the rows of df that `where` picks and that have a text with a letter and a non-null language. Of each
-    language at most `per_language` rows, those with the smallest hashes of `order` and text, and `most_rows` in all. None without rows."""
-    common.ship(df.sparkSession)
-    rows = df.where(where & df[lang].isNotNull() & df[text].isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(order, text).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()
+    language at most `per_language` rows, those with the smallest hashes of `order` and text, and `most_rows` in all; of more than
+    MOST_LANGUAGES languages those with the most such rows. None without rows, as of an empty table. Texts are read whole, of any
+    length; rows that repeat count as often as they come, ties of hashes go by the text."""
+    spark = df.sparkSession
+    common.ship(spark)
+    rows = df.where(where & df[lang].isNotNull() & df[text].rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(order, text).alias("h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
     each = max(1, min(per_language, most_rows // len(counts)))
     # A hash bound that leaves about twice as many; ranking then takes a few rows of each language.
     bound = {r["lang"]: min(2**63 - 1, (2**63 - 1) * (2 * each + 40) // r["count"]) for r in counts}
-    limits = df.sparkSession.createDataFrame(list(bound.items()), "lang string, bound long")
-    near = rows.join(F.broadcast(limits), "lang").where((F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound")) & F.col("text").rlike(r"\p{L}"))
+    limits = spark.createDataFrame(list(bound.items()), "lang string, bound long")  # one row a language
+    near = rows.join(F.broadcast(limits), "lang").where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound"))
     few = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= each)
-    packed = common.map_rows(few.select("lang", "nth", "text"), ["text"], [("codes", T.BinaryType())], lambda: lambda columns: [[distinct_codes(t).tobytes() for t in columns[0]]])
-    got = packed.select("lang", "nth", "codes").collect()  # most_rows rows, each of the n-grams of a text
-    return fit([(r["lang"], np.frombuffer(r["codes"], dtype="<i4")) for r in sorted(got, key=lambda r: (r["lang"], r["nth"]))], features, landmarks, ridge)
+    coded = common.map_rows(few.select("lang", "nth", "text"), ["text"], [("codes", T.ArrayType(T.IntegerType()))], lambda: lambda columns: [[distinct_codes(t).tolist() for t in columns[0]]])
+    sample = common.materialise(spark, coded.drop("text"), "language-sample")
+    top = sample.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy(F.desc("count"), "code").limit(features)
+    grams = np.array(sorted(r["code"] for r in top.collect()), dtype="<i4")  # `features` rows
+
+    def make():
+        def work(columns):
+            out = []
+            for codes in columns[0]:
+                own = np.array(codes, dtype="<i4")
+                held = np.zeros(len(grams), dtype=np.uint8)
+                at = np.searchsorted(grams, own)
+                at[at == len(grams)] = 0
+                held[at[grams[at] == own]] = 1
+                out.append(np.packbits(held).tobytes())
+            return [out]
+
+        return work
+
+    got = common.map_rows(sample, ["codes"], [("held", T.BinaryType())], make).select("lang", "nth", "held").collect()  # a bit an n-gram
+    held = [(r["lang"], np.flatnonzero(np.unpackbits(np.frombuffer(r["held"], dtype=np.uint8))[: len(grams)])) for r in sorted(got, key=lambda r: (r["lang"], r["nth"]))]
+    return fit(held, grams, landmarks, ridge)
 
 
 #: Texts of one matrix product.
 BATCH = 128
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
     """df with the language of each whole text and a score of 0 to 1 (the share of the best language in the exponentials of all
-    languages' regression values). Null texts and such without any letter get `und` and 0, and so do all without a model.
-    Rows are kept as they come; columns of df with the name of a new one are replaced."""
+    languages' regression values), and, if named, in column `known` the share of the text's n-grams that the model looks at: low
+    for a text in no learnt language. Null texts and such without any letter get `und` and zeros, and so do all without a model.
+    Ties go to the language that sorts first. Texts of any length are read whole, in slices of bounded bytes; an empty table gives an
+    empty one. Rows are kept as they come, repeated ones alike; columns of df with the name of a new one are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks x features
     (source,) = common.fresh(df, "_lang_text")
-    rows = df.withColumn(source, df[text]).drop(pred, score)
+    added = [(pred, T.StringType()), (score, T.DoubleType()), *([(known, T.DoubleType())] if known else [])]
+    rows = df.withColumn(source, df[text]).drop(*(c for c in df.columns if c.lower() in {n.lower() for n, _ in added}))
 
     def make():
         m = shared.value
 
         def work(columns):
-            texts, best, value = columns[0], [], []
+            texts = columns[0]
             some = [k for k, t in enumerate(texts) if m is not None and t and _LETTER(t)]
-            best, value = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            out = [[UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)]
             for at in range(0, len(some), BATCH):
                 own = some[at : at + BATCH]
-                s = m.scores([texts[k] for k in own])
+                s, seen = m.scores([texts[k] for k in own])
                 top = s.argmax(axis=1)
                 share = 1 / np.exp(3 * (s - s.max(axis=1, keepdims=True))).sum(axis=1)
-                for k, t, p in zip(own, top.tolist(), share.tolist()):
-                    best[k], value[k] = m.languages[t], round(min(1.0, p), 6)
-            return [best, value]
+                for k, t, p, q in zip(own, top.tolist(), share.tolist(), seen.tolist()):
+                    out[0][k], out[1][k], out[2][k] = m.languages[t], round(min(1.0, p), 6), round(q, 6)
+            return out[: len(added)]
 
         return work
 
-    return common.map_rows(rows, [source], [(pred, T.StringType()), (score, T.DoubleType())], make).drop(source)
+    return common.map_rows(rows, [source], added, make).drop(source)
