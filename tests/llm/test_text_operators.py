@@ -276,3 +276,77 @@ def test_main_text_of_the_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", re.search("<article>(.*?)</article>", r["html"], re.S)[1])
         blocks = [" ".join(h.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in parts]
         assert html_text.main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
+
+
+def article_of(page):
+    """By its marks."""
+    import html as h
+
+    parts = re.split(r"</?(?:p|h1)>", re.search("<article>(.*?)</article>", page, re.S)[1])
+    return "\n\n".join(b for b in (" ".join(h.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in parts) if b)
+
+
+def test_ratios_choose_the_text(monkeypatch):
+    """The same text where the article's tag tells nothing; mostly where no tag or class tells anything; another without the ratios."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    want = [article_of(p) for p in pages]
+    renamed = [re.sub("<(/?)article", r"<\1div", p) for p in pages]
+    bare = [re.sub("<(/?)(?:nav|footer)", r"<\1div", p).replace('<div class="ad"', "<div") for p in renamed]
+    assert [html_text.main_text(p) for p in renamed] == want
+    assert sum(html_text.main_text(p) == w for p, w in zip(bare, want)) >= 0.9 * len(pages)
+
+    def alike(blocks):
+        for b in blocks:
+            b.weight = 1.0
+
+    monkeypatch.setattr(html_text, "path_weights", alike)
+    assert sum(html_text.main_text(p) != w for p, w in zip(renamed, want)) > 0.05 * len(pages)
+
+
+def brute_weights(page):
+    """(text, weight) of pages whose blocks are p, li and h1 with classes ad or none, in div, nav or article."""
+    out, path = [], []
+    for m in re.finditer(r"<(/?)(\w+)(?: class=(\w+))?>|([^<]+)", page):
+        if m[4]:
+            if m[4].strip():
+                out.append((m[4].strip(), tuple(path)))
+        elif m[1]:
+            path.pop()
+        else:
+            path.append((m[2], m[3] or ""))
+    marked = lambda q: any(n == "nav" or c == "ad" for n, c in q)
+    key = lambda q: tuple((n, marked(q[: k + 1])) for k, (n, _) in enumerate(q))
+    mean = lambda f: [1 + sum(f(t) for t, q in out if key(q) == key(p)) / sum(key(q) == key(p) for _, q in out) for _, p in out]
+    near = lambda xs: [sum(xs[max(0, k - 1) : k + 2]) / len(xs[max(0, k - 1) : k + 2]) for k in range(len(xs))]
+    x, y = near(mean(len)), near(mean(lambda t: sum(c in ".,;:!?" for c in t)))
+    return [(t, 0.0 if marked(q) else a * b * (10 if any(n == "article" for n, _ in q) else 1)) for (t, q), a, b in zip(out, x, y)]
+
+
+def test_path_weights_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        text = lambda: " ".join(rng.choice(["word", "a,", "longer.", "x"]) for _ in range(rng.randint(1, 30)))
+        page = "".join(f"<{box}{mark}>" + "".join(f"<{t}>{text()}</{t}>" for t in rng.choices(["p", "h1", "li"], k=rng.randint(1, 4))) + f"</{box}>" for box, mark in rng.choices([("div", ""), ("div", " class=ad"), ("nav", ""), ("article", "")], k=rng.randint(1, 5)))
+        blocks = html_text._Reader(page).blocks
+        html_text.path_weights(blocks)
+        assert [(b.text, round(b.weight, 6)) for b in blocks] == [(t, round(w, 6)) for t, w in brute_weights(page)]
+
+
+def test_nothing_else_of_an_article_goes():
+    body = "<p>First, a paragraph of some length. And more of it.<p><a href=x>A paragraph that is a link, all of it.</a><p>By <math><mi>x</mi></math> we see, <svg><text>drawn</text></svg>.<ul><li><a href=y>A reference</a></ul>"
+    want = "First, a paragraph of some length. And more of it.\n\nA paragraph that is a link, all of it.\n\nBy x we see, drawn.\n\nA reference"
+    for tag in ("article", "div", "main", "section"):
+        assert html_text.main_text(f"<nav>Menu</nav><{tag}>{body}</{tag}><footer>End</footer>") == want
+    assert html_text.main_text(f"<div><h1>Head</h1><div>{body}</div></div>") == f"Head\n\n{want}"
+    assert html_text.main_text("<main><p>Before, in main.</p><article><p>One, that is longer than the other.</p></article><article><p>Two.</p></article></main>") == "Before, in main.\n\nOne, that is longer than the other.\n\nTwo."
+
+
+@pytest.mark.parametrize("page, text", [("<div>" * 100_000 + "x", "x"), ("<ul><li>" + "<blockquote>" * 50_000 + "y", "y"), ("<p>" * 100_000 + "q", "q"), ("</table>" * 100_000 + "<td>a", "a")])
+def test_deep_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string, TEXT string")).count() == 0
