@@ -120,18 +120,20 @@ def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES)
 SALT_ROWS, SALT_KEYS = 100, 10_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "left") -> DataFrame:
-    """left joined with the columns of right, which has one row for each value of `key` and tells in column `rows` how many rows
-    of left have it. Rows of left whose key has many are dealt over several tasks, each of which gets right's row. At most
-    SALT_KEYS keys are split, and their list is broadcast. left must be a stored table: rows are told apart by their place in it."""
-    total = right.agg(F.sum(rows)).first()[0] or 0
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with the columns of right, which has one row for each value of `key`. Column `rows`, of right or of `counts`, tells how
+    many rows of left have it. Rows of left whose key has many are dealt over several tasks, each of which gets right's row. At most
+    SALT_KEYS keys are split, and their list is broadcast. left must read stored tables: rows are told apart by their place there."""
+    told = right if counts is None else counts
+    total = told.agg(F.sum(rows)).first()[0] or 0
     bound = max(SALT_ROWS, -(-total // SALT_KEYS))
     salt, salts = fresh(left, "_salt", "_salts", besides=right.columns)
-    n = F.ceil(F.col(rows) / bound).cast("int")
-    hot = F.broadcast(right.where(F.col(rows) > bound).select(key, n.alias(salts)))
-    dealt = left.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salts)).cast("int"), F.lit(0))).drop(salts)
-    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > bound, n - 1).otherwise(0)))
-    return dealt.join(right.withColumn(salt, copies).drop(rows), [key, salt], how).drop(salt)
+    hot = F.broadcast(told.where(F.col(rows) > bound).select(key, F.ceil(F.col(rows) / bound).cast("int").alias(salts)))
+    spread = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salts)).cast("int"), F.lit(0))
+    dealt = left.join(hot, key, "left").withColumn(salt, spread).drop(salts)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
+    each = right.join(hot, key, "left").withColumn(salt, copies).drop(salts, *([rows] if counts is None else []))
+    return dealt.join(each, [key, salt], how).drop(salt)
 
 
 def sha256_hex(data: bytes) -> str:

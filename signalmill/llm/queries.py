@@ -52,7 +52,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     warc.write_archive(common.table(spark, sf_dir, "pages"), path)
-    return warc.checked_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.parsed(warc.warc_bytes(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

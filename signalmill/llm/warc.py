@@ -1,7 +1,7 @@
 """A content-addressed WARC archive.
 
 Payload bytes are stored once, under their SHA-256, which is checked again when they are read; the exact header bytes
-of each record are stored apart with that address. Joining the two gives the original records back.
+of each record are stored apart with that address. Joining the two gives the original records back, which are then parsed.
 """
 
 from __future__ import annotations
@@ -25,23 +25,36 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
+#: Addresses of several records up to which their list is broadcast.
+SMALL = 100_000
+
+
 def write_archive(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes `path`/payloads (address, payload) and `path`/records (head, address), one record a row of df.
 
-    The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least REVISIT_BYTES bytes, those with the
+    The payload is the html in UTF-8 (null: empty), of any length. Of records with equal payloads of at least REVISIT_BYTES bytes, those with the
     largest page_id are responses, the others revisit it; a null page_id is smaller than any. Rows that repeat that page_id
-    are all responses; their payload is stored once all the same. Other columns aren't read.
+    are all responses; their payload is stored once all the same. Other columns aren't read; an empty table gives an empty archive.
 
-    Copies of a payload meet first where they are read, so that a payload with very many copies is shuffled once a task.
+    Addresses are counted first, without payloads. Payloads of one record are written where they are read; the others' copies meet first where
+    they are read, so that a payload with very many copies is shuffled once a task.
     """
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
-    # Empty payloads, too, have an entry.
-    rows.groupBy("address").agg(F.max("page_id").alias("latest"), F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
-    latest = rows.sparkSession.read.parquet(f"{path}/payloads").select("address", "latest")
-    size, http = F.octet_length("payload"), F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size"), F.lit(CRLF + CRLF))
-    facts = rows.select("page_id", "url", "address", size.alias("size"), F.sha1("payload").alias("sha1"))
-    joined = facts.join(latest, "address").withColumn("http", http)
+    spark = df.sparkSession
+    payload = F.coalesce(df[html], F.lit("")).cast("binary")
+    rows = df.select(df[page_id].cast("long").alias("page_id"), df[url].alias("url"), payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
+    facts = rows.select("page_id", "url", "address", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1"))
+    facts = common.materialise(spark, facts, "warc-facts")
+    known = common.materialise(spark, facts.groupBy("address").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")), "warc-addresses")
+    several = known.where("n > 1").select("address")
+    stored = rows.select("address", "payload")
+    if several.count() <= SMALL:
+        again = stored.join(F.broadcast(several), "address", "left_semi").groupBy("address").agg(F.first("payload").alias("payload"))
+        once = stored.join(F.broadcast(several), "address", "left_anti").unionByName(again)
+    else:
+        once = stored.groupBy("address").agg(F.first("payload").alias("payload"))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size"), F.lit(CRLF + CRLF))
+    joined = common.salted_join(facts, known, "address", "n").withColumn("http", http)
     response = (F.col("size") < REVISIT_BYTES) | F.col("page_id").eqNullSafe(F.col("latest"))
     block = F.octet_length("http") + F.when(response, F.col("size")).otherwise(0)
     head = F.concat(
@@ -53,45 +66,64 @@ def write_archive(df: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 def _field(head: Column, name: str) -> Column:
-    """A field of the WARC header, which ends at the first empty line; null if it isn't there."""
-    value = F.regexp_extract(head, rf"(?s)^(?:(?!\r\n\r\n).)*?\r\n{name}: ([^\r\n]*)", 1)
+    """A field of a WARC header (without the empty line that ends it); null if it isn't there."""
+    value = F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1)
     return F.when(value != "", value)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, refers_to, digest, size, head, address): each record as its own header tells; size is the payload's,
-    from the HTTP header."""
-    records = spark.read.parquet(f"{path}/records")
-    urn = lambda name: F.regexp_extract(_field(F.col("head"), name), r"^<urn:page:(-?\d+)>$", 1)
+def _warc_head(text: Column) -> Column:
+    return F.substring_index(text, CRLF + CRLF, 1)
+
+
+def _told(head: Column) -> dict[str, Column]:
+    """What a record's WARC header tells."""
+    urn = lambda name: F.regexp_extract(F.coalesce(_field(head, name), F.lit("")), r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(c != "", c).cast("long")
-    return records.select(
-        number(urn("WARC-Record-ID")).alias("page_id"), _field(F.col("head"), "WARC-Target-URI").alias("url"), _field(F.col("head"), "WARC-Type").alias("record_type"), number(urn("WARC-Refers-To")).alias("refers_to"),
-        F.regexp_extract(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:([0-9a-f]{40})$", 1).alias("digest"), F.regexp_extract("head", r"Content-Length: (\d+)\r\n\r\n$", 1).cast("long").alias("size"), "head", "address",
-    )
+    return {"page_id": number(urn("WARC-Record-ID")), "url": _field(head, "WARC-Target-URI"), "record_type": _field(head, "WARC-Type"), "refers_to": number(urn("WARC-Refers-To")), "digest": F.regexp_extract(_field(head, "WARC-Payload-Digest"), "^sha1:([0-9a-f]{40})$", 1)}
 
 
-def stored_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(address, payload, sha1, bytes): raises if a payload isn't what its address says."""
-    payloads = spark.read.parquet(f"{path}/payloads").select("address", "payload")
-    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-    return payloads.select("address", "payload", sound.alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, record_type, refers_to, digest, head, address): each record as its own header tells."""
+    records = spark.read.parquet(f"{path}/records")
+    return records.select(*(c.alias(n) for n, c in _told(_warc_head(F.col("head"))).items()), "head", "address")
 
 
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    """read_archive with each record's payload: that of a revisit is the one that it refers to."""
-    return read_archive(spark, path).join(stored_payloads(spark, path).select("address", "payload"), "address")
+def stored_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(address, payload): reading a payload raises if it isn't what its address says."""
+    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
+    return spark.read.parquet(f"{path}/payloads").select("address", sound.alias("payload"))
 
 
-def warc_bytes(restored: DataFrame) -> DataFrame:
-    """(page_id, record): the bytes of each record as a WARC file has them; a revisit has no payload."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
-    return restored.select("page_id", F.concat(F.col("head").cast("binary"), body, F.lit(CRLF + CRLF).cast("binary")).alias("record"))
+def _with_payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """A payload that very many of the records have is dealt, with them, over several tasks."""
+    counts = records.groupBy("address").agg(F.count("*").alias("n"))
+    return common.salted_join(records, stored_payloads(spark, path), "address", "n", "inner", counts)
 
 
-def checked_records(spark: SparkSession, path: str) -> DataFrame:
-    """read_archive, each record held against the payload stored under its address: payload_bytes and payload_digest are those
-    of the stored bytes; raises where the record's header says otherwise."""
-    stored = stored_payloads(spark, path).select("address", "sha1", "bytes")
-    joined = read_archive(spark, path).join(stored, "address")
-    agrees = (F.col("sha1") == F.col("digest")) & (F.col("bytes") == F.col("size"))
-    return joined.withColumns({"payload_digest": F.when(agrees, F.col("sha1")).otherwise(F.raise_error(F.lit("a record and its payload disagree"))), "payload_bytes": F.col("bytes")}).drop("sha1", "bytes", "digest", "size")
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """read_archive with each record's payload: that of a revisit is the one that it refers to. Raises where a payload is damaged."""
+    return _with_payloads(spark, path, read_archive(spark, path))
+
+
+def warc_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(record): the bytes of each record as a WARC file has them; a revisit has no payload, so only responses' are read."""
+    end = F.lit(CRLF + CRLF).cast("binary")
+    records = spark.read.parquet(f"{path}/records").withColumn("type", _field(_warc_head(F.col("head")), "WARC-Type"))
+    full = _with_payloads(spark, path, records.where("type = 'response'").drop("type"))
+    return full.select(F.concat(F.col("head").cast("binary"), "payload", end).alias("record")).unionByName(records.where("type <> 'response'").select(F.concat(F.col("head").cast("binary"), end).alias("record")))
+
+
+def parsed(records: DataFrame, record: str = "record") -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of the bytes of WARC records, payload null for revisits;
+    raises where a record's block or payload isn't what its headers say."""
+    text = F.col(record).cast("string")
+    parts = records.select(record, _warc_head(text).alias("_head"))
+    parts = parts.withColumns({"_start": F.octet_length("_head") + 4, "_http": F.substring_index(F.substring_index(text, CRLF + CRLF, 2), CRLF + CRLF, -1)})
+    parts = parts.select(record, "_head", *(c.alias(n) for n, c in _told(F.col("_head")).items()), "_start", F.regexp_extract("_http", r"Content-Length: (\d+)$", 1).cast("long").alias("payload_bytes"), (F.col("_start") + F.octet_length("_http") + 4).alias("_body"))
+    block = _field(F.col("_head"), "Content-Length").cast("long")
+    body = F.substring(F.col(record), F.col("_body") + 1, F.octet_length(record) - F.col("_body") - 4)
+    whole = parts.withColumns({"_body_bytes": body, "_block": block})
+    response = F.col("record_type") == "response"
+    agrees = (F.octet_length(record) - F.col("_start") - 4 == F.col("_block")) & F.when(response, (F.octet_length("_body_bytes") == F.col("payload_bytes")) & (F.sha1("_body_bytes") == F.col("digest"))).otherwise(F.octet_length("_body_bytes") == 0)
+    digest = F.when(agrees, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("a record disagrees with its headers: "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")))))
+    return whole.select("page_id", "url", "record_type", "refers_to", "payload_bytes", digest.alias("payload_digest"), F.when(response, F.col("_body_bytes")).alias("payload"))

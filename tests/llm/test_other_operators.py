@@ -1,6 +1,9 @@
 """Near-duplicates, top-k, archives, url rules and the pipeline against brute force."""
 
+import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -198,7 +201,7 @@ def test_pipeline_drops_near_copies(spark, sf_dir, tmp_path):
 
 
 def brute_topk(rows, k=5):
-    ok = [(i, np.floor(256 * np.array(v, dtype=float)).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, v in {i: v for i, v in ok if i % 50 == 0}.items():
         hits = sorted((-sum(int(a) * int(b) for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
@@ -210,11 +213,11 @@ def brute_topk(rows, k=5):
 def test_topk(spark, monkeypatch, cells):
     monkeypatch.setattr(topk, "TILE_CELLS", cells)
     monkeypatch.setattr(topk, "BLOCK_CELLS", cells)
-    monkeypatch.setattr(topk, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(topk, "SHARD_TILES", 2)
     monkeypatch.setattr(topk, "FAN_IN", 2)
     rng = random.Random(7)
     rows = [(k, [round(rng.uniform(-1, 1), 1) for _ in range(3)], "x") for k in range(700)]
-    rows += [(900 + k, [0.5, 0.5, 0.5], "x") for k in range(30)] + [(2000, None, "x"), (2050, [0.1, None, 0.2], "x"), (2100, [0.1, float("nan"), 0.2], "x"), (None, [1.0, 1.0, 1.0], "x"), (2150, [1e300, 1.0, 1.0], "x"), (2200, [1.0], "x"), (2201, [], "x"), (2250, [], "x")]
+    rows += [(900 + k, [0.5, 0.5, 0.5], "x") for k in range(30)] + [(2000, None, "x"), (2050, [0.1, None, 0.2], "x"), (2100, [0.1, float("nan"), 0.2], "x"), (None, [1.0, 1.0, 1.0], "x"), (2150, [1e300, 1.0, 1.0], "x"), (2200, [1.0], "x"), (2201, [], "x"), (2250, [], "x"), (2300, [1e308, 1.0, 1.0], "x"), (2301, [-1e308, 0.0, 2.0], "x")] + [(2350, [0.2, 0.1, 0.3], "x")] * 400
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect()))
     clip = 2**63 - 1
@@ -224,6 +227,22 @@ def test_topk(spark, monkeypatch, cells):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_products_are_exact():
+    rng = np.random.default_rng(5)
+    q, t = rng.normal(size=(5, 3)), rng.normal(size=(7, 3))
+    q[1, 0], t[2, 1], t[3, 2], q[4, 2] = 1e12, -3e300, 1.7e308, 5e-324
+    whole = lambda x: [[topk.quantised(v) for v in row] for row in x.tolist()]
+    want = [[max(-topk._LONG, min(topk._LONG, sum(a * b for a, b in zip(x, y)))) for y in whole(t)] for x in whole(q)]
+    assert topk.products(q, t).tolist() == want
+    assert topk.quantised(1.7e308) == 256 * int(1.7e308) and topk.quantised(-0.001) == -1
+
+
+def test_long_vectors(spark):
+    rows = [(k * 50, [float((k * j) % 7) for j in range(20_000)]) for k in range(4)]
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute_topk(rows)
+
+
 def test_warc(spark):
     big, rows = "é" * 600, []
     for k, html in enumerate([None, "", "small", "small", big, big, big + "x", big]):
@@ -232,18 +251,48 @@ def test_warc(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, size string")
     path = common.scratch(spark, "warc-test")
     warc.write_archive(df, path)
-    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.checked_records(spark, path).collect())
+    records = warc.warc_bytes(spark, path)
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.parsed(records).collect())
     assert got == sorted([(0, 0, "response", None), (1, 0, "response", None), (2, 5, "response", None), (3, 5, "response", None), (4, 1200, "revisit", 7), (5, 1200, "revisit", 7), (6, 1201, "response", None), (7, 1200, "response", None), (7, 1200, "response", None)])
+    assert all(r["payload_digest"] == hashlib.sha1((rows[r["page_id"]][2] or "").encode()).hexdigest() for r in warc.parsed(records).collect())
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     restored = warc.restore(spark, path)
     assert {(r["page_id"], bytes(r["payload"]).decode()) for r in restored.collect()} == {(k, h or "") for k, _, h, _ in rows}
-    for r in warc.warc_bytes(restored).collect():
+    for r in records.collect():
         head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
         assert len(body) == int(fields[b"Content-Length"]) + 4 and body.startswith(b"HTTP/1.1 200 OK\r\n")
     empty = common.scratch(spark, "warc-empty")
     warc.write_archive(df.limit(0), empty)
-    assert warc.checked_records(spark, empty).count() == 0
+    assert warc.parsed(warc.warc_bytes(spark, empty)).count() == 0
+
+
+def test_warc_of_many_copies_and_long_payloads(spark, monkeypatch):
+    """Dealt over tasks, and with the list of repeated addresses beyond what is broadcast."""
+    monkeypatch.setattr(common, "SALT_ROWS", 4)
+    monkeypatch.setattr(warc, "SMALL", 1)
+    long = "<p>\r\n\r\né</p>" * 200_000
+    rows = [(k, "http://a/", "same small page") for k in range(30)] + [(100 + k, "http://b/", "x" * 1000) for k in range(30)] + [(500, None, long), (None, "http://c/", None)]
+    path = common.scratch(spark, "warc-copies")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r["page_id"]: r for r in warc.parsed(warc.warc_bytes(spark, path)).collect()}
+    assert len(got) == len(rows) and bytes(got[500]["payload"]).decode() == long
+    assert all(got[k]["record_type"] == "response" for k in (*range(30), 129, 500, None))
+    assert all((got[100 + k]["refers_to"], got[100 + k]["payload_bytes"]) == (129, 1000) for k in range(29))
+
+
+def test_a_damaged_payload_is_found(spark):
+    path = common.scratch(spark, "warc-damaged")
+    warc.write_archive(spark.createDataFrame([(1, "http://a/", "original")], "page_id long, url string, html string"), path)
+    stored = spark.read.parquet(f"{path}/payloads")
+    common.materialise(spark, stored, "kept").withColumn("payload", F.lit("HACKED").cast("binary")).write.mode("overwrite").parquet(f"{path}/payloads")
+    for read in (lambda: warc.restore(spark, path).select("payload"), lambda: warc.warc_bytes(spark, path)):
+        with pytest.raises(Exception, match="damaged payload"):
+            read().collect()
+    bad = warc.warc_bytes(spark, path).schema
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:" + b"0" * 40 + b"\r\nContent-Length: 21\r\n\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    with pytest.raises(Exception, match="disagrees"):
+        warc.parsed(spark.createDataFrame([(bytearray(record),)], bad)).collect()
 
 
 def test_url_rules(spark):
