@@ -104,7 +104,7 @@ def _secret_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}), lr AS (SELECT {table} AS r),
 e AS (SELECT doc_id, kind, ord, least, hits, vals, gaps, unnest(generate_series(1, len(hits))) AS i FROM m WHERE len(hits) > 0),
 s AS (SELECT doc_id, kind, ord, least, CAST({sums("gaps[1:i]")} + {sums("hits[1:i - 1]")} AS BIGINT) AS a, hits[i] AS h, vals[i] AS v FROM e),
-f AS (SELECT doc_id, kind, ord, a, a + length(h) AS b FROM s, lr WHERE CASE WHEN kind <> '{secrets.MARKOV}' THEN length(v) >= least ELSE regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]') AND {ratio} > {secrets.MARGIN} * length(h) END),
+f AS (SELECT doc_id, kind, ord, a, a + length(h) AS b FROM s, lr WHERE CASE WHEN kind <> '{secrets.MARKOV}' THEN length(v) >= least ELSE {ratio} > {secrets.MARGIN} * length(h) END),
 g AS (SELECT * FROM f WHERE kind <> '{secrets.MARKOV}' OR NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.kind <> '{secrets.MARKOV}' AND o.a < f.b AND f.a < o.b)),
 n AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.PATTERNS)}, string_agg({said}, ',' ORDER BY a, ord) FILTER (kind <> '{secrets.MARKOV}') AS base, string_agg({said}, ',' ORDER BY a, ord) AS spans FROM g GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in secrets.PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n ON d.doc_id = n.doc_id"""

@@ -4,9 +4,6 @@ identifiers, compared by log-likelihood ratio. DataFrame functions only.
 
 from __future__ import annotations
 
-import builtins
-import importlib
-import keyword
 import math
 import random
 import string
@@ -28,25 +25,63 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 MARKOV = "markov"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-"
 SIDE = len(ALPHABET) + 1
-#: Natural-log units, in thousandths, by which a string must be likelier as random, for each of its characters.
-MARGIN = 400
+#: Natural-log units, in thousandths, by which a string must be likelier as random, for each of its characters: above
+#: words of languages that the samples don't have (up to 610), below nearly all random strings.
+MARGIN = 700
+
+# Words that identifiers, paths and dated names are made of.
+WORDS = """
+account action active address admin alert alias amount archive argument array article asset attribute author balance batch billing block body branch bucket
+buffer build button cache calendar callback category channel character check child class client cluster code collection color column command comment commit common company
+component condition config connection constant contact container content context control counter country course create currency current customer daily data database date debug decimal
+decoder default delete delivery department description detail device dialog dictionary directory document domain download driver duration editor element email employee encoder endpoint engine
+entity error event example exception execute export extension factory feature field file filter folder format forum frame function gateway general global graph group handler
+header height history host html image import index information input install instance integer interface internal international invoice issue item journal keyboard kernel language layout
+letter level library license limit link list listener loader local location logger login manager mapping margin market master member memory message method metric middle minute
+mobile model module monitor month network notification number object office operation option order organization original output overview package page panel parameter parent partner password
+patient payment people percent period permission person picture platform player plugin policy position preference previous price primary printer priority private process product profile program project
+""".split()
+
+#: Labelled samples of each kind, of which every fifth is held out.
+SAMPLES, HELD_OUT = 4_000, 5
+
+
+def _pick(rng: random.Random, of) -> str:
+    return of[int(rng.random() * len(of))]
 
 
 def ordinary_samples() -> list[str]:
-    """Labelled 0: names of the standard library, alone and joined as paths and dated names are."""
-    modules = ["os", "socket", "string", "json", "email", "http.client", "logging", "threading", "urllib.parse", "collections", "itertools", "datetime", "decimal", "unittest", "xml.sax", "tarfile", "zipfile", "ssl", "select", "signal"]
-    names = sorted({n for m in modules for n in dir(importlib.import_module(m))} | set(dir(builtins)) | set(keyword.kwlist))
-    names = [n for n in names if set(n) <= set(ALPHABET)]
+    """Labelled 0: words alone, and joined as names, constants, paths, slugs and dated names are; long numbers, rules of one character and
+    stretches of the alphabet. The generator's random() is the same in every version of Python, and nothing else is drawn from."""
     rng = random.Random(11)
-    joined = [rng.choice("/_-").join([*rng.sample(names, rng.randint(2, 4)), *([str(rng.randint(1, 2030))] if rng.random() < 0.5 else [])]) for _ in range(4000)]
-    return names + joined
+    made = list(WORDS)
+    for k in range(SAMPLES):
+        parts = [_pick(rng, WORDS) for _ in range(2 + int(4 * rng.random()))]
+        year = str(1990 + int(45 * rng.random()))
+        number = str(int(10 ** (1 + 2 * rng.random())))
+        made.append([
+            "_".join(parts), "-".join(parts), "/".join(parts), parts[0] + "".join(p.title() for p in parts[1:]), "".join(p.title() for p in parts), "_".join(parts).upper(),
+            "/".join([*parts[:2], year, "-".join(parts[2:])]), "_".join([*parts, number]), "-".join([year, *parts]), "".join(parts),
+            "".join(_pick(rng, string.digits) for _ in range(20 + int(20 * rng.random()))), _pick(rng, ALPHABET) * (20 + int(40 * rng.random())), (_pick(rng, (string.ascii_lowercase, string.ascii_uppercase + string.digits)) * 3)[int(26 * rng.random()) :][: 20 + int(20 * rng.random())],
+        ][k % 13])
+    return made
 
 
 def random_samples() -> list[str]:
     """Labelled 1: drawn evenly from the alphabets that keys are written in."""
     rng = random.Random(12)
-    kinds = [string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
-    return ["".join(rng.choices(kinds[k % len(kinds)], k=rng.randint(20, 64))) for k in range(6000)]
+    letters = string.ascii_letters
+    kinds = ["0123456789abcdef", letters + string.digits, letters + string.digits + "+/", letters + string.digits + "_-", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, letters, string.ascii_lowercase]
+    return ["".join(_pick(rng, kinds[k % len(kinds)]) for _ in range(20 + int(45 * rng.random()))) for k in range(SAMPLES)]
+
+
+def learnt(samples: list[str]) -> list[str]:
+    return [s for k, s in enumerate(samples) if k % HELD_OUT]
+
+
+def held_out(samples: list[str], least: int = 20) -> list[str]:
+    """Those that a scan would look at."""
+    return [s for k, s in enumerate(samples) if k % HELD_OUT == 0 and len(s) >= least]
 
 
 def transitions(samples: list[str]) -> list[list[float]]:
@@ -64,12 +99,12 @@ def transitions(samples: list[str]) -> list[list[float]]:
 @cache
 def ratios() -> tuple[int, ...]:
     """Thousandths of the log-likelihood ratio, by SIDE * earlier + later."""
-    a, b = transitions(random_samples()), transitions(ordinary_samples())
+    a, b = transitions(learnt(random_samples())), transitions(learnt(ordinary_samples()))
     return tuple(round(1000 * (x - y)) for r, s in zip(a, b) for x, y in zip(r, s))
 
 
 def ratio(token: str) -> int:
-    """The same sum as the column expression's."""
+    """The same sum as the column expression's, in thousandths."""
     at = [ALPHABET.index(c) + 1 for c in token]
     return sum(ratios()[SIDE * a + b] for a, b in zip([0, *at], at))
 
@@ -118,9 +153,7 @@ def _at_least(n: int) -> Callable[[Column], Column]:
 
 def _random_like(token: Column) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios()))), ",").cast("array<int>")
-    total = _total(token, table)
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(mixed, total > F.length(token).cast("long") * MARGIN).otherwise(F.lit(False))
+    return _total(token, table) > F.length(token).cast("long") * MARGIN
 
 
 def _total(token: Column, table: Column) -> Column:
@@ -131,11 +164,11 @@ def _total(token: Column, table: Column) -> Column:
 
 def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans", partly: bool = False) -> DataFrame:
     """df with two arrays of (start, ord, kind, end), sorted: `base` has the matches of the fixed patterns,
-    `spans` also those strings of 20 and more characters with letters and digits that the Markov model of random
-    strings explains better, where no base match overlaps them (`partly`: where base matches don't cover all of them). Offsets are code points, ends exclusive.
+    `spans` also those strings of 20 and more characters that the Markov model of random strings explains better
+    (by MARGIN a character), where no base match overlaps them (`partly`: where base matches don't cover all of them). Offsets are code points, ends exclusive.
 
-    Null texts count as empty and have none. Whole texts are scanned; rows are kept as they come, repeated ones too.
-    Columns of df with the name of a new one are replaced.
+    Null texts count as empty and have none. Whole texts are scanned, of any length; rows are kept as they come, repeated ones
+    too, and an empty table gives an empty one. Of spans with one start, kinds come in the order listed. Columns of df with the name of a new one are replaced.
     """
     source, extra = common.fresh(df, "_secret_text", "_secret_extra")
     rows = df.withColumn(source, F.coalesce(df[text], F.lit(""))).drop(base, spans)

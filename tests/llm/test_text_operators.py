@@ -114,13 +114,32 @@ def test_secrets_base_equals_brute_force(spark):
         assert [tuple(s) for s in r["base_spans"]] == brute_secrets(r["text"])
         assert {tuple(s) for s in r["base_spans"]} <= {tuple(s) for s in r["secret_spans"]}
         added = [s for s in r["secret_spans"] if s["kind"] == secrets.MARKOV]
-        candidates = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, r["text"] or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secrets.ratio(m[0]) > secrets.MARGIN * len(m[0])]
+        candidates = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, r["text"] or "") if secrets.ratio(m[0]) > secrets.MARGIN * len(m[0])]
         assert [(s["start"], s["end"]) for s in added] == [(a, b) for a, b in candidates if all(e <= a or b <= s for s, _, _, e in brute_secrets(r["text"]))]
 
 
 def test_markov_model_tells_keys_from_names():
-    assert all(secrets.ratio(k) > secrets.MARGIN * len(k) for k in ("ghp16C7e42F292c6912E7710c838347Ae178B4a", "aGVsbG8gd29ybGQgMTIzNDU2", "d41d8cd98f00b204e9800998ecf8427e"))
-    assert all(secrets.ratio(k) < 0 for k in ("getElementsByTagNameAndClass2024", "user_profile_settings_page_2", "content/articles/2024/title-of-it"))
+    found = lambda k: secrets.ratio(k) > secrets.MARGIN * len(k)
+    assert all(map(found, ("ghp16C7e42F292c6912E7710c838347Ae178B4a", "aGVsbG8gd29ybGQgMTIzNDU2", "d41d8cd98f00b204e9800998ecf8427e", "kQzXwVbNpLtRsGhJdFmYcUoP", "qzxwvkjpbnmtdgfhrlsycwqx")))
+    assert not any(map(found, ("getElementsByTagNameAndClass2024", "user_profile_settings_page_2", "content/articles/2024/title-of-it", "-" * 40, "x" * 30, "12345678901234567890", "internationalizationOfStrings", "anticonstitutionnellement")))
+
+
+def test_markov_model_on_held_out_samples():
+    keys, names = secrets.held_out(secrets.random_samples()), secrets.held_out(secrets.ordinary_samples())
+    hits = [[secrets.ratio(k) > secrets.MARGIN * len(k) for k in kind] for kind in (keys, names)]
+    recall, precision = sum(hits[0]) / len(keys), sum(hits[0]) / max(1, sum(map(sum, hits)))
+    assert min(len(keys), len(names)) > 500 and recall >= 0.98 and precision >= 0.98
+    assert not set(secrets.learnt(secrets.random_samples())) & set(keys)
+
+
+def test_planted_keys_become_spans(spark):
+    """Keys that no fixed pattern finds, in prose; prose alone gives none."""
+    prose = "The report of the committee, with its annexes, was published in the official journal of that year."
+    keys = secrets.held_out(secrets.random_samples())[1:60:8]  # of letters and digits in either case
+    docs = spark.createDataFrame([(f"{prose} See {k} for more. {prose}",) for k in keys] + [(prose,)], "text string")
+    rows = secrets.find_secrets(docs).collect()
+    spans = [[r["text"][s["start"] : s["end"]] for s in r["secret_spans"] if s["kind"] == secrets.MARKOV] for r in rows]
+    assert len(spans) == len(keys) + 1 and spans == [[k] for k in keys] + [[]]
 
 
 def test_secrets_of_a_long_mixed_run(spark):
