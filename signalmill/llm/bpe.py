@@ -98,10 +98,10 @@ class Vocabulary:
         return self._endings
 
 
-def extend(v: Vocabulary, data: bytes, last: list[int], pairs: dict[int, bool]) -> None:
-    """Fills last[len(last)] to last[len(data)]. pairs: answers of `survives` found before."""
+def extend(v: Vocabulary, data: bytes, last: list[int], pairs: dict[int, bool], end: int | None = None) -> None:
+    """Fills last[len(last)] to last[end], or last[len(data)]. pairs: answers of `survives` found before."""
     endings, survives = v.endings(), v.survives
-    for i in range(len(last), len(data) + 1):
+    for i in range(len(last), (len(data) if end is None else end) + 1):
         node, j, found = endings, i, []
         while j:
             node = node.get(data[j - 1])
@@ -160,7 +160,7 @@ class PrefixEncoder:
         self.last, same, i = old[: start + 1], 0, start
         while i < len(self.data):
             i += 1
-            extend(self.vocabulary, self.data[:i], self.last, self.pairs)
+            extend(self.vocabulary, self.data, self.last, self.pairs, i)
             was = i - shift
             same = same + 1 if was > end + reach and old[was] == self.last[i] else 0
             if same >= reach:
@@ -195,7 +195,7 @@ class Pieces(dict):
     common prefixes of up to `shared` bytes. Bounded: whichever of the three tables is full is
     emptied; long pieces aren't held."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000, longest: int = 48, shared: int = 8, prefix_limit: int = 200_000, pair_limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000, longest: int = 48, shared: int = 8, prefix_limit: int = 100_000, pair_limit: int = 250_000):
         self.vocabulary, self.limit, self.longest, self.shared, self.prefix_limit, self.pair_limit = vocabulary, limit, longest, shared, prefix_limit, pair_limit
         self.prefixes: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}
@@ -245,16 +245,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec_for(rank_data: bytes, pattern: str) -> Codec:
     """One for each Python worker, which serves many tasks."""
-    key = (hashlib.sha256(rank_data).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(rank_data, pattern)
-    return _codecs[key]
+    return common.held(("codec", hashlib.sha256(rank_data).hexdigest(), pattern), lambda: Codec(rank_data, pattern))
 
 
 #: A rank file above this isn't broadcast.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import re
@@ -85,16 +87,45 @@ def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataTyp
     kinds = [to_arrow_type(t) for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = _made(make)
         for batch in batches:
             for part in slices(batch, columns):
                 new = work([part.column(c).to_pylist() for c in columns])
                 arrays = [*part.columns, *(pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *(n for n, _ in added)])
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+_held: list = [None, None, False]
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: the object last built under a key, one in all."""
+    if _held[0] != key:
+        _held[:2] = [None, None]
+        _held[:2] = [key, build()]
+    _held[2] = True
+    return _held[1]
+
+
+def _made(make: Callable):
+    """make(), letting go of what an earlier operator's tasks left if this one's ask for nothing."""
+    _held[2] = False
+    work = make()
+    if not _held[2]:
+        _held[:2] = [None, None]
+    return work
+
+
+def release() -> None:
+    """Gives freed memory back, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes of a batch that are turned into Python objects at once; bytes of a batch that the JVM and a worker both hold.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 

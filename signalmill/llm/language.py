@@ -19,9 +19,10 @@ from . import common
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}").search
-#: Bytes of UTF-8 above 0x7F and a-z stay, all else is a gap.
-_GAPS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TWO, _THREE, _CODES = 1 << 8, (1 << 8) + (1 << 16), (1 << 8) + (1 << 16) + (1 << 24)
+#: Bytes of UTF-8 above 0x7F and a-z are told apart, by numbers from 1; all else is a gap, 0.
+_CLASSES = bytes(c - 96 if 97 <= c <= 122 else c - 101 if c >= 128 else 0 for c in range(256))
+_SIDE = 155
+_TWO, _THREE, _CODES = _SIDE, _SIDE + _SIDE**2, _SIDE + _SIDE**2 + _SIDE**3
 
 
 @dataclass
@@ -32,17 +33,15 @@ class Model:
     weights: np.ndarray  # landmarks x languages, over normalised kernel values
     bias: np.ndarray
 
-    def __post_init__(self):
-        self._table: np.ndarray | None = None
+    def table(self) -> np.ndarray:
+        """The place of each n-gram's code; kept by the worker, for one model at a time."""
 
-    def __getstate__(self):
-        return {**self.__dict__, "_table": None}
+        def build():
+            table = np.full(_CODES, len(self.grams), dtype=np.int32 if len(self.grams) > 32_000 else np.int16)
+            table[self.grams] = np.arange(len(self.grams))
+            return table
 
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            self._table = np.full(_CODES, len(self.grams), dtype=np.int32 if len(self.grams) > 32_000 else np.int16)
-            self._table[self.grams] = np.arange(len(self.grams))
-        return self._table
+        return common.held(("language", self.grams.tobytes()), build)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The regression values of each text, and the share of its n-grams (repeats included) that the model looks at."""
@@ -59,9 +58,9 @@ class Model:
 
 
 def gram_codes(text: str) -> list[np.ndarray]:
-    b = np.frombuffer(text.lower().encode("utf-8").translate(_GAPS), dtype=np.uint8).astype(np.int32)
-    two = (b[:-1] << 8) + b[1:]
-    return [b, two + _TWO, (two[:-1] << 8) + b[2:] + _THREE]
+    b = np.frombuffer(text.lower().encode("utf-8").translate(_CLASSES), dtype=np.uint8).astype(np.int32)
+    two = b[:-1] * _SIDE + b[1:]
+    return [b, two + _TWO, two[:-1] * _SIDE + b[2:] + _THREE]
 
 
 def distinct_codes(text: str) -> np.ndarray:
@@ -163,6 +162,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str =
 
     def make():
         m = shared.value
+        if m is not None:
+            m.table()
 
         def work(columns):
             texts = columns[0]

@@ -220,6 +220,13 @@ def _turn(star: DataFrame) -> DataFrame:
     return large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small).distinct()
 
 
+def gathered(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, root) of one turn only: nodes of equal root are linked, but some that are linked have another root."""
+    star = links.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u > v").distinct()
+    turned = common.materialise(spark, _turn(star), "star")
+    return turned.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
 def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root): each linked node but the smallest of its component, with that smallest one. By
     turns of large and small stars, each written to the shared folder, until a turn changes nothing; a turn is joins
@@ -368,6 +375,7 @@ def _members(limit: int):
     visits; the links that this leaves out are looked for once these are known. A shard is searched in runs of so many rows."""
 
     def rows(batches):
+        common.held(None, lambda: None)
         for shard in _shards(batches, lambda held: len(held) < limit):
             nodes = list({r[1]: r for r in shard}.values())
             tree, mate = BKTree(), [r[1] for r in nodes]
@@ -393,6 +401,7 @@ def _across(batches):
     the largest, which is the last, is not held."""
 
     def rows():
+        common.held(None, lambda: None)
         key, component, tree, nodes, waiting, seen = None, None, BKTree(), [], [], set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 12):
@@ -466,8 +475,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     and hold only if the whole sets reach LEAST: none is wrong, and over 98 of 100 are found (tests, README).
 
     Texts without a word are copies of one another. Texts are read whole; an empty table gives an empty one. Copies (equal
-    sets) are one entry before any search. A family of near copies of any size is first linked along stars; then, once its
-    components are known, only shards of more than one are searched again, for all pairs of different components."""
+    sets) are one entry before any search. A family of near copies of any size is first linked along stars; then, once these
+    are gathered, only shards of more than one are searched again, for all pairs of different components."""
     spark = df.sparkSession
     rows = df.where(df[doc_id].isNotNull()).select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).withColumn("place", F.xxhash64("text"))
 
@@ -495,7 +504,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     members = common.materialise(spark, dealt.mapInArrow(_members(SHARD_TEXTS), _MEMBER), "simhash-members")
     pairs = common.materialise(spark, members.where("mate <> node").select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), "simhash-pairs")
     links = _verified(pairs, nodes, rows, shingle)
-    roots = connected(spark, links)
+    roots = gathered(spark, links)
     sizes = roots.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("component"), "size")
     of = members.select("key", "node", "fp").join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("component"))
     known = common.materialise(spark, of.join(sizes, "component", "left").select("key", F.coalesce("size", F.lit(0).cast("long")).alias("size"), "component", "node", "fp"), "simhash-known")
@@ -503,8 +512,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     sketches = nodes.select("node", F.col("size").alias("n"), "sketch")
     again = known.join(mixed, "key", "left_semi").join(sketches, "node").select(*known.columns, "n", "sketch").repartition("key").sortWithinPartitions("key", "size", "component")
     more = common.materialise(spark, again.mapInArrow(_across, _PAIR).distinct().join(pairs, ["a", "b"], "left_anti"), "simhash-pairs")
-    if not more.isEmpty():
-        roots = connected(spark, links.unionByName(_verified(more, nodes, rows, shingle)))
+    roots = connected(spark, links.unionByName(_verified(more, nodes, rows, shingle)))
     classes = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component"))
     return common.salted_join(made.select("doc_id", "place", "node"), classes, "node", "n").select("doc_id", "place", "component")
 
