@@ -8,6 +8,7 @@ index holds the wavelet matrix of the Burrows-Wheeler transform and every few su
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from itertools import chain, repeat
 
@@ -112,9 +113,9 @@ class FMIndex:
 class Windows:
     """The distinct windows of benchmark items, as arrays of word numbers, by length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        found: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         pairs: set[tuple[int, int]] = set()
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
@@ -203,15 +204,41 @@ def scan(windows: Windows, texts: list[str | None]) -> list[tuple[int, list[tupl
     return [(len(w), merge(s), i) for w, s, i in zip(split, spans, items)]
 
 
-#: The benchmark is searched in blocks of so many bytes of text; each block is broadcast and takes one pass.
+#: The benchmark is searched in blocks of at most so many bytes of text; each block is broadcast and takes one pass.
 BLOCK_BYTES = 8 << 20
+#: Passes that run in one stage, each in a worker of its own; then the rows are written.
+CHAINED = 4
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[DataFrame]:
-    size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    n = -(-size // limit) or 1
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+def pieces_of(benchmark: DataFrame, item_id: str, text: str, window: int, limit: int) -> DataFrame:
+    """(item, words), each once: the words of each text, joined by spaces. Longer texts than half the limit come in pieces that
+    overlap by a window less one word, so that each window is whole in one of them."""
+
+    def make():
+        def work(columns):
+            out = []
+            for t in columns[0]:
+                own = words(t)
+                step = max(1, len(own) * limit // (2 * max(1, sum(map(len, own)) + len(own))) - window) if own else 1
+                out.append([b" ".join(own[at : at + step + window - 1]).decode() for at in range(0, max(1, len(own) - window + 1), step)] if own else [])
+            return [out]
+
+        return work
+
+    rows = benchmark.select(benchmark[item_id].cast("string").alias("item"), benchmark[text].alias("text"))
+    parts = common.map_rows(rows, ["text"], [("parts", T.ArrayType(T.StringType()))], make)
+    return parts.select("item", F.explode("parts").alias("words")).distinct()
+
+
+def blocks_of(pieces: DataFrame, limit: int) -> list[DataFrame]:
+    """The pieces in blocks by hash, so many that none is above the limit (or is one piece)."""
+    n = -(-(pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // limit) or 1
+    while True:
+        block = F.pmod(F.xxhash64("item", "words"), F.lit(n))
+        sizes = pieces.groupBy(block.alias("b")).agg(F.sum(F.octet_length("words")).alias("size"), F.count("*").alias("m"))
+        if sizes.where((F.col("size") > limit) & (F.col("m") > 1)).isEmpty():
+            return [pieces.where(block == k) for k in range(n)]
+        n *= 2
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -222,21 +249,24 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     strings) and contaminated.
 
     A window is `window` consecutive words of an item, or the whole of a shorter one. Null texts
-    have no words, null items and items without words have no windows; repeated items count once.
-    Whole texts are searched, of any length. Columns of df with the name of a new one are replaced.
+    have no words, items without words have no windows; repeated items count once. Items with a null id have windows like others,
+    but aren't listed in hit_items. Whole texts are searched, of any length; rows are kept as they come, repeated ones alike, and an
+    empty table gives an empty one. Columns of df with the name of a new one are replaced.
     A larger benchmark is searched block by block, each in one more pass over the rows and without
-    a shuffle.
+    a shuffle; the rows are written after every CHAINED passes.
     """
     spark = df.sparkSession
     new = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
     words_, spans_, items_, source = common.fresh(df, "_hit_words", "_hit_spans", "_hit_items", "_hit_text")
     rows = df.withColumn(source, df[text]).select(*(f"`{c}`" for c in df.columns if c.lower() not in new), source)
     out = rows
-    for number, block in enumerate(blocks_of(benchmark, item_id, item_text, block_bytes)):
-        items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])  # bounded by block_bytes
+    pieces = common.materialise(spark, pieces_of(benchmark, item_id, item_text, window, block_bytes), "benchmark-pieces")
+    for number, block in enumerate(blocks_of(pieces, block_bytes)):
+        items = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in block.collect()])  # bounded by block_bytes
+        key = ("windows", uuid.uuid4().hex)
 
-        def make(items=items, number=number):
-            windows = Windows(items.value, window)
+        def make(items=items, number=number, key=key):
+            windows = common.held(key, lambda: Windows(items.value, window))
 
             def work(columns):
                 found = scan(windows, columns[0])
@@ -244,7 +274,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
                 spans, hits = [], []
                 for (_, own, ids), (old_spans, old_items) in zip(found, before):
                     spans.append([{"start": a, "end": b} for a, b in merge(own + [(s["start"], s["end"]) for s in old_spans or []])])
-                    hits.append(sorted(ids | set(old_items or [])))
+                    hits.append(sorted((ids - {None}) | set(old_items or [])))
                 return [[n for n, _, _ in found], spans, hits]
 
             return work
@@ -253,6 +283,8 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
         last = [f"{c}{number - 1}" for c in (spans_, items_)] if number else []
         out = common.map_rows(out, [source, *last], [(names[0], T.LongType()), (names[1], SPANS), (names[2], T.ArrayType(T.StringType()))], make)
         out = out.drop(*last, *([f"{words_}{number - 1}"] if number else []))
+        if number % CHAINED == CHAINED - 1:
+            out = common.materialise(spark, out, "passages")
     n_hit = F.aggregate(names[1], F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select(*(f"`{c}`" for c in rows.columns if c != source), F.col(names[0]).alias("n_words"), n_hit.alias("n_hit"), F.col(names[1]).alias("hit_spans"), F.col(names[2]).alias("hit_items"), (n_hit > 0).alias("contaminated"))
 

@@ -130,7 +130,7 @@ SELECT p.page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < {warc
 FROM p JOIN g ON p.h = g.h""",
         "op8_decontaminate": f"""
 WITH dw AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
-iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("coalesce(text, '')")} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, len(list_slice(w, k, k + 9)) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS s
   FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM iw WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
@@ -138,7 +138,7 @@ places AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' '
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, lens WHERE len(w) >= n)),
 hits AS (SELECT doc_id, k, places.n, item FROM places JOIN win ON places.s = win.s AND places.n = win.n),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN spots ON dw.doc_id = spots.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
         "op9_url_filter": f"""

@@ -70,6 +70,13 @@ def test_bpe_appends_and_edits(codec):
         assert edited.last == fresh.last and edited.tokens() == fresh.tokens()
 
 
+def test_bpe_edits_of_a_long_piece(codec):
+    """Each edit near the start of half a million bytes, with a table that never agrees again for long, stays linear."""
+    encoder = bpe.PrefixEncoder(codec.vocabulary, b"ab" * 250_000)
+    encoder.edit(1, 2, b"")
+    assert len(encoder.last) == 500_000
+
+
 def test_bpe_edit_stops_where_the_old_table_holds(codec):
     encoder = bpe.PrefixEncoder(codec.vocabulary, b"abcdefgh" * 200)
     assert encoder.edit(800, 801, b"x") < 400
@@ -257,15 +264,31 @@ def test_passages_frame(spark, block_bytes):
     benchmark = spark.createDataFrame([(1, passage, "x"), (10, "short item", "y"), (2, None, "z"), (3, "", "z"), (1, passage, "x"), (None, "the of", "n")], "item_id long, text string, n_hit string")
     texts = TEXTS + [f"start {passage.upper()} end", "a short-item, and two three four five six seven eight nine ten eleven", "short  item short"]
     rows = decontaminate.find_passages(frame(spark, texts), benchmark, block_bytes=block_bytes).collect()
-    items = [("1", passage), ("10", "short item")]
+    items = [("1", passage), ("10", "short item"), ("", "the of")]  # the last one's id is null: its words are hit, it isn't listed
     assert len(rows) == len(texts) + 2
     for r in rows:
         n, hit, found = brute_passages(items, r["text"], 10)
+        found = [x for x in found if x]
         assert (r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"]) == (n, hit, found, hit > 0)
     assert decontaminate.find_passages(frame(spark, []), benchmark).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.find_passages(frame(spark), benchmark.limit(0)).collect())
 
 
+def test_passages_of_long_and_repeated_items(spark, monkeypatch):
+    """Items beyond a block's bytes are cut with an overlap; repeated ones are one."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(300)}" for _ in range(400))
+    benchmark = spark.createDataFrame([(1, long), (2, "x y z")] + [(3, "again and again")] * 50 + [(k, None) for k in range(4, 60)], "item_id long, text string")
+    own = long.split()
+    texts = [" ".join(own[k : k + rng.randint(5, 30)]) + " end" for k in range(0, 380, 13)] + ["and again and again", long]
+    docs = spark.createDataFrame([(t, "clash") for t in texts], "text string, hit_spans string")
+    monkeypatch.setattr(decontaminate, "CHAINED", 2)
+    rows = decontaminate.find_passages(docs, benchmark, block_bytes=1200).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["hit_items"]) == brute_passages([("1", long), ("2", "x y z"), ("3", "again and again")], r["text"], 10)
+
+
 # --- pages ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="no-sidebar"><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
