@@ -75,9 +75,10 @@ def fresh(df: DataFrame, *names: str, besides: Iterable[str] = ()) -> list[str]:
     return out
 
 
-def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataType]], make: Callable[[], Callable[[list[list]], list[list]]], slice_bytes: int | None = None) -> DataFrame:
     """df with further columns. make() is called once a task and returns a function from the lists
-    of values of `columns` to lists of values of the added columns; batches stay Arrow otherwise."""
+    of values of `columns` to lists of values of the added columns; batches stay Arrow otherwise. Values come in slices of about
+    slice_bytes (SLICE_BYTES)."""
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
     fields = [T.StructField(n, t) for n, t in added]
@@ -89,7 +90,7 @@ def map_rows(df: DataFrame, columns: list[str], added: list[tuple[str, T.DataTyp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _made(make)
         for batch in batches:
-            for part in slices(batch, columns):
+            for part in slices(batch, columns, slice_bytes or SLICE_BYTES):
                 new = work([part.column(c).to_pylist() for c in columns])
                 arrays = [*part.columns, *(pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *(n for n, _ in added)])
@@ -127,7 +128,7 @@ def release() -> None:
 
 
 #: Bytes of a batch that are turned into Python objects at once; bytes of a batch that the JVM and a worker both hold.
-SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -206,6 +206,8 @@ def scan(windows: Windows, texts: list[str | None]) -> list[tuple[int, list[tupl
 
 #: The benchmark is searched in blocks of at most so many bytes of text; each block is broadcast and takes one pass.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are indexed at once.
+SLICE_BYTES = 3 << 20
 #: Passes that run in one stage, each in a worker of its own; then the rows are written.
 CHAINED = 4
 
@@ -281,7 +283,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
         names = [f"{c}{number}" for c in (words_, spans_, items_)]
         last = [f"{c}{number - 1}" for c in (spans_, items_)] if number else []
-        out = common.map_rows(out, [source, *last], [(names[0], T.LongType()), (names[1], SPANS), (names[2], T.ArrayType(T.StringType()))], make)
+        out = common.map_rows(out, [source, *last], [(names[0], T.LongType()), (names[1], SPANS), (names[2], T.ArrayType(T.StringType()))], make, SLICE_BYTES)
         out = out.drop(*last, *([f"{words_}{number - 1}"] if number else []))
         if number % CHAINED == CHAINED - 1:
             out = common.materialise(spark, out, "passages")
