@@ -153,6 +153,10 @@ def fuzzy_neighbours(term: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    """For SQL."""
+    """For SQL: these functions, and the readers' table functions."""
     for name, f in {"ner_entities": ner_entities, "pii_detect": pii_detect, "pii_redact": pii_redact, "sentiment": sentiment_of, "fuzzy_neighbours": fuzzy_neighbours}.items():
         spark.udf.register(name, f)
+    from ..sources import feeds, html
+
+    feeds.register(spark)
+    html.register(spark)

@@ -8,7 +8,6 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import lexicon  # noqa: F401  (fixed values live there)
 from ..schemas import TABLES
 
 FIELDS = ("prev_hash", "ts", "actor", "action", "target", "payload_json")

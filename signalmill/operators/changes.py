@@ -36,19 +36,57 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, drop_parents: bool =
     return out
 
 
-def first_writers(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row of each key: the first in order. Aggregated, so that a key with most of the rows meets in few rows a task."""
+def first_writers(df: DataFrame, key: str, order: list[str], copies: str | None = None) -> DataFrame:
+    """One row of each key: the first in order, with the number of its rows if `copies` names a column for it. Aggregated, so that a
+    key with most of the rows meets in few rows a task."""
     row = F.struct(*(F.col(c).alias(c) for c in df.columns))
-    return df.groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+    by = df.groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("_row"), F.count("*").alias("_n"))
+    return by.select("_row.*", *([F.col("_n").alias(copies)] if copies else []))
+
+
+def _first_of_batch(batch: DataFrame, order: list[str]) -> DataFrame:
+    unique = batch.withColumn("_key", F.concat_ws("\x1f", F.col("source_id").cast("string"), "external_id"))
+    return first_writers(first_writers(unique, "_key", list(order)), "content_hash", list(order)).drop("_key")
 
 
 def new_records(batch: DataFrame, stored: DataFrame, order: list[str] = ("posted_at", "external_id")) -> DataFrame:
     """Rows of a batch to be inserted: the first of each (source, external id), then of each content hash, that no stored row has."""
-    unique = batch.withColumn("_key", F.concat_ws("\x1f", F.col("source_id").cast("string"), "external_id"))
-    once = first_writers(first_writers(unique, "_key", list(order)), "content_hash", list(order)).drop("_key")
+    once = _first_of_batch(batch, order)
     return once.join(stored.select("source_id", "external_id"), ["source_id", "external_id"], "left_anti").join(stored.select("content_hash"), "content_hash", "left_anti").select(*batch.columns)
 
 
+#: Folders that the keys of all records are dealt over.
+KEY_BUCKETS = 256
+
+
+def _source_key() -> Column:
+    return F.concat_ws("\x1f", F.lit("s"), F.col("source_id").cast("string"), "external_id")
+
+
+def _hash_key() -> Column:
+    return F.concat_ws("\x1f", F.lit("h"), "content_hash")
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def keys_of(records: DataFrame) -> DataFrame:
+    """(key, bucket): what makes a later record a duplicate, two rows a record; dealt by bucket, so that a bucket is one file."""
+    keys = records.select(F.explode(F.array(_source_key(), _hash_key())).alias("key"))
+    return keys.withColumn("bucket", _bucket(F.col("key"))).repartition("bucket")
+
+
+def unknown_records(batch: DataFrame, keys: DataFrame, order: list[str] = ("posted_at", "external_id")) -> DataFrame:
+    """As new_records, against stored keys instead of records: of these only the buckets are read that the batch's keys are in."""
+    once = _first_of_batch(batch, order).withColumns({"_source_key": _source_key(), "_hash_key": _hash_key()})
+    buckets = once.select(F.explode(F.array(_bucket(F.col("_source_key")), _bucket(F.col("_hash_key")))).alias("b")).distinct().collect()  # KEY_BUCKETS numbers
+    known = keys.where(F.col("bucket").isin([r["b"] for r in buckets])).select("key")
+    for own in ("_source_key", "_hash_key"):
+        once = once.join(known.withColumnRenamed("key", own), own, "left_anti")
+    return once.select(*batch.columns)
+
+
 def high_water(records: DataFrame, source: str = "source_id", at: str = "posted_at", ident: str = "external_id") -> DataFrame:
     """Each source's latest time with its id; of equal times the largest id."""
     return records.groupBy(source).agg(F.max(at).alias("last_seen_ts"), F.max_by(ident, F.struct(at, ident)).alias("last_seen_id"), F.count("*").alias("n"))

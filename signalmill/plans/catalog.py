@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import extract, text
+from ..functions import text
 from ..operators import audit, changes, timeline
 from ..operators import disproportionality as dp
 
@@ -32,10 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import read_queries, source_queries  # noqa: F401  (they register theirs)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -136,8 +139,7 @@ _HASH = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
 @query(f"SELECT {_HASH} AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedup(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
-    first = changes.first_writers(docs, "content_hash", ["doc_id"])
-    return first.join(docs.groupBy("content_hash").agg(F.count("*").alias("copies")), "content_hash").select("content_hash", F.col("doc_id").alias("first_id"), "copies")
+    return changes.first_writers(docs, "content_hash", ["doc_id"], "copies").select("content_hash", F.col("doc_id").alias("first_id"), "copies")
 
 
 @query(f"SELECT {_HASH} AS content_hash, count(DISTINCT source) AS n_sources, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
@@ -194,54 +196,11 @@ def keyword_match(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keyword_hits(F.col("text"), KEYWORDS), ",").alias("matched"))
 
 
-@query(f"""SELECT doc_id FROM documents d WHERE source IN ('src1', 'src3') OR contains(lower(text), 'zzz') OR EXISTS (SELECT 1 FROM ({_TOKENS}) t WHERE t.doc_id = d.doc_id AND w IN ({_IN(EVENTS)}))""")
-def relevance_gate(spark, sf_dir):
-    t = F.col("text")
-    kept = F.col("source").isin("src1", "src3") | (F.size(text.keyword_hits(t, ["zzz"])) > 0) | text.has_mention(t, EVENTS)
-    return _t(spark, sf_dir, "documents").where(kept).select("doc_id")
-
-
-@query(f"""WITH e AS (SELECT CASE WHEN w IN ({_IN(DRUGS)}) THEN 'DRUG' ELSE 'SYMPTOM' END AS type, w AS name, doc_id, n_chars FROM ({_TOKENS}) WHERE w IN ({_IN(DRUGS + EVENTS)}))
-SELECT type, name, count(*) AS mentions, count(DISTINCT doc_id) AS records, max(n_chars) AS last_seen FROM e GROUP BY type, name""")
-def entity_rollup(spark, sf_dir):
-    t = F.col("text")
-    tagged = lambda names, kind: F.transform(text.mentions(t, {x: x for x in names}), lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(F.concat(tagged(DRUGS, "DRUG"), tagged(EVENTS, "SYMPTOM"))).alias("e"))
-    once = rows.groupBy("e.type", "e.name", "doc_id").agg(F.count("*").alias("m"), F.max("n_chars").alias("at"))
-    return once.groupBy("type", "name").agg(F.sum("m").cast("long").alias("mentions"), F.count("*").alias("records"), F.max("at").alias("last_seen"))
-
-
 @query(f"SELECT doc_id, {' + '.join(f'''CAST(len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]', '  ', 'g') || ' ', ' {w} ')) AS INTEGER)''' for w in ('er', 'on', 'the'))} AS n FROM documents")
 def term_counts(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.count_terms(F.col("text"), ["er", "on", "the"]).alias("n"))
 
 
-@query()
-def sentiment_labels(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", extract.sentiment_of("text").alias("s")).select("doc_id", "s.label", "s.score", "s.has_adr_trigger")
-
-
-@query()
-def entity_spans(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(extract.ner_entities("text")["entities"]).alias("e")).select("doc_id", "e.*")
-
-
-@query()
-def pii_spans(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(extract.pii_detect("text")).alias("h")).select("doc_id", "h.*")
-
-
-@query("SELECT doc_id, printf('%.3f', n_chars / 1000.0) AS score, CAST(len(string_split(source, 'r')) AS INTEGER) AS entities_count, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM documents".replace("\r", r"\r").replace("\n", r"\n"))
-def csv_export_projection(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.format_string("%.3f", F.col("n_chars") / 1000.0).alias("score"), F.size(F.split("source", "r")).alias("entities_count"), F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
-
-
-@query("SELECT quality AS kind, count(*) AS expected, count(*) FILTER (toxic = 0) + 2 AS found, round(least(1.0, (count(*) FILTER (toxic = 0) + 2) / count(*)), 3) AS recall FROM labels GROUP BY quality")
-def pii_recall(spark, sf_dir):
-    n = _t(spark, sf_dir, "labels").groupBy(F.col("quality").alias("kind")).agg(F.count("*").alias("expected"), (F.count_if(F.col("toxic") == 0) + 2).alias("found"))
-    return n.withColumn("recall", F.round(F.least(F.lit(1.0), F.col("found") / F.col("expected")), 3))
-
-
 # --- feeds, timelines, watermarks ---
 
 
@@ -339,21 +298,6 @@ def source_health_classify(spark, sf_dir):
     return customer_sources(spark, sf_dir).select("c_custkey", "stored", "health")
 
 
-@query(f"WITH {_SOURCES} SELECT c_custkey, c_name, last_run, {_CLASS} AS health FROM src ORDER BY enabled DESC, last_run DESC NULLS LAST, c_custkey LIMIT 20")
-def source_health_list(spark, sf_dir):
-    return customer_sources(spark, sf_dir).orderBy(F.desc("enabled"), F.desc_nulls_last("last_run"), "c_custkey").limit(20).select("c_custkey", "c_name", "last_run", "health")
-
-
-@query(f"""WITH {_SOURCES}, k AS (SELECT count(*) AS sources_total, count(*) FILTER (enabled) AS sources, count(*) FILTER (enabled AND h = 'HEALTHY') AS healthy, count(*) FILTER (enabled AND h = 'STALE') AS stale, count(*) FILTER (enabled AND h = 'IDLE') AS idle, CAST(coalesce(sum(stored), 0) AS BIGINT) AS records FROM (SELECT *, {_CLASS} AS h FROM src))
-SELECT *, round(CASE WHEN sources > 0 THEN 100.0 * healthy / sources ELSE 100.0 END, 1) AS uptime_pct, (SELECT count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem WHERE l_quantity >= 30) AS flagged FROM k""")
-def kpi_rollup(spark, sf_dir):
-    of = lambda h: F.count_if(F.col("enabled") & (F.col("health") == h))
-    k = customer_sources(spark, sf_dir).agg(F.count("*").alias("sources_total"), F.count_if("enabled").alias("sources"), of("HEALTHY").alias("healthy"), of("STALE").alias("stale"), of("IDLE").alias("idle"), F.coalesce(F.sum("stored"), F.lit(0)).cast("long").alias("records"))
-    flagged = _t(spark, sf_dir, "lineitem").where("l_quantity >= 30").select("l_partkey", "l_suppkey").distinct().agg(F.count("*").alias("flagged"))
-    up = F.when(F.col("sources") > 0, 100.0 * F.col("healthy") / F.col("sources")).otherwise(100.0)
-    return k.withColumn("uptime_pct", F.round(up, 1)).crossJoin(flagged)  # one row each
-
-
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_per_group(spark, sf_dir):
     last = F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("r")
@@ -370,28 +314,6 @@ def topk_examples(spark, sf_dir):
     return dp.examples(_t(spark, sf_dir, "documents"), ["source"], "doc_id", "text").select("source", F.array_join("examples", "|").alias("examples"))
 
 
-@query("""SELECT * FROM (
-(SELECT o_orderdate AS seen, 'DATA_REDACTION' AS action, 'Record #' || CAST(o_orderkey AS VARCHAR) AS subject FROM orders WHERE o_totalprice > 300000) UNION ALL
-(SELECT l_shipdate, 'SIGNAL_TRIAGE', 'Sig-' || lpad(CAST(l_orderkey % 1000 AS VARCHAR), 3, '0') FROM lineitem WHERE l_quantity >= 50) UNION ALL
-(SELECT o_orderdate, 'CONNECTOR_FAILURE', 'Source ' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')) ORDER BY seen DESC, action, subject LIMIT 12""")
-def compliance_union(spark, sf_dir):
-    orders, items = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
-    redactions = orders.where("o_totalprice > 300000").select(F.col("o_orderdate").alias("seen"), F.lit("DATA_REDACTION").alias("action"), F.concat(F.lit("Record #"), F.col("o_orderkey").cast("string")).alias("subject"))
-    triage = items.where("l_quantity >= 50").select(F.col("l_shipdate").alias("seen"), F.lit("SIGNAL_TRIAGE").alias("action"), F.concat(F.lit("Sig-"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0")).alias("subject"))
-    failures = orders.where("o_orderstatus = 'P'").select(F.col("o_orderdate").alias("seen"), F.lit("CONNECTOR_FAILURE").alias("action"), F.concat(F.lit("Source "), F.col("o_custkey").cast("string")).alias("subject"))
-    return redactions.unionByName(triage).unionByName(failures).orderBy(F.desc("seen"), "action", "subject").limit(12)
-
-
-@query("""(SELECT 'part' AS kind, p_partkey AS id, p_name AS label FROM part WHERE lower(p_name) LIKE '%1%' ORDER BY p_partkey LIMIT 30) UNION ALL
-(SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%1%' ORDER BY s_suppkey LIMIT 20) UNION ALL (SELECT 'customer', c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%1%' ORDER BY c_custkey LIMIT 20)""")
-def search_like(spark, sf_dir):
-    out = None
-    for kind, key, label, most in (("part", "p_partkey", "p_name", 30), ("supplier", "s_suppkey", "s_name", 20), ("customer", "c_custkey", "c_name", 20)):
-        hits = _t(spark, sf_dir, kind).where(F.lower(label).like("%1%")).orderBy(key).limit(most).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 @query("""SELECT event_id AS id, strftime(ts, '%H:%M:%S') AS time, event_type AS "user", 'EVT-' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(3, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS trace FROM events
 WHERE event_type NOT ILIKE 'VIEW%' AND event_type NOT ILIKE '%UP' ORDER BY event_id DESC LIMIT 8""")
 def not_like_tail(spark, sf_dir):
@@ -399,14 +321,6 @@ def not_like_tail(spark, sf_dir):
     return audit.listed(log, 8, ("VIEW%", "%UP")).select("id", "time", "user", "trace")
 
 
-@query("SELECT count(*) AS records, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) THEN 1 ELSE 0 END) AS BIGINT) AS traced, round(100.0 * sum(CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) THEN 1 ELSE 0 END) / count(*), 1) AS traceability_pct FROM customer")
-def semi_exists_traceability(spark, sf_dir):
-    customers = _t(spark, sf_dir, "customer").select("c_custkey")
-    traced = customers.join(_t(spark, sf_dir, "orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.count("*").alias("traced"))
-    all_ = customers.agg(F.count("*").alias("records"))
-    return all_.crossJoin(traced).withColumn("traceability_pct", F.round(100.0 * F.col("traced") / F.col("records"), 1))  # one row each
-
-
 # --- changes ---
 
 
@@ -470,7 +384,14 @@ def thread_flatten(spark, sf_dir):
     return flat.select("conv_id", "turn", F.when(F.col("depth") == 0, "post").otherwise("comment").alias("kind"), "external_id", "parent_id", "depth")
 
 
-@query()
+_CLEAN = r"""trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH a AS (SELECT page_id, url, {_CLEAN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+l AS (SELECT page_id, url, title, list_concat([body], list_transform(string_split(body, '<p>')[2:], lambda x: regexp_replace(x, '</p>.*$', '', 's'))) AS parts FROM a),
+b AS (SELECT page_id, url, title, generate_subscripts(parts, 1) AS place, unnest(parts) AS x FROM l), c AS (SELECT page_id, url, title, place, {_CLEAN.format("x")} AS t FROM b),
+d AS (SELECT * FROM c WHERE length(t) >= 80 QUALIFY row_number() OVER (PARTITION BY page_id, substr(t, 1, 200) ORDER BY place) = 1), e AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS INTEGER) AS nth FROM d)
+SELECT page_id, nth, 'html:' || substr(sha1(url || '#' || nth || '#' || substr(t, 1, 80)), 1, 16) AS external_id, CASE WHEN title = '' THEN t ELSE title || chr(10) || chr(10) || t END AS text FROM e""")
 def html_block_dedup(spark, sf_dir):
     from ..sources import html
 
@@ -491,20 +412,6 @@ def time_window_gate(spark, sf_dir):
     return _t(spark, sf_dir, "events").where(in_any(F.col("ts"), bounds)).select("event_id")
 
 
-@query("""SELECT r_regionkey AS project_id, count(DISTINCT n_nationkey) AS sources_total, count(DISTINCT c_custkey) AS records, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS entities FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey""")
-def project_counts(spark, sf_dir):
-    records = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("records"), F.count_if(F.col("c_acctbal") > 0).alias("entities"))
-    sources = _t(spark, sf_dir, "nation").join(records, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("project_id")).agg(F.count("*").alias("sources_total"), F.sum("records").alias("records"), F.sum("entities").alias("entities"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("project_id")).join(sources, "project_id", "left").select("project_id", *map(zero, ("sources_total", "records", "entities")))
-
-
-@query("SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate >= TIMESTAMP '1998-08-01' AS is_new FROM orders WHERE o_totalprice >= 1000 ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey LIMIT 6")
-def recent_signals(spark, sf_dir):
-    new = F.col("o_orderdate") >= F.lit("1998-08-01").cast("timestamp_ntz")
-    return _t(spark, sf_dir, "orders").where("o_totalprice >= 1000").orderBy(F.desc("o_orderdate"), F.desc("o_totalprice"), "o_orderkey").limit(6).select("o_custkey", "o_orderkey", "o_totalprice", new.alias("is_new"))
-
-
 # --- further joins, totals and projections ---
 
 
@@ -513,35 +420,12 @@ def evidence_highlight(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.highlight(F.col("text"), F.lit("tion"), F.lit("ent")).alias("snippet"))
 
 
-@query(f"""WITH h AS (SELECT source, doc_id, contains(lower(text), 'tion') AS hit, row_number() OVER (PARTITION BY {_HASH} ORDER BY doc_id) = 1 AS first FROM documents)
-SELECT source, count(*) AS fetched, count(*) FILTER (hit) AS matched, count(*) FILTER (first) AS inserted, count(*) - count(*) FILTER (first) AS duplicates FROM h GROUP BY source""")
-def ingest_totals(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", (F.size(text.keyword_hits(F.col("text"), ["tion"])) > 0).alias("hit"), text.content_hash(F.col("text")).alias("content_hash"))
-    fetched = docs.groupBy("source").agg(F.count("*").alias("fetched"), F.count_if("hit").alias("matched"))
-    inserted = changes.first_writers(docs.drop("hit"), "content_hash", ["doc_id"]).groupBy("source").agg(F.count("*").alias("inserted"))
-    both = fetched.join(inserted, "source", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0).cast("long")))
-    return both.withColumn("duplicates", F.col("fetched") - F.col("inserted"))
-
-
-@query("""SELECT c_custkey, greatest(TIMESTAMP '1998-07-01', coalesce(max(o_orderdate), TIMESTAMP '1998-07-01')) AS since FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
-def effective_since(spark, sf_dir):
-    marks = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("mark"))
-    return _t(spark, sf_dir, "customer").select("c_custkey").join(marks, "c_custkey", "left").select("c_custkey", F.greatest(F.lit("1998-07-01").cast("timestamp_ntz"), F.col("mark").cast("timestamp_ntz")).alias("since"))
-
-
 @query("SELECT event_type, count(*) AS n, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS total, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type")
 def payload_fields(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.coalesce(k, F.lit(0))).alias("total"), F.max(k).alias("most"))
 
 
-@query("""SELECT n_nationkey, n_name, count(DISTINCT c_custkey) AS sources, count(o_orderkey) AS records, max(o_orderdate) AS last_run FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_name""")
-def project_summary(spark, sf_dir):
-    per = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
-    own = _t(spark, sf_dir, "customer").join(per, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("sources"), F.sum("n").alias("records"), F.max("last").alias("last_run"))
-    return _t(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(own, "n_nationkey", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("sources", "records")})
-
-
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey <> 3 AND s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'changed' ELSE s_name END FROM supplier WHERE s_nationkey = 3 AND s_suppkey % 2 = 0
 UNION ALL SELECT s_suppkey, 'changed' FROM supplier WHERE s_nationkey <> 3 AND s_suppkey % 5 = 0""")
 def sync_sources(spark, sf_dir):
@@ -556,11 +440,6 @@ def window_bounds(spark, sf_dir):
     return rows.groupBy("n_regionkey").agg(F.min("o_orderdate").alias("window_since"), F.max("o_orderdate").alias("window_until"), F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, coalesce(nullif(role, 'user'), CASE WHEN contains(text, '?') THEN 'question' ELSE 'statement' END) AS label FROM conversations")
-def label_fallback(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("user")), F.when(F.contains("text", F.lit("?")), "question").otherwise("statement")).alias("label"))
-
-
 @query("""SELECT l_returnflag, s_nationkey, count(*) AS n, max(l_shipdate) AS last_run, CAST(round(100 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS pct, CAST(round(100 * count(*) / max(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS bar_pct
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_returnflag, s_nationkey""")
 def contributing_sources(spark, sf_dir):
@@ -569,8 +448,3 @@ def contributing_sources(spark, sf_dir):
     last = rows.groupBy("l_returnflag", "s_nationkey").agg(F.max("l_shipdate").alias("last_run"))
     return timeline.shares(rows, "s_nationkey", of=("l_returnflag",)).join(last, ["l_returnflag", "s_nationkey"])
 
-
-@query("SELECT lower(trim(w)) AS keyword, min(item_id) AS first_item, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(trim(w)) > 2 GROUP BY 1")
-def keyword_union(spark, sf_dir):
-    words = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where(F.length(F.trim("w")) > 2)
-    return words.groupBy(F.lower(F.trim("w")).alias("keyword")).agg(F.min("item_id").alias("first_item"), F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,8 +213,9 @@ def compliance_log(t: Tables, limit: int = 12) -> DataFrame:
 
 
 def search(t: Tables, query: str, signals: int = 30, projects: int = 20, sources: int = 20) -> DataFrame:
-    """(kind, id, label): pairs, projects and sources that have the query in a name; its % and _ are wild."""
-    like = lambda *cs: F.expr(" OR ".join(f"lower({c}) LIKE '%{{}}%'".format(query.lower().replace("'", "''")) for c in cs))
+    """(kind, id, label): pairs, projects and sources that have the query in a name; its % and _ are wild, nothing else in it is."""
+    pattern = F.lit(f"%{query.lower()}%".replace("\\", "\\\\"))
+    like = lambda *cs: reduce(Column.__or__, (F.like(F.lower(c), pattern) for c in cs))
     hit = lambda df, cond, kind, ident, label, order, most: df.where(cond).orderBy(*order).limit(most).select(F.lit(kind).alias("kind"), ident.cast("string").alias("id"), label.alias("label"))
     a = hit(t("signals"), like("drug", "event"), "signal", F.col("id"), F.concat_ws(" → ", "drug", "event"), (F.desc("computed_at"), F.desc("prr"), "id"), signals)
     b = hit(t("projects"), like("id", "name"), "project", F.col("id"), F.col("name"), ("id",), projects)

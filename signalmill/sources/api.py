@@ -64,13 +64,28 @@ def _in_a_browser(url: str, timeout: float) -> tuple[int, str]:
 RUNGS: tuple[tuple[str, Callable[[str, float], tuple[int, str]]], ...] = (("plain", _plain), ("impersonating", _like_a_browser), ("browser", _in_a_browser))
 
 
-def fetch(url: str, timeout: float = 20, rungs=RUNGS) -> Fetched:
-    """The first rung with a text and a status of success; rungs whose library isn't there are passed over. All attempts are told."""
+#: Statuses after which a rung is tried again, and the seconds waited before each further try.
+BUSY, WAITS = {429, 500, 502, 503, 504}, (0.5, 1.5)
+
+
+def _tried(get, url: str, timeout: float, waits: tuple[float, ...]) -> tuple[int, str]:
+    status, text = get(url, timeout)
+    for wait in waits:
+        if status not in BUSY:
+            break
+        time.sleep(wait)
+        status, text = get(url, timeout)
+    return status, text
+
+
+def fetch(url: str, timeout: float = 20, rungs=RUNGS, waits: tuple[float, ...] = WAITS) -> Fetched:
+    """The first rung with a text and a status of success; rungs whose library isn't there are passed over, a busy one is tried again after
+    a while. All rungs tried are told."""
     began, out = time.monotonic(), Fetched(url)
     for name, get in rungs:
         at = time.monotonic()
         try:
-            status, text = get(url, timeout)
+            status, text = _tried(get, url, timeout, waits)
             error = None
         except ImportError:
             continue
@@ -84,6 +99,29 @@ def fetch(url: str, timeout: float = 20, rungs=RUNGS) -> Fetched:
     return out
 
 
+def listing_pages(path: str, pages: int) -> list[str]:
+    """Texts of a listing's pages by its cursors, until it names no next one or a page can't be had."""
+    out, after = [], ""
+    while len(out) < pages:
+        got = fetch(path.replace("{after}", after))
+        if not got.ok:
+            break
+        out.append(got.text)
+        after = (json.loads(got.text).get("data") or {}).get("after") or ""
+        if not after:
+            break
+    return out
+
+
+def second_listing(url: str) -> str | None:
+    """Of a post's two listings that of its comments; null if it can't be had."""
+    got = fetch(url)
+    try:
+        return json.dumps(json.loads(got.text)[1]) if got.ok else None
+    except (ValueError, LookupError, TypeError):
+        return None
+
+
 @dataclass
 class Page(InputPartition):
     skip: int

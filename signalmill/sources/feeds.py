@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.changes import emission_cap
 from ..schemas import RAW_RECORD
 
 
@@ -30,15 +31,25 @@ def _plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
 
 
-_RSS = "guid string, id string, title string, link string, description string, summary string, pubDate string, published string, updated string, author string"
+RSS = "guid string, id string, title string, link string, description string, summary string, pubDate string, published string, updated string, author string"
 
 
 def rss(spark: SparkSession, path: str, now: Column, row_tag: str = "item", most: int = 25, language: str | None = None) -> DataFrame:
     """Items of an RSS feed (row_tag "entry": Atom), the first `most` of each file."""
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(_RSS).load(path).withColumn("_file", F.input_file_name()).withColumn("_nth", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(RSS).load(path).withColumn("_file", F.input_file_name()).withColumn("_nth", F.monotonically_increasing_id())
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_file").orderBy("_nth"))).where(F.col("_k") <= most)
+    return rss_records(rows, now, language)
+
+
+def rss_texts(texts: DataFrame, now: Column, row_tag: str = "item", most: int = 25, language: str | None = None) -> DataFrame:
+    """Items of feeds fetched as text (url, text)."""
+    items = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)<{row_tag}[ >].*?</{row_tag}>"), F.lit(0)), 1, most)
+    rows = texts.select(F.explode(items).alias("x")).select(F.from_xml("x", RSS).alias("i")).select("i.*")
+    return rss_records(rows, now, language)
+
+
+def rss_records(rows: DataFrame, now: Column, language: str | None = None) -> DataFrame:
+    """Rows of RSS, one an item."""
     # Weekdays and zone names of mail dates aren't read by Spark's patterns.
     told = F.regexp_replace(F.regexp_replace(F.coalesce("published", "pubDate", "updated"), "^[A-Za-z]{3},\\s*", ""), "(GMT|UTC|UT)$", "+0000")
     at = dated(told, now, "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX")
@@ -47,8 +58,43 @@ def rss(spark: SparkSession, path: str, now: Column, row_tag: str = "item", most
 
 
 def faers(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """`$`-separated Latin-1 rows with a header: primaryid, drugname, pt, event_dt, narrative."""
-    rows = spark.read.csv(path, sep="$", encoding="ISO-8859-1", header=True)
+    """`$`-separated Latin-1 rows with a header: primaryid, drugname, pt, event_dt, narrative; from text files, or from those in
+    ZIP archives, each of which is unpacked where it is read."""
+    if path.lower().endswith(".zip"):
+        return faers_records(_unzipped(spark, path), now)
+    return faers_records(spark.read.csv(path, sep="$", encoding="ISO-8859-1", header=True), now)
+
+
+FAERS = "primaryid string, drugname string, pt string, event_dt string, narrative string"
+
+
+def _unzipped(spark: SparkSession, path: str) -> DataFrame:
+    names = [f.split()[0] for f in FAERS.split(", ")]
+
+    def rows(batches):
+        import csv
+        import io
+        import zipfile
+
+        for batch in batches:
+            for data in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".txt")):
+                        with z.open(name) as f:
+                            lines = csv.DictReader(io.TextIOWrapper(f, "ISO-8859-1", newline=""), delimiter="$")
+                            lines.fieldnames = [x.strip().lower() for x in lines.fieldnames or []]
+                            held = []
+                            for line in lines:
+                                held.append([line.get(n) for n in names])
+                                if len(held) == 4096:
+                                    yield pd.DataFrame(held, columns=names)
+                                    held = []
+                            yield pd.DataFrame(held, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, FAERS)
+
+
+def faers_records(rows: DataFrame, now: Column) -> DataFrame:
     have = {c.lower(): c for c in rows.columns}
     get = lambda c: F.col(have[c]) if c in have else F.lit(None).cast("string")
     empty = lambda c: F.coalesce(get(c), F.lit(""))
@@ -93,7 +139,10 @@ POSTS = "id string, author string, created_at string, lang string, text string,
 
 
 def x_posts(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    rows = spark.read.json(path, schema=POSTS, multiLine=True)
+    return x_records(spark.read.json(path, schema=POSTS, multiLine=True), now)
+
+
+def x_records(rows: DataFrame, now: Column) -> DataFrame:
     return shaped(rows.where("id IS NOT NULL").select(F.concat(F.lit("x:"), F.col("id")).alias("external_id"), "url", "text", dated(F.col("created_at"), now, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("posted_at"), F.col("author").alias("author_handle"), F.col("lang").alias("language_hint"), F.lit("x").alias("source_kind")))
 
 
@@ -103,10 +152,13 @@ LISTING = f"data struct<after:string,children:array<struct<data:struct<{_POST}>>
 
 def reddit_listing(spark: SparkSession, path: str, subreddits: int = 1, total: int = 1000) -> DataFrame:
     """Captured listings; of each file (a subreddit) the newest total // subreddits posts."""
-    from ..operators.changes import emission_cap
+    posts = spark.read.json(path, schema=LISTING, multiLine=True).select(F.input_file_name().alias("sub"), F.explode("data.children.data").alias("p")).select("sub", "p.*")
+    return reddit_records(posts, subreddits, total)
+
 
-    posts = spark.read.json(path, schema=LISTING, multiLine=True).select(F.input_file_name().alias("_file"), F.explode("data.children.data").alias("p")).select("_file", "p.*").where("id IS NOT NULL")
-    kept = emission_cap(posts, "_file", [F.desc("created_utc"), F.col("id")], total, subreddits)
+def reddit_records(posts: DataFrame, subreddits: int = 1, total: int = 1000) -> DataFrame:
+    """Posts with their subreddit as `sub`; of each the newest total // subreddits."""
+    kept = emission_cap(posts.where("id IS NOT NULL"), "sub", [F.desc("created_utc"), F.col("id")], total, subreddits)
     text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("selftext", F.lit(""))))
     return shaped(kept.select(F.concat(F.lit("reddit:"), F.col("id")).alias("external_id"), F.concat(F.lit("https://www.reddit.com"), "permalink").alias("url"), text.alias("text"), F.timestamp_seconds(F.coalesce("created_utc", F.lit(0.0))).alias("posted_at"), F.col("author").alias("author_handle"), F.lit("reddit").alias("source_kind")))
 
@@ -125,6 +177,12 @@ def comments(thread: dict, post_id: str, most: int = 100) -> list[dict]:
     return out
 
 
+def comment_records(threads: DataFrame, most: int = 100) -> DataFrame:
+    """Records of the comments of (post_id, thread: JSON of its comment listing)."""
+    rows = threads.select(F.explode(comment_column(most)("post_id", "thread")).alias("c")).select("c.*")
+    return shaped(rows.withColumns({"posted_at": F.timestamp_seconds("created_utc"), "source_kind": F.lit("reddit")}))
+
+
 COMMENT = T.ArrayType(T.StructType([T.StructField("external_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("author_handle", T.StringType()), T.StructField("parent_id", T.StringType()), T.StructField("created_utc", T.DoubleType())]))
 
 
@@ -139,6 +197,19 @@ def comment_column(most: int = 100):
     return flat
 
 
+def register(spark: SparkSession) -> None:
+    """A table function for SQL: comment_tree(post_id, thread)."""
+    import json
+
+    @F.udtf(returnType="external_id string, text string, author_handle string, parent_id string, created_utc double")
+    class CommentTree:
+        def eval(self, post: str, thread: str):
+            for c in comments(json.loads(thread), post) if thread else ():
+                yield c["external_id"], c["text"], c["author_handle"], c["parent_id"], float(c["created_utc"])
+
+    spark.udtf.register("comment_tree", CommentTree)
+
+
 # Sentences of made-up posts, with the shares of pairs, lone drugs, lone events and background.
 _PAIR_TEXTS = ("Took {d} and ended up with {e}.", "After taking {d} I have {e} every day.", "{d} caused me {e}, had to stop.")
 _OTHER_TEXTS = ("Started {d} last week, fine so far.", "Is {e} common in this weather?", "Long day, nothing to report.")

@@ -47,14 +47,15 @@ class _Node:
 class _Tree(HTMLParser):
     """Elements in order; a p ends where the next block starts, and what is left out isn't kept."""
 
-    def __init__(self):
+    def __init__(self, left_out):
         super().__init__(convert_charrefs=True)
+        self.left_out = left_out
         self.root = self.top = _Node("", {}, None)
         self.out = 0
         self.depth = 0
 
     def handle_starttag(self, tag, attrs):
-        if self.out or tag in LEFT_OUT:
+        if self.out or tag in self.left_out:
             self.out += tag not in VOID
             return
         if tag in ("p", "article", "ul", "ol", "blockquote", "div", "h1", "h2", "h3", "table"):
@@ -86,8 +87,8 @@ class _Tree(HTMLParser):
             self.top.parts.append(data)
 
 
-def parse(page: str | None) -> _Node:
-    tree = _Tree()
+def parse(page: str | None, left_out=LEFT_OUT) -> _Node:
+    tree = _Tree(left_out)
     tree.feed(page or "")
     tree.close()
     return tree.root
@@ -111,14 +112,15 @@ def blocks(page: str | None, min_chars: int = MIN_CHARS, most: int = MOST_BLOCKS
 _BLOCK = T.ArrayType(T.StructType([T.StructField("nth", T.IntegerType()), T.StructField("external_id", T.StringType()), T.StructField("text", T.StringType())]))
 
 
+def named_blocks(url: str, page: str | None) -> list[dict]:
+    title, found = blocks(page)
+    name = lambda k, t: "html:" + hashlib.sha1(f"{url}#{k}#{t[:80]}".encode()).hexdigest()[:16]
+    return [{"nth": k, "external_id": name(k, t), "text": f"{title}\n\n{t}" if title else t} for k, t in enumerate(found)]
+
+
 @F.pandas_udf(_BLOCK)
 def _blocks_of(url: pd.Series, page: pd.Series) -> pd.Series:
-    def one(u, h):
-        title, found = blocks(h)
-        name = lambda k, t: "html:" + hashlib.sha1(f"{u}#{k}#{t[:80]}".encode()).hexdigest()[:16]
-        return [{"nth": k, "external_id": name(k, t), "text": f"{title}\n\n{t}" if title else t} for k, t in enumerate(found)]
-
-    return pd.Series([one(u, h) for u, h in zip(url, page)])
+    return pd.Series([named_blocks(u, h) for u, h in zip(url, page)])
 
 
 def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -127,10 +129,10 @@ def page_blocks(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
 
 def links(url: str, page: str | None, pattern: str | None = None, same_host: bool = True, most: int = 50) -> list[str]:
-    """Absolute addresses that a page links to, each once, in order: of its host, with a path that the pattern finds."""
+    """Absolute addresses that a page links to (its menus, too), each once, in order: of its host, with a path that the pattern finds."""
     host, path = urlsplit(url).netloc, re.compile(pattern) if pattern else None
     out: dict[str, None] = {}
-    for node in parse(page).walk():
+    for node in parse(page, ()).walk():
         if node.tag == "a" and node.attrs.get("href") is not None:
             at = urljoin(url, node.attrs["href"])
             parts = urlsplit(at)
@@ -197,3 +199,20 @@ def items(url: str, page: str | None, listing: str, title: str | None = None, bo
 
 def external_id(url: Column, nth: Column, text: Column) -> Column:
     return F.concat(F.lit("html:"), F.substring(F.sha1(F.concat(url, F.lit("#"), nth.cast("string"), F.lit("#"), F.substring(text, 1, 80))), 1, 16))
+
+
+def register(spark) -> None:
+    """Table functions for SQL: html_blocks(url, html), html_links(url, html)."""
+
+    @F.udtf(returnType="nth int, external_id string, text string")
+    class HtmlBlocks:
+        def eval(self, url: str, page: str):
+            yield from ((b["nth"], b["external_id"], b["text"]) for b in named_blocks(url, page))
+
+    @F.udtf(returnType="nth int, link string")
+    class HtmlLinks:
+        def eval(self, url: str, page: str):
+            yield from enumerate(links(url, page))
+
+    spark.udtf.register("html_blocks", HtmlBlocks)
+    spark.udtf.register("html_links", HtmlLinks)

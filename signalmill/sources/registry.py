@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConnectorError
 from ..project import SourceConfig
+from ..tables import settled
 from . import api, feeds, html
 
 Reader = Callable[[SparkSession, dict, F.Column], DataFrame]
@@ -35,7 +36,9 @@ def _blocks(spark, p, now) -> DataFrame:
 
 def _listing(spark, p, now) -> DataFrame:
     found = html.link_column(p.get("link_pattern"), p.get("same_host_only", True), int(p.get("max_urls", 50)))
-    urls = [r[0] for r in _pages(spark, p).select(F.explode(found("url", "html")).alias("u")).distinct().limit(int(p.get("max_urls", 50))).collect()]
+    pages = _pages(spark, p).select("page_id", F.posexplode(found("url", "html")).alias("nth", "u"))
+    first = pages.groupBy("u").agg(F.min(F.struct("page_id", "nth")).alias("at")).orderBy("at").limit(int(p.get("max_urls", 50)))
+    urls = [r["u"] for r in first.collect()]  # max_urls rows, in the pages' order
     return _blocks(spark, {"urls": urls}, now)
 
 
@@ -50,9 +53,44 @@ def _items(spark, p, now, hashed) -> DataFrame:
     return feeds.shaped(rows.withColumns({"posted_at": feeds.dated(F.col("date"), now), "source_kind": F.lit("html")}))
 
 
+def _rss(spark, p, now) -> DataFrame:
+    tag, most = p.get("row_tag", "item"), int(p.get("max_items", 25))
+    if p.get("path"):
+        return feeds.rss(spark, p["path"], now, tag, most)
+    return feeds.rss_texts(_fetched(spark, [p["feed_url"]]).select("url", F.col("html").alias("text")), now, tag, most)
+
+
+def _reddit(spark, p, now) -> DataFrame:
+    """Captured listings (path), or listings page by page from the site; with comments, if asked for, of the kept posts."""
+    subs, total = p.get("subreddits") or ["all"], int(p.get("limit", 1000))
+    if p.get("path"):
+        posts = feeds.reddit_listing(spark, p["path"], len(subs), total)
+        threads = spark.read.text(p["comments_path"], wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("post_id"), F.col("value").alias("thread")) if p.get("comments_path") else None
+        return posts if threads is None else posts.unionByName(feeds.comment_records(threads, int(p.get("max_comments", 100))))
+    base, pages = p.get("base_url", "https://www.reddit.com"), int(p.get("pages", 5))
+
+    @F.pandas_udf("array<string>")
+    def listing(sub: pd.Series) -> pd.Series:
+        return sub.map(lambda s: api.listing_pages(f"{base}/r/{s}/new.json?limit=100&after={{after}}", pages))
+
+    rows = spark.createDataFrame([(s,) for s in subs], "sub string").repartition(len(subs))  # a task for each subreddit
+    found = rows.select("sub", F.explode(listing("sub")).alias("x")).select("sub", F.from_json("x", feeds.LISTING).alias("l")).select("sub", F.explode("l.data.children.data").alias("p")).select("sub", "p.*")
+    posts = feeds.reddit_records(found, len(subs), total)
+    if not p.get("include_comments"):
+        return posts
+    posts = settled(posts)
+
+    @F.pandas_udf("string")
+    def thread(url: pd.Series) -> pd.Series:
+        return url.map(lambda u: api.second_listing(f"{u.rstrip('/')}.json"))
+
+    told = posts.select(F.substring("external_id", 8, 1 << 20).alias("post_id"), thread("url").alias("thread")).where("thread IS NOT NULL")
+    return posts.unionByName(feeds.comment_records(told, int(p.get("max_comments", 100))))
+
+
 READERS: dict[str, Reader] = {
-    "reddit": lambda s, p, now: feeds.reddit_listing(s, p["path"], len(p.get("subreddits") or [1]), int(p.get("limit", 1000))),
-    "rss": lambda s, p, now: feeds.rss(s, p.get("path") or p["feed_url"], now, p.get("row_tag", "item")),
+    "reddit": _reddit,
+    "rss": _rss,
     "faers": lambda s, p, now: feeds.faers(s, p["path"], now),
     "openfda": lambda s, p, now: feeds.openfda(s, p["path"], now) if p.get("path") else feeds.openfda_records(s.read.format("json_api").options(**{k: str(v) for k, v in {"path": "https://api.fda.gov/drug/event.json", **p}.items()}).load().select(F.from_json("value", feeds.OPENFDA).alias("r")).select("r.*"), now),
     "whatsapp": lambda s, p, now: feeds.whatsapp(s, p.get("path") or p["fixture"], now),
@@ -64,10 +102,10 @@ READERS: dict[str, Reader] = {
 }
 
 
-def read(spark: SparkSession, source: SourceConfig, now: F.Column) -> DataFrame:
-    """The source's records. Made-up posts are no connector of configurations."""
+def read(spark: SparkSession, source: SourceConfig, now: F.Column, after=None) -> DataFrame:
+    """The source's records, those dated after `after` if given. Made-up posts are no connector of configurations."""
     if source.reader not in READERS:
         raise ConnectorError(f"unknown connector: {source.connector}")
     if source.reader == "openfda":
         api.register(spark)
-    return READERS[source.reader](spark, source.reader_params(), now)
+    return feeds.since(READERS[source.reader](spark, source.reader_params(), now), after)

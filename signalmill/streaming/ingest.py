@@ -1,7 +1,7 @@
 """Ingestion: gate, redact, enrich, de-duplicate against all stored records, append, move the watermark.
 
-The same function takes a batch of a file source and the micro-batches of a stream (foreachBatch). Appending a batch twice
-inserts nothing, so a batch that is tried again after a failure is stored once.
+The same function takes a batch of a file source and the micro-batches of a stream (foreachBatch). A batch is one commit, appending it twice
+inserts nothing, and a stream's batch is remembered by its number, so one that is tried again after a failure is stored once.
 """
 
 from __future__ import annotations
@@ -44,31 +44,44 @@ def enriched(rows: DataFrame, source_id: int, now: datetime) -> DataFrame:
     )
 
 
-def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime) -> dict[str, int]:
-    """Counts of fetched and inserted rows; the rest are duplicates."""
+def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime, batch_id: tuple[str, str] | None = None) -> dict[str, int]:
+    """Counts of fetched and inserted rows (the rest are duplicates), and of late ones, dated before the source's watermark. Records, their keys and the
+    watermark are one commit: after a failure anywhere before it nothing is stored. Only the buckets of keys are read that the batch's are in."""
     batch = settled(rows)
-    stored = store.table("records")
-    new = changes.new_records(batch, stored)
     # An id from the source and the content: the same however often the batch is tried.
     ident = F.abs(F.xxhash64("source_id", "external_id"))
-    new = settled(new.withColumn("id", ident))
-    fetched, inserted = batch.count(), new.count()
-    if inserted:
-        store.append("records", new)
+    new = settled(changes.unknown_records(batch, store.table("record_keys")).withColumn("id", ident))
+    marks = store.table("watermarks")
+    last = marks.where(F.col("source_id") == source_id).select("last_seen_ts").first()
+    late = F.count_if(F.col("posted_at") < F.lit(last["last_seen_ts"])) if last and last["last_seen_ts"] else F.lit(0)
+    told = batch.agg(F.count("*").alias("fetched"), late.alias("late")).first()
+    fetched, inserted = told["fetched"], new.count()
     mark = changes.high_water(batch).select("source_id", "last_seen_id", "last_seen_ts").withColumns({"last_run_at": F.lit(now), "last_fetched": F.lit(fetched).cast("long"), "last_inserted": F.lit(inserted).cast("long")})
     if not fetched:
         mark = store.spark.createDataFrame([(source_id, None, None, now, 0, 0)], TABLES["watermarks"])
-    store.replace("watermarks", settled(changes.advance(store.table("watermarks"), mark)))
-    return {"fetched": fetched, "inserted": inserted, "duplicates": fetched - inserted}
+    appended = {"records": new, "record_keys": changes.keys_of(new)} if inserted else {}
+    done = store.commit({"watermarks": settled(changes.advance(marks, mark))}, appended, batch_id)
+    inserted = inserted if done else 0
+    return {"fetched": fetched, "inserted": inserted, "duplicates": fetched - inserted, "late": told["late"]}
 
 
 def run_source(store: Store, project: Project, source: SourceConfig, source_id: int, keywords: list[str], now: datetime) -> dict:
+    """Each window is a run of its own: one that fails is told in `errors` and doesn't stop the others; if all fail, the first failure is raised."""
     mark = store.table("watermarks").where(F.col("source_id") == source_id).select("last_seen_ts").first()
     last = mark["last_seen_ts"].replace(tzinfo=now.tzinfo) if mark and mark["last_seen_ts"] else None
     bounds = [w.effective(now, last) for w in project.windows(source)]
-    raw = registry.read(store.spark, source, F.lit(now))
-    rows = enriched(gated(raw, source, keywords, bounds), source_id, now)
-    return {"source": source.name, "since": min(b[0] for b in bounds).isoformat(), "until": max(b[1] for b in bounds).isoformat(), **store_batch(store, rows, source_id, now)}
+    done, errors = [], []
+    for since, until in bounds:
+        try:
+            raw = registry.read(store.spark, source, F.lit(now), since)
+            done.append(store_batch(store, enriched(gated(raw, source, keywords, [(since, until)]), source_id, now), source_id, now))
+        except Exception as e:
+            errors.append((since, e))
+    if errors and not done:
+        raise errors[0][1]
+    out = {"source": source.name, "since": min(b[0] for b in bounds).isoformat(), "until": max(b[1] for b in bounds).isoformat(), "windows": len(bounds)}
+    out |= {k: sum(d[k] for d in done) for k in ("fetched", "inserted", "duplicates", "late")}
+    return out | ({"errors": [{"since": at.isoformat(), "error": f"{type(e).__name__}: {str(e)[:300]}"} for at, e in errors]} if errors else {})
 
 
 def run_project(store: Store, project_id: str, now: datetime, only: set[int] | None = None) -> dict:
@@ -100,8 +113,8 @@ def stream_records(store: Store, source: SourceConfig, source_id: int, keywords:
         raise ConnectorError("not a stream")
     limits = bounds or [(datetime(1970, 1, 1, tzinfo=now.tzinfo), now)]
 
-    def batch(df: DataFrame, _: int) -> None:
-        store_batch(store, enriched(gated(df, source, keywords, limits), source_id, now), source_id, now)
+    def batch(df: DataFrame, number: int) -> None:
+        store_batch(store, enriched(gated(df, source, keywords, limits), source_id, now), source_id, now, (checkpoint, str(number)))
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -16,13 +16,21 @@ from ..tables import settled
 from .ingest import run_project
 
 
+def labels(label: str = "sentiment_label", text: str = "text_redacted"):
+    """The stored label, of records without one that of their text."""
+    return F.coalesce(F.nullif(label, F.lit("")), extract.sentiment_of(text)["label"])
+
+
+def adverse_label(label):
+    return label.isin("adverse", "negative")
+
+
 def record_pairs(store: Store, project_id: str, adverse_only: bool = False) -> DataFrame:
     """(record, drug, event, source_id, posted_at, text), once a record; materialise it to serve several readings."""
     sources = store.table("sources").where(F.col("project_id") == project_id).select(F.col("id").alias("source_id"))
     rows = store.table("records").join(sources, "source_id", "left_semi")
     if adverse_only:
-        label = F.coalesce(F.nullif("sentiment_label", F.lit("")), extract.sentiment_of("text_redacted")["label"])
-        rows = rows.where(label.isin("adverse", "negative"))
+        rows = rows.where(adverse_label(labels()))
     found = rows.select(F.col("id").alias("record"), "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", F.explode(extract.ner_entities("text_redacted")["pairs"]).alias("p"))
     return found.select("record", "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", "p.drug", "p.event")
 

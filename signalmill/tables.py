@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine's only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of this machine's only where it is unset and all runs in one process, as in tests."""
     target = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if target:
         return target
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rsplit("/", 1)[0]
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(target := tempfile.mkdtemp(prefix="signalmill-"))
     return target
 

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -15,7 +16,7 @@ from signalmill.functions import extract, keywords, text
 from signalmill.operators import audit, changes, timeline
 from signalmill.operators import disproportionality as dp
 from signalmill.plans import catalog, reporting
-from signalmill.project import Project, from_form
+from signalmill.project import Project, SourceConfig, from_form
 from signalmill.sources import api, feeds, html, registry, threads
 from signalmill.store import Store
 from signalmill.streaming import ingest, jobs
@@ -263,8 +264,72 @@ def test_comment_column(spark):
 
 
 def test_depths(spark):
-    edges = spark.createDataFrame([("p", None), ("a", "p"), ("b", "a"), ("c", "b"), ("lost", "gone")], "id string, up string")
-    assert {r["id"]: r["depth"] for r in threads.depths(edges, "id", "up").collect()} == {"p": 0, "a": 1, "b": 2, "c": 3}
+    """Replies of any depth; what hangs on nothing, or on a circle, stays without a depth."""
+    chain = [(f"c{k}", f"c{k - 1}" if k else "p") for k in range(300)]
+    edges = spark.createDataFrame([("p", None), ("a", "p"), ("b", "a"), ("lost", "gone"), ("below", "lost"), ("x", "y"), ("y", "x"), ("z", "y"), (None, "p"), *chain], "id string, up string")
+    got = threads.depths(edges, "id", "up").collect()
+    assert len(got) == edges.count()
+    want = {"p": 0, "a": 1, "b": 2, "lost": None, "below": None, "x": None, "y": None, "z": None, None: None, **{f"c{k}": k + 1 for k in range(300)}}
+    assert {r["id"]: r["depth"] for r in got} == want
+    assert threads.depths(edges.limit(0), "id", "up").count() == 0
+
+
+def test_search_takes_quotes_and_backslashes(spark):
+    from signalmill.plans import reporting, roles
+
+    t = roles.tables(spark, "/root/testdata/sf0.001")
+    for odd in ("\\'", "' OR 1=1 --", "a\\", '"', "\\%"):
+        assert reporting.search(t, odd).count() == 0
+    assert reporting.search(t, "a%a").count() > 0
+
+
+def test_feeds_from_text_and_archives(spark, tmp_path):
+    import zipfile
+
+    xml = "<rss><channel><item><guid>1</guid><title>One</title><link>http://a/1</link><description>&lt;p&gt;Body&lt;/p&gt;</description><pubDate>Tue, 2 Jan 2024 10:00:00 GMT</pubDate></item><item><guid>2</guid><title>Two</title></item></channel></rss>"
+    (tmp_path / "feed.xml").write_text(xml)
+    source = SourceConfig("feed", "rss", {"feed_url": f"file://{tmp_path}/feed.xml"})
+    rows = {r["external_id"]: r for r in registry.read(spark, source, F.lit(NOW)).collect()}
+    assert set(rows) == {"rss:1", "rss:2"} and rows["rss:1"]["text"] == "One\n\nBody" and rows["rss:1"]["posted_at"].isoformat() == "2024-01-02T10:00:00"
+    after = registry.read(spark, source, F.lit(NOW), datetime(2024, 1, 2, 10, tzinfo=timezone.utc)).collect()
+    assert [r["external_id"] for r in after] == ["rss:2"]  # the lower bound itself is left out
+    with zipfile.ZipFile(tmp_path / "faers.zip", "w") as z:
+        z.writestr("DEMO.TXT", "primaryid$drugname$pt$event_dt$narrative\n7$X$Rash$2024-01-05$told\n8$Y$Fever$20240106$\n".encode("latin-1"))
+        z.writestr("readme.pdf", "no")
+    rows = {r["external_id"]: r["text"] for r in registry.read(spark, SourceConfig("f", "faers", {"path": str(tmp_path / "faers.zip")}), F.lit(NOW)).collect()}
+    assert rows == {"faers:7": "Drug: X\nReaction: Rash\nNarrative: told", "faers:8": "Drug: Y\nReaction: Fever\nNarrative: "}
+
+
+def test_reddit_with_comments(spark, tmp_path):
+    """Two pages of a listing by cursor, and the thread of each post, from files in place of the site."""
+    import json
+
+    post = lambda k: {"data": {"id": f"p{k}", "title": f"T{k}", "selftext": "S", "permalink": f"/r/a/p{k}", "author": "u", "created_utc": 1_700_000_000.0 + k}}
+    (tmp_path / "listing.json").write_text(json.dumps({"data": {"after": None, "children": [post(1), post(2)]}}))
+    tree = {"data": {"children": [{"kind": "t1", "data": {"id": "c1", "body": "reply", "author": "v", "created_utc": 1_700_000_100, "replies": {"data": {"children": [{"kind": "t1", "data": {"id": "c2", "body": "deeper", "replies": ""}}]}}}}]}}
+    (tmp_path / "threads").mkdir()
+    (tmp_path / "threads" / "p1.json").write_text(json.dumps(tree))
+    source = SourceConfig("r", "reddit", {"path": str(tmp_path / "listing.json"), "comments_path": str(tmp_path / "threads")})
+    rows = {r["external_id"]: r["text"] for r in registry.read(spark, source, F.lit(NOW)).collect()}
+    assert rows == {"reddit:p1": "T1\n\nS", "reddit:p2": "T2\n\nS", "reddit:p1:c:c1": "reply", "reddit:p1:c:c2": "deeper"}
+
+
+def test_table_functions(spark):
+    from signalmill.functions import extract
+
+    extract.register(spark)
+    page = "<nav><a href=/x>x</a></nav><p>" + "word " * 30 + "</p>"
+    spark.createDataFrame([("http://a/", page)], "url string, html string").createOrReplaceTempView("one_page")
+    assert [tuple(r) for r in spark.sql("SELECT l.* FROM one_page, LATERAL html_links(url, html) l").collect()] == [(0, "http://a/x")]
+    assert spark.sql("SELECT b.text FROM one_page, LATERAL html_blocks(url, html) b").first()[0] == ("word " * 30).strip()
+    thread = '{"data": {"children": [{"kind": "t1", "data": {"id": "c", "body": "b"}}]}}'
+    assert spark.sql(f"SELECT external_id FROM comment_tree('p', '{thread}')").first()[0] == "reddit:p:c:c"
+
+
+def test_a_busy_site_is_tried_again():
+    said = iter([(503, ""), (429, ""), (200, "text")])
+    got = api.fetch("http://a/", rungs=(("plain", lambda u, t: next(said)),), waits=(0, 0))
+    assert got.ok and got.text == "text" and len(got.attempts) == 1
 
 
 def test_html():
@@ -397,6 +462,77 @@ def test_stream_equals_batch(spark, filled, tmp_path):
     assert hashes(other) == hashes(store)
 
 
+def raw_rows(spark, ids, day=1):
+    rows = [(f"e{k}", f"text {k} of dolo", datetime(2024, 5, day, tzinfo=timezone.utc) + timedelta(minutes=k)) for k in ids]
+    return feeds.shaped(spark.createDataFrame(rows, "external_id string, text string, posted_at timestamp"))
+
+
+def stored(spark, store, ids, day=1, **more):
+    rows = ingest.enriched(raw_rows(spark, ids, day).withColumn("matched_keywords", F.array(F.lit("dolo"))), 1, NOW)
+    return ingest.store_batch(store, rows, 1, NOW, **more)
+
+
+def test_a_batch_is_one_commit(spark, tmp_path, monkeypatch):
+    """Failing between the writes of records and of watermarks leaves the store as it was; trying again stores the batch once."""
+    store = Store(spark, str(tmp_path / "tables"))
+    assert stored(spark, store, range(5))["inserted"] == 5
+    write, calls = store._write, []
+
+    def failing(name, df):
+        calls.append(name)
+        if len(calls) == 2:
+            raise OSError("executor lost")
+        return write(name, df)
+
+    monkeypatch.setattr(store, "_write", failing)
+    with pytest.raises(OSError):
+        stored(spark, store, range(3, 9), 2)
+    monkeypatch.undo()
+    assert store.table("records").count() == 5 and store.table("watermarks").first()["last_fetched"] == 5 and store.table("record_keys").count() == 10
+    told = stored(spark, store, range(3, 9), 2, batch_id=("stream", "7"))
+    assert (told["inserted"], told["duplicates"], told["late"]) == (4, 2, 0) and store.table("records").count() == 9
+    again = stored(spark, store, range(20, 22), 2, batch_id=("stream", "7"))
+    assert again["inserted"] == 0 and store.table("records").count() == 9
+    assert stored(spark, store, range(30, 32), 1)["late"] == 2
+
+
+def test_a_batch_reads_its_buckets_of_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"))
+    stored(spark, store, range(300))
+    rows = ingest.enriched(raw_rows(spark, [5, 900]).withColumn("matched_keywords", F.array()), 1, NOW)
+    left = changes.unknown_records(rows, store.table("record_keys"))
+    assert [r["external_id"] for r in left.collect()] == ["e900"]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN", plan) or re.search(r"PartitionFilters: \[[^\]]*bucket#", plan)
+    by_both = changes.new_records(rows, store.table("records"))
+    assert [r["external_id"] for r in by_both.collect()] == ["e900"]
+
+
+def test_folders_are_put_together(spark, tmp_path, monkeypatch):
+    from signalmill import store as stores
+
+    monkeypatch.setattr(stores, "MOST_FOLDERS", 3)
+    store = Store(spark, str(tmp_path / "tables"))
+    for k in range(6):
+        store.append_audit("a", "run.start", f"p{k}", ts=f"2024-01-01T00:00:0{k}")
+    assert store.table("audit_log").count() == 6 and len(store._state()["tables"]["audit_log"]) <= 3 and reporting.verification(store.table).first()["ok"]
+
+
+def test_a_window_that_fails_does_not_stop_the_others(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "tables"))
+    windows = [{"since": "2024-05-01", "until": "2024-05-02"}, {"since": "2024-05-03", "until": "2024-05-04"}]
+    project = Project.from_dict({"id": "p", "name": "P", "keywords": ["dolo"], "sources": [{"name": "s", "connector": "wa", "params": {"path": "x"}, "time_windows": windows}]})
+
+    def read(spark_, source, now, after=None):
+        if after.day == 3:
+            raise OSError("gone")
+        return raw_rows(spark, range(4))
+
+    monkeypatch.setattr(registry, "read", read)
+    told = ingest.run_source(store, project, project.sources[0], 1, ["dolo"], NOW)
+    assert told["inserted"] == 4 and [e["error"] for e in told["errors"]] == ["OSError: gone"] and store.table("records").count() == 4
+
+
 def test_backfill_and_scheduler(filled):
     store, *_ = filled
     store.replace("records", store.table("records").withColumn("sentiment_label", F.when(F.col("pii_hits_count") > 0, None).otherwise(F.col("sentiment_label"))))
