@@ -30,6 +30,8 @@ class Rule(NamedTuple):
 
 #: Interval ends above which a bucket of keys is cut; and how many of them an expression compares with.
 MOST_BUCKETS = 256
+#: Urls of a part at least.
+PART_ROWS = 1000
 
 
 def key_of(host: str) -> str:
@@ -71,9 +73,10 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
     without a host `nowhere`.
 
     Null urls and ones without `://` have an empty host and path. Every row is kept, repeated ones too; columns of df
-    with the name of a new one are replaced. Keys are dealt by bucket of interval ends and by a hash of the row, so
-    that a host with most of the rows spreads; each part gets the interval ends of its bucket, and the
-    bucket's first end carries the stack that holds at its start.
+    with the name of a new one are replaced. Urls of any length are read whole, an empty table gives an empty one; of equally
+    long rules that fit a blocking one wins. Urls are counted by bucket of interval ends; a bucket with many is dealt over
+    as many parts as it takes, by the rows' places, so that a host with most of the rows spreads, whatever repeats. Each part gets the
+    interval ends of its bucket, and the bucket's first end carries the stack that holds at its start.
     """
     spark = df.sparkSession
     key, kind, stack, bucket, salt, found = common.fresh(df, "_key", "_kind", "_stack", "_bucket", "_salt", "_found")
@@ -85,13 +88,16 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
     ends = sweep(rules)
     step = -(-len(ends) // MOST_BUCKETS) or 1
     splitters = [k for k, _ in ends[::step]]
-    salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     of_key = F.size(F.filter(F.array(*map(F.lit, splitters)).cast("array<string>"), lambda s: s <= F.col(key)))
     left = rows.withColumn(key, F.concat(F.array_join(F.reverse(F.split(raw, r"\.")), "."), F.lit(".")))
-    left = left.withColumns({bucket: of_key, salt: F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith(("map", "variant")))), F.lit(salts)).cast("int"), kind: F.lit(1), stack: F.lit(None).cast(_STACK)})
+    left = left.withColumn(bucket, of_key)
+    counts = {r[0]: r[1] for r in left.groupBy(bucket).count().collect()}  # MOST_BUCKETS rows and one
+    part = max(PART_ROWS, -(-sum(counts.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = F.get(F.array(*(F.lit(-(-counts.get(k, 1) // part)) for k in range(len(splitters) + 1))), F.col(bucket))
+    left = left.withColumns({salt: F.pmod(F.monotonically_increasing_id(), parts).cast("int"), kind: F.lit(1), stack: F.lit(None).cast(_STACK)})
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(stack, _STACK)])
     marks = spark.createDataFrame([(k, [(r.path, r.name, r.verdict) for r in rs]) for k, rs in ends], schema)
-    marks = marks.withColumns({bucket: of_key, kind: F.lit(0)}).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marks = marks.withColumns({bucket: of_key, kind: F.lit(0)}).withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1)))
     merged = left.unionByName(marks, allowMissingColumns=True)
     before = Window.partitionBy(bucket, salt).orderBy(key, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = merged.withColumn(stack, F.last(stack, ignorenulls=True).over(before)).where(F.col(kind) == 1)

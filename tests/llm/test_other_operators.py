@@ -321,6 +321,9 @@ def test_url_rules(spark):
         assert len(got) == 2 * len(urls)
         assert all((r["host"], r["path"], r["rule"], r["verdict"]) == judge(r["url"]) for r in got)
     assert url_rules.judge(df.limit(0), rules).count() == 0
+    long = [(k, "http://www.example.com/en/" + "x" * 300_000) for k in range(3)] + [(9, "http://b.net/es/")] * 2_500  # very long ones, and repeats over several parts
+    got = url_rules.judge(spark.createDataFrame(long, "page_id long, url string"), rules).groupBy("page_id", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [(0, "allow", 1), (1, "allow", 1), (2, "allow", 1), (9, "block", 2_500)]
     assert {r["verdict"] for r in url_rules.judge(df, []).collect()} == {"allow", "block"}
 
 
