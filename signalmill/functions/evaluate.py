@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .extract import pii_detect
 
 # Posts with slots, and digits of each slot (9: any digit, 6: one of 6 to 9).
-_POSTS = ("Call me at {PHONE_IN} about the rash.", "Aadhaar {AADHAAR}, phone +91 {PHONE_IN}.", "My PAN is {PAN}; write to {EMAIL}.", "Born on {DOB}, {MRN}.", "Mail {EMAIL} or {PHONE_IN}, please.", "File {MRN}: patient born {DOB} has fever.")
+_POSTS = ("Call me at {PHONE_IN} about the rash.", "Aadhaar {AADHAAR}, phone +91 {PHONE_IN}.", "My PAN is {PAN}; write to {EMAIL}.", "Born on {DOB}, {MRN}.", "Mail {EMAIL} or {PHONE_IN}, please.", "File {MRN}: patient born {DOB} has fever.", "{NAME} saw them at {HOSPITAL}.", "We live at {ADDRESS}; ask {NAME}.")
 
 
 def _value(kind: str, rng: random.Random) -> str:
@@ -19,6 +19,7 @@ def _value(kind: str, rng: random.Random) -> str:
     return {
         "PHONE_IN": lambda: rng.choice("6789") + digits(9), "AADHAAR": lambda: f"{rng.randint(2000, 9999)} {digits(4)} {digits(4)}", "PAN": lambda: letters(5) + digits(4) + letters(1),
         "EMAIL": lambda: f"{letters(6).lower()}.{digits(2)}@mail.example", "DOB": lambda: f"{rng.randint(1, 28):02d}/{rng.randint(1, 12):02d}/{rng.randint(1940, 2010)}", "MRN": lambda: f"MRN: {letters(2)}{digits(6)}",
+        "NAME": lambda: f"{rng.choice(('Dr.', 'Mr.', 'Mrs.'))} {letters(1)}{letters(5).lower()}", "HOSPITAL": lambda: f"{letters(1)}{letters(6).lower()} {rng.choice(('Hospital', 'Clinic'))}", "ADDRESS": lambda: f"flat no. {rng.randint(1, 99)}, {letters(1)}{letters(5).lower()} road {rng.randint(1, 8)}{digits(5)}",
     }[kind]()
 
 

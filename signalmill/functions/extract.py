@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import lexicon, schemas
 
-BRAND, GENERIC, SYMPTOM = 0.90, 0.85, 0.80
+BRAND, GENERIC, SYMPTOM, MODEL = 0.90, 0.85, 0.80, 0.75
 NEGATION_TOKENS, NEGATION_CHARS = 5, 60
 
 
@@ -38,8 +38,10 @@ def _address() -> tuple:
     return re.compile(lexicon.ADDRESS[1], re.I), re.compile(lexicon.SIX_DIGITS)
 
 
-def entities(text: str | None) -> dict:
-    """Drugs and symptoms leftmost-longest with spans, events (symptoms again, if a trigger is there), and drug-event pairs."""
+def entities(text: str | None, model=None) -> dict:
+    """Drugs and symptoms leftmost-longest with spans, events (symptoms again, if a trigger is there), and drug-event pairs. model: a
+    function from a text to further (DRUG or SYMPTOM, start, end, name), as of a trained pipeline; those that overlap no name of
+    the lists count too."""
     text = text or ""
     drugs, symptoms = [], []
     for m in _needles("drug").finditer(text):
@@ -48,12 +50,27 @@ def entities(text: str | None) -> dict:
         drugs.append({"type": "DRUG", "text": m.group(), "start": m.start(), "end": m.end(), "normalized": brand or name, "confidence": BRAND if brand else GENERIC})
     for m in _needles("symptom").finditer(text):
         symptoms.append({"type": "SYMPTOM", "text": m.group(), "start": m.start(), "end": m.end(), "normalized": m.group().lower(), "confidence": SYMPTOM})
+    for kind, start, end, name in model(text) if model and text else ():
+        if kind in ("DRUG", "SYMPTOM") and all(end <= e["start"] or start >= e["end"] for e in drugs + symptoms):
+            (drugs if kind == "DRUG" else symptoms).append({"type": kind, "text": text[start:end], "start": start, "end": end, "normalized": name.lower(), "confidence": MODEL})
     trigger = bool(_trigger().search(text))
     events = [{**s, "type": "ADR_EVENT", "confidence": min(0.85, s["confidence"] + 0.05)} for s in symptoms] if trigger and drugs else []
     found = dict.fromkeys((d["normalized"], s["normalized"]) for d in drugs for s in symptoms)
     return {"entities": drugs + symptoms + events, "pairs": [{"drug": d, "event": e} for d, e in found], "trigger": trigger}
 
 
+def spacy_model(name: str = "en_core_sci_sm"):
+    """A model for entities() by a spaCy pipeline, or None where that isn't installed."""
+    try:
+        import spacy
+
+        pipeline = spacy.load(name)
+    except (ImportError, OSError):
+        return None
+    kinds = {"CHEMICAL": "DRUG", "DRUG": "DRUG", "DISEASE": "SYMPTOM", "SYMPTOM": "SYMPTOM"}
+    return lambda text: [(kinds[e.label_], e.start_char, e.end_char, e.text) for e in pipeline(text).ents if e.label_ in kinds]
+
+
 def pii_hits(text: str | None) -> list[dict]:
     """Hits that don't overlap: the surer, then the longer, then the earlier one stays."""
     if not text:

@@ -12,6 +12,8 @@ _HEALTH = """health AS (SELECT s.*, w.last_run_at, w.last_fetched, w.last_insert
   CASE WHEN NOT enabled THEN 'PAUSED' WHEN last_run_at IS NULL THEN 'PENDING' WHEN last_run_at < TIMESTAMP '1998-08-01 12:00:00' THEN 'STALE' WHEN coalesce(r.n, 0) = 0 THEN 'EMPTY' WHEN coalesce(last_inserted, 0) = 0 THEN 'IDLE' ELSE 'HEALTHY' END AS status
   FROM sources s LEFT JOIN watermarks w ON s.id = w.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM records GROUP BY 1) r ON s.id = r.source_id)"""
 _TEXT = "CASE WHEN {0} >= 1000 THEN '≥ 1000' WHEN {0} <= 0 THEN '0.00' ELSE printf('%.2f', {0}) END"
+_SECONDS = "(epoch(TIMESTAMP '1998-08-02 12:00:00') - epoch({0}))"
+_AGO = f"CASE WHEN {{0}} IS NULL THEN '—' WHEN {_SECONDS} < 60 THEN 'just now' " + " ".join(f"WHEN {_SECONDS} < {top} THEN CAST(CAST(floor({_SECONDS} / {unit}) AS BIGINT) AS VARCHAR) || '{name} ago'" for top, unit, name in ((3600, 60, "m"), (86400, 3600, "h"), (2592000, 86400, "d"), (31536000, 2592000, "mo"), (10**12, 31536000, "y"))) + " END"
 _TYPE = "CASE connector WHEN 'reddit' THEN 'Reddit' WHEN 'openfda' THEN 'openFDA' WHEN 'rss' THEN 'RSS' WHEN 'x' THEN 'X' WHEN 'faers' THEN 'FAERS' END"
 _CASES = f"""{_SCORE} AS conf, {_TIER.format("'HIGH'", "'MEDIUM'", "'LOW'")} AS conf_label, {_TIER.format("'STRONG'", "'MODERATE'", "'EXPLORATORY'")} AS tier,
   CASE WHEN prr >= 3 AND n >= 5 THEN 'ESCALATED' WHEN prr >= 2 THEN 'PENDING' WHEN prr < 1 THEN 'DISMISSED' ELSE 'REVIEWED' END AS status"""
@@ -42,7 +44,7 @@ def kpi_rollup(spark, sf_dir):
 
 
 @query(f"""{_W}, {_HEALTH} SELECT h.id, h.name, connector, latency, enabled, project_id, {_sql_said("last_run_at")}, last_fetched, last_inserted, records_stored, h.status, CASE h.status WHEN 'HEALTHY' THEN 'green' WHEN 'STALE' THEN 'amber' WHEN 'PENDING' THEN 'blue' WHEN 'IDLE' THEN 'blue' ELSE 'gray' END AS status_color,
-  CASE connector WHEN 'reddit' THEN 'reddit/r/' || h.name WHEN 'rss' THEN substr(replace(feed_url, 'https://', ''), 1, 48) WHEN 'x' THEN 'x.com/' || h.name ELSE 'fda.gov/aers/daily' END AS identifier, p.name AS project_label, {_TYPE} AS type_label
+  CASE connector WHEN 'reddit' THEN 'reddit/r/' || h.name WHEN 'rss' THEN substr(replace(feed_url, 'https://', ''), 1, 48) WHEN 'x' THEN 'x.com/' || h.name ELSE 'fda.gov/aers/daily' END AS identifier, p.name AS project_label, {_TYPE} AS type_label, {_AGO.format("h.last_run_at")} AS last_run_ago
   FROM health h JOIN projects p ON h.project_id = p.id ORDER BY enabled DESC, h.last_run_at DESC NULLS LAST, h.id LIMIT 20""")
 def source_health_list(spark, sf_dir):
     rows = reporting.source_health(roles.tables(spark, sf_dir), _now())
@@ -195,6 +197,17 @@ def activity_log(spark, sf_dir):
     return reporting.activity(roles.tables(spark, sf_dir), 30)
 
 
+@query(f"""{_W} SELECT id, {_AGO.format("ingested_at")} AS ago, {_AGO.format("posted_at")} AS posted_ago FROM records""")
+def relative_times(spark, sf_dir):
+    t = roles.tables(spark, sf_dir)
+    return t("records").select("id", reporting.relative(F.col("ingested_at"), _now()).alias("ago"), reporting.relative(F.col("posted_at"), _now()).alias("posted_ago"))
+
+
+@query(f"""{_W} SELECT id, strftime(seen, '%H:%M:%S') AS time FROM audit_log WHERE action <> 'source.error' ORDER BY id DESC LIMIT 12""")
+def debug_tail(spark, sf_dir):
+    return reporting.debug_log(roles.tables(spark, sf_dir)).select("id", "time")
+
+
 @query(f"""{_W}, traced_of AS (SELECT r.id FROM records r JOIN sources s ON r.source_id = s.id WHERE project_id IN (SELECT target FROM audit_log)),
 k AS (SELECT count(*) AS records_total, count(*) FILTER (pii_hits_count > 0) AS pii_records, (SELECT count(*) FROM traced_of) AS traced FROM records)
 SELECT *, round(100.0 * pii_records / records_total, 1) AS pii_rate_pct, 100.0 * pii_records / records_total < 10 AS pii_below_thresh, round(100.0 * traced / records_total, 1) AS traceability_pct, 'Email,Phone,Aadhaar,DOB,MRN,PAN' AS pii_types FROM k""")

@@ -38,6 +38,16 @@ def sources_with_health(t: Tables, as_of: Column) -> DataFrame:
     return rows.withColumn("status", changes.health(F.col("enabled"), F.col("last_run_at"), F.col("last_inserted"), F.col("records_stored"), as_of))
 
 
+def relative(at: Column, now: Column) -> Column:
+    """How long ago, in the largest whole unit; "—" if never."""
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(at)
+    said = lambda unit, name: F.concat(F.floor(seconds / unit).cast("string"), F.lit(f"{name} ago"))
+    return (
+        F.when(at.isNull(), "—").when(seconds < 60, "just now").when(seconds < 3_600, said(60, "m")).when(seconds < 86_400, said(3_600, "h"))
+        .when(seconds < 30 * 86_400, said(86_400, "d")).when(seconds < 365 * 86_400, said(30 * 86_400, "mo")).otherwise(said(365 * 86_400, "y"))
+    )
+
+
 def identifier() -> Column:
     p = lambda k: F.try_element_at(F.col("params"), F.lit(k))
     address = F.substring(F.regexp_replace(F.coalesce(p("feed_url"), p("url"), F.lit("")), "^https?://", ""), 1, 48)
@@ -51,7 +61,7 @@ def source_health(t: Tables, as_of: Column, limit: int = 20) -> DataFrame:
     rows = sources_with_health(t, as_of).join(t("projects").select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id")
     colour = F.when(F.col("status") == "HEALTHY", "green").when(F.col("status") == "STALE", "amber").when(F.col("status").isin("PENDING", "IDLE"), "blue").otherwise("gray")
     top = rows.orderBy(F.desc("enabled"), F.desc_nulls_last("last_run_at"), "id").limit(limit)
-    return top.select("id", "name", "connector", "latency", "enabled", "project_id", "last_run_at", "last_fetched", "last_inserted", "records_stored", "status", colour.alias("status_color"), identifier().alias("identifier"), F.coalesce("project_name", "project_id").alias("project_label"), audit.labelled(F.col("connector"), CONNECTOR_LABELS).alias("type_label"))
+    return top.select("id", "name", "connector", "latency", "enabled", "project_id", "last_run_at", "last_fetched", "last_inserted", "records_stored", "status", colour.alias("status_color"), identifier().alias("identifier"), F.coalesce("project_name", "project_id").alias("project_label"), relative(F.col("last_run_at"), as_of).alias("last_run_ago"), audit.labelled(F.col("connector"), CONNECTOR_LABELS).alias("type_label"))
 
 
 def system_kpis(t: Tables, as_of: Column) -> DataFrame:
@@ -189,6 +199,10 @@ def activity(t: Tables, limit: int = 8) -> DataFrame:
     return rows.select("id", F.date_format(F.try_to_timestamp("ts"), "HH:mm:ss").alias("time"), level.alias("level"), said.alias("text"))
 
 
+def debug_log(t: Tables, limit: int = 12) -> DataFrame:
+    return activity(t, limit)
+
+
 def compliance_kpis(t: Tables) -> DataFrame:
     records = t("records").agg(F.count("*").alias("records_total"), F.count_if(F.col("pii_hits_count") > 0).alias("pii_records"))
     traced = t("sources").join(t("audit_log").select(F.col("target").alias("project_id")).distinct(), "project_id", "left_semi").select(F.col("id").alias("source_id"))

@@ -161,21 +161,46 @@ def link_column(pattern: str | None = None, same_host: bool = True, most: int =
     return found
 
 
-def _selector(css: str) -> tuple[str, str, str]:
-    m = re.fullmatch(r"([a-zA-Z0-9]*)(?:#([\w-]+))?(?:\.([\w-]+))?", css.strip())
-    if not m:
-        raise ValueError(f"selectors are tag, #id and .class: {css}")
-    return m[1], m[2] or "", m[3] or ""
+_STEP = re.compile(r"([a-zA-Z0-9*]*)((?:[#.][\w-]+|\[[^\]]+\])*)")
+_MARK = re.compile(r"#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
+_HOLDS = {"=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__, "~=": lambda have, want: want in have.split(), "|=": lambda have, want: have == want or have.startswith(f"{want}-")}
+
+
+def _matcher(step: str):
+    m = _STEP.fullmatch(step)
+    if not m or not step:
+        raise ValueError(f"selectors are tag, *, #id, .class and [attribute]: {step}")
+    tag, marks = m[1].lower(), _MARK.findall(m[2])
+
+    def fits(node: _Node) -> bool:
+        if tag not in ("", "*", node.tag):
+            return False
+        for ident, name, attr, how, want in marks:
+            have = node.attrs.get("id" if ident else "class" if name else attr.lower())
+            if have is None or ident and have != ident or name and name not in have.split() or how and not _HOLDS[how](have, want):
+                return False
+        return True
+
+    return fits
+
+
+def _parts(css: str, separators: str) -> list[str]:
+    """Split outside brackets; separators stay as parts of their own."""
+    return [p for p in re.findall(rf"(?:\[[^\]]*\]|[^\s{separators}\[])+|[{separators}]", css)]
 
 
 def select(root: _Node, css: str) -> list[_Node]:
-    """Nodes by selectors of tag, #id and .class, with spaces for descendants and commas for more than one."""
+    """Nodes by selectors of tag, *, #id, .class and [attribute], with spaces for descendants, > for children, and commas for more than one."""
     out: list[_Node] = []
-    for chain in css.split(","):
-        level = [root]
-        for step in chain.split():
-            tag, ident, name = _selector(step)
-            level = list(dict.fromkeys(n for top in level for n in top.walk() if (not tag or n.tag == tag) and (not ident or n.attrs.get("id") == ident) and (not name or name in n.attrs.get("class", "").split())))
+    for chain in re.split(r",(?![^\[]*\])", css):
+        level, child = [root], False
+        for step in _parts(chain, ">"):
+            if step == ">":
+                child = True
+                continue
+            fits = _matcher(step)
+            below = lambda top: (p for p in top.parts if isinstance(p, _Node)) if child else top.walk()  # noqa: B023, E731
+            level, child = list(dict.fromkeys(n for top in level for n in below(top) if fits(n))), False
         out += level
     return list(dict.fromkeys(out))
 

@@ -6,6 +6,7 @@ inserts nothing, and a stream's batch is remembered by its number, so one that i
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -85,7 +86,8 @@ def run_source(store: Store, project: Project, source: SourceConfig, source_id:
 
 
 def run_project(store: Store, project_id: str, now: datetime, only: set[int] | None = None) -> dict:
-    """All enabled sources; one that fails is told in the audit log and doesn't stop the others. Returns the run's manifest."""
+    """All enabled sources; one that fails is told in the audit log and doesn't stop the others. Returns the run's manifest, which is also
+    written beside the tables."""
     project = store.load_project(project_id)
     keywords, provenance = expand_layered(project.keywords)
     store.append_audit("runner", "run.start", project_id, {"sources": len(project.sources)})
@@ -104,7 +106,9 @@ def run_project(store: Store, project_id: str, now: datetime, only: set[int] | N
     totals = {k: sum(d.get(k, 0) for d in done) for k in ("fetched", "inserted", "duplicates")}
     store.append_audit("runner", "run.end", project_id, totals)
     store.set_fields(project_id, last_completed_at=now)
-    return {"project": project_id, "keywords": [dict(zip(("keyword", "term", "source", "confidence"), p)) for p in provenance], "sources": done, **totals}
+    manifest = {"project": project_id, "keywords": [dict(zip(("keyword", "term", "source", "confidence"), p)) for p in provenance], "sources": done, **totals}
+    store.write_file(f"runs/{project_id}/{now.strftime('%Y%m%dT%H%M%S')}.json", json.dumps(manifest, ensure_ascii=False, indent=1))
+    return manifest
 
 
 def stream_records(store: Store, source: SourceConfig, source_id: int, keywords: list[str], raw: DataFrame, checkpoint: str, now: datetime, bounds=None, **trigger):

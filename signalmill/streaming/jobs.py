@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import threading
-from datetime import datetime
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,32 @@ def compute_signals(store: Store, project_id: str, now: datetime, adverse_only:
 
 
 class Scheduler:
-    """One tick at a time: runs what is due of each project, then computes its signals again."""
+    """One tick at a time: runs what is due of each project, then computes its signals again. start() ticks every few seconds in the
+    background, until stop()."""
 
     def __init__(self, store: Store):
         self.store, self.lock = store, threading.Lock()
+        self.ended, self.thread = threading.Event(), None
+
+    def start(self, seconds: float = 300, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> None:
+        """A tick that fails is told in the audit log, and the next one comes all the same."""
+
+        def loop() -> None:
+            while not self.ended.is_set():
+                try:
+                    self.tick(now())
+                except Exception as e:
+                    self.store.append_audit("scheduler", "tick.error", None, {"error": f"{type(e).__name__}: {str(e)[:300]}"})
+                self.ended.wait(seconds)
+
+        self.ended.clear()
+        self.thread = threading.Thread(target=loop, daemon=True)
+        self.thread.start()
+
+    def stop(self) -> None:
+        self.ended.set()
+        if self.thread is not None:
+            self.thread.join()
 
     def tick(self, now: datetime) -> dict:
         if not self.lock.acquire(blocking=False):

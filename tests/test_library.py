@@ -103,7 +103,7 @@ def test_recall_of_detectors(spark):
     from signalmill.functions.evaluate import posts, recall
 
     got = {r["type"]: r["recall"] for r in recall(posts(spark, 60)).collect()}
-    assert len(got) == 6 and all(v >= 0.95 for v in got.values())
+    assert len(got) == 9 and all(v >= 0.95 for v in got.values())
 
 
 def test_commands(capsys):
@@ -326,6 +326,22 @@ def test_table_functions(spark):
     assert spark.sql(f"SELECT external_id FROM comment_tree('p', '{thread}')").first()[0] == "reddit:p:c:c"
 
 
+def test_selectors():
+    page = html.parse('<div id=a class="x y"><p class=t lang=en-GB>one</p><section><p data-k="v w">two</p></section></div><p>three</p>')
+    found = lambda css: [n.text() for n in html.select(page, css)]
+    assert found("div > p") == ["one"] and found("div p") == ["one", "two"] and found(".x.y > section p[data-k]") == ["two"] and found("*[lang|=en], section > p") == ["one", "two"]
+    assert found('p[data-k~="w"]') == found("[data-k^=v]") == found("[data-k$='w']") == found('p[data-k*=" "]') == ["two"] and found("p.t#no") == []
+    with pytest.raises(ValueError):
+        html.select(page, "p:first")
+
+
+def test_a_model_adds_names():
+    model = lambda t: [("DRUG", t.index("newdrug"), t.index("newdrug") + 7, "NewDrug"), ("SYMPTOM", 0, 4, "Rash")]
+    got = extract.entities("Rash from newdrug", model)
+    assert [(e["type"], e["normalized"], e["confidence"]) for e in got["entities"]] == [("DRUG", "newdrug", 0.75), ("SYMPTOM", "rash", 0.8)] and got["pairs"] == [{"drug": "newdrug", "event": "rash"}]
+    assert extract.spacy_model("no-such-model") is None
+
+
 def test_a_busy_site_is_tried_again():
     said = iter([(503, ""), (429, ""), (200, "text")])
     got = api.fetch("http://a/", rungs=(("plain", lambda u, t: next(said)),), waits=(0, 0))
@@ -515,7 +531,7 @@ def test_folders_are_put_together(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "tables"))
     for k in range(6):
         store.append_audit("a", "run.start", f"p{k}", ts=f"2024-01-01T00:00:0{k}")
-    assert store.table("audit_log").count() == 6 and len(store._state()["tables"]["audit_log"]) <= 3 and reporting.verification(store.table).first()["ok"]
+    assert store.table("audit_log").count() == 9 and len(store._state()["tables"]["audit_log"]) <= 3 and reporting.verification(store.table).first()["ok"]
 
 
 def test_a_window_that_fails_does_not_stop_the_others(spark, tmp_path, monkeypatch):
@@ -534,12 +550,18 @@ def test_a_window_that_fails_does_not_stop_the_others(spark, tmp_path, monkeypat
 
 
 def test_backfill_and_scheduler(filled):
-    store, *_ = filled
+    store, _, _, base = filled
     store.replace("records", store.table("records").withColumn("sentiment_label", F.when(F.col("pii_hits_count") > 0, None).otherwise(F.col("sentiment_label"))))
     assert ingest.backfill(store) == 1 and ingest.backfill(store) == 0
     later = NOW + timedelta(days=2)
     ticked = jobs.Scheduler(store).tick(later)
     assert ticked["projects"] == 1 and ticked["inserted"] == 0
+    scheduler = jobs.Scheduler(store)
+    scheduler.start(3_600, lambda: later)
+    while store.table("audit_log").where("action = 'tick.run'").count() < 2:
+        assert scheduler.thread.is_alive()
+    scheduler.stop()
+    assert not scheduler.thread.is_alive() and json.loads((base / "tables" / "runs" / "pv" / "20240601T000000.json").read_text())["project"] == "pv"
     store.set_fields("pv", status="paused")
     assert jobs.Scheduler(store).tick(later + timedelta(days=2))["projects"] == 0
     with pytest.raises(ValidationError):
