@@ -24,6 +24,9 @@ def fold(doc_id) -> F.Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction for every row. Learnt from rows of the other folds; a null doc_id is in no fold, so its row is neither learnt from
+    nor held out. Null, empty and letterless texts, and all texts where nothing could be learnt, are `und` with score 0; ties go to the
+    language that sorts first; texts of any length are read whole; repeated rows are predicted alike; an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     model = language.learn(docs, fold(F.col("doc_id")) != 0)
@@ -31,47 +34,68 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null ids, null vectors and ones with a null or non-finite component take no part; only vectors of equal length meet; a finite
+    component may be of any size. Ties go to the smaller vec_id. Repeated rows are as many candidates, and one query. An empty
+    table gives no rows; other columns aren't read."""
     return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. The shard trees are built where the shuffle brings a shard instead of being broadcast, which would
+    take all fingerprints through the driver; links are exact all the same. Null and blank texts have fingerprint zero; a null doc_id has
+    no component; rows that share an id are linked each by its own text; texts of any length are read whole; an empty table gives no rows."""
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no words, no labels and score 0; texts of any length are read whole; places
+    that overlap all count; repeated rows are scanned alike; an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.find_licenses(docs)
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_label_list", ",").alias("base_labels"), F.array_join("label_list", ",").alias("labels"), "score")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no tokens, and the digests of nothing; texts of any length are encoded whole;
+    repeated rows alike; an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=None, digests=True).drop("text")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archive to the shared folder, rebuilds the bytes of its records by joins, and parses these. A row for every page.
+    Null and empty pages are empty payloads; a null page_id is smaller than any; rows that repeat the largest page_id of a payload are all
+    responses; payloads of any length are kept whole; an empty table gives no rows."""
     path = common.scratch(spark, "warc")
     warc.write_archive(common.table(spark, sf_dir, "pages"), path)
     return warc.parsed(warc.warc_bytes(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page. Null and empty pages, and such without an article, have an empty text; pages of any length and depth are read
+    whole; repeated rows alike; an empty table gives no rows."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no words; repeated items are one; the words of items without an id are hit, too, but
+    such items aren't listed or counted; texts of any length are searched whole; empty tables give no rows, and no hits."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page. Null urls and ones without `://` have an empty host and path, no rule, and are blocked; other urls that no
+    rule fits are allowed; urls of any length are read whole; repeated rows are judged alike; an empty table gives no rows."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no spans, and the digest of nothing; spans that start together come in the order of
+    their kinds; texts of any length are scanned whole; repeated rows alike; an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
