@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from functools import cache
@@ -80,19 +81,27 @@ def pii_hits(text: str | None) -> list[dict]:
     if code.search(text):  # else no address can count, and its pattern takes the square of the text's length
         hits += [(lexicon.ADDRESS[0], m, lexicon.ADDRESS[2]) for m in address.finditer(text) if code.search(m.group())]
     hits.sort(key=lambda h: (-h[2], h[1].start() - h[1].end(), h[1].start()))
-    kept: list = []
+    starts: list[int] = []
+    kept: list[dict] = []  # by their starts; they don't overlap, so only the neighbours of a hit can
     for kind, m, c in hits:
-        if all(m.end() <= k["start"] or m.start() >= k["end"] for k in kept):
-            kept.append({"type": kind, "match": m.group(), "start": m.start(), "end": m.end(), "confidence": c})
-    return sorted(kept, key=lambda k: k["start"])
+        at = bisect.bisect_left(starts, m.start())
+        if (at == 0 or kept[at - 1]["end"] <= m.start()) and (at == len(kept) or m.end() <= kept[at]["start"]):
+            starts.insert(at, m.start())
+            kept.insert(at, {"type": kind, "match": m.group(), "start": m.start(), "end": m.end(), "confidence": c})
+    return kept
+
+
+def without(text: str, hits: list[dict]) -> str:
+    """The text with each hit, in order, replaced by its kind."""
+    parts, at = [], 0
+    for h in hits:
+        parts += [text[at : h["start"]], f"<{h['type']}>"]
+        at = h["end"]
+    return "".join([*parts, text[at:]])
 
 
 def redact(text: str | None) -> str | None:
-    if text is None:
-        return None
-    for h in reversed(pii_hits(text)):
-        text = f"{text[: h['start']]}<{h['type']}>{text[h['end'] :]}"
-    return text
+    return None if text is None else without(text, pii_hits(text))
 
 
 def _negated(low: str, at: int) -> bool:
@@ -159,6 +168,17 @@ def pii_redact(text: pd.Series) -> pd.Series:
     return text.map(_guarded(redact, None))
 
 
+@F.pandas_udf(T.StructType([T.StructField("hits", T.IntegerType()), T.StructField("redacted", T.StringType())]))
+def pii_counted(text: pd.Series) -> pd.DataFrame:
+    """The number of hits and the redacted text, of one search."""
+
+    def one(x):
+        hits = pii_hits(x)
+        return {"hits": len(hits), "redacted": without(x, hits)}
+
+    return pd.DataFrame([_guarded(one, {"hits": 0, "redacted": None})(x) for x in text], columns=["hits", "redacted"])
+
+
 @F.pandas_udf(schemas.SENTIMENT)
 def sentiment_of(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sentiment(x) for x in text], columns=schemas.SENTIMENT.names)

@@ -26,11 +26,17 @@ def hash_of(prev: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(prev, F.lit("")), *parts), 256)
 
 
-def append(log: DataFrame, events: list[tuple[str, str, str, str | None, dict]]) -> DataFrame:
-    """Rows for (ts, actor, action, target, payload) events after the last row of log. A chain is serial: events of a run, not of a corpus."""
-    spark: SparkSession = log.sparkSession
+def last_of(log: DataFrame) -> tuple[int, str]:
+    """Id and hash of the last row; 0 and nothing of an empty log."""
     last = log.agg(F.max("id").alias("id"), F.max_by("hash", "id").alias("hash")).first()
-    at, prev, rows = last["id"] or 0, last["hash"] or "", []
+    return last["id"] or 0, last["hash"] or ""
+
+
+def append(log: DataFrame, events: list[tuple[str, str, str, str | None, dict]], last: tuple[int, str] | None = None) -> DataFrame:
+    """Rows for (ts, actor, action, target, payload) events after the last row of log, which is looked up unless it is given. A chain is
+    serial: events of a run, not of a corpus."""
+    spark: SparkSession = log.sparkSession
+    (at, prev), rows = last or last_of(log), []
     for ts, actor, action, target, body in events:
         text = payload(body)
         at, was, prev = at + 1, prev, link(prev, ts, actor, action, target, text)

@@ -37,16 +37,16 @@ def gated(raw: DataFrame, source: SourceConfig, keywords: list[str], bounds: lis
 def enriched(rows: DataFrame, source_id: int, now: datetime) -> DataFrame:
     """The stored columns: enrichment is of the original text, and only the redacted text is stored."""
     t = F.coalesce("text", F.lit(""))
-    mood, found, hits = extract.sentiment_of(t), extract.ner_entities(t), extract.pii_detect(t)
-    out = rows.withColumns({"_mood": mood, "_found": found, "_hits": hits, "text_redacted": extract.pii_redact(t)})
+    out = rows.withColumns({"_mood": extract.sentiment_of(t), "_found": extract.ner_entities(t), "_pii": extract.pii_counted(t)}).withColumn("text_redacted", F.col("_pii.redacted"))
     return out.select(
         F.lit(source_id).cast("long").alias("source_id"), "external_id", text.content_hash(t).alias("content_hash"), "url", "posted_at", "text_redacted", "author_handle", "language_hint", "source_kind", "matched_keywords", F.lit(now).alias("ingested_at"),
-        F.col("_mood.score").alias("sentiment_score"), F.col("_mood.label").alias("sentiment_label"), F.coalesce(F.size("_hits"), F.lit(0)).alias("pii_hits_count"), F.when(F.size("_found.entities") > 0, F.col("_found.entities")).alias("entities"),
+        F.col("_mood.score").alias("sentiment_score"), F.col("_mood.label").alias("sentiment_label"), F.col("_pii.hits").alias("pii_hits_count"), F.when(F.size("_found.entities") > 0, F.col("_found.entities")).alias("entities"),
     )
 
 
 def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime, batch_id: tuple[str, str] | None = None) -> dict[str, int]:
-    """Counts of fetched and inserted rows (the rest are duplicates), and of late ones, dated before the source's watermark. Records, their keys and the
+    """Counts of fetched and inserted rows (the rest are duplicates), of late ones, dated before the source's watermark, and of ones whose
+    redaction failed, which are stored without a text. Records, their keys and the
     watermark are one commit: after a failure anywhere before it nothing is stored. Only the buckets of keys are read that the batch's are in."""
     batch = settled(rows)
     # An id from the source and the content: the same however often the batch is tried.
@@ -55,7 +55,7 @@ def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime, ba
     marks = store.table("watermarks")
     last = marks.where(F.col("source_id") == source_id).select("last_seen_ts").first()
     late = F.count_if(F.col("posted_at") < F.lit(last["last_seen_ts"])) if last and last["last_seen_ts"] else F.lit(0)
-    told = batch.agg(F.count("*").alias("fetched"), late.alias("late")).first()
+    told = batch.agg(F.count("*").alias("fetched"), late.alias("late"), F.count_if(F.col("text_redacted").isNull()).alias("failed")).first()
     fetched, inserted = told["fetched"], new.count()
     mark = changes.high_water(batch).select("source_id", "last_seen_id", "last_seen_ts").withColumns({"last_run_at": F.lit(now), "last_fetched": F.lit(fetched).cast("long"), "last_inserted": F.lit(inserted).cast("long")})
     if not fetched:
@@ -63,7 +63,7 @@ def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime, ba
     appended = {"records": new, "record_keys": changes.keys_of(new)} if inserted else {}
     done = store.commit({"watermarks": settled(changes.advance(marks, mark))}, appended, batch_id)
     inserted = inserted if done else 0
-    return {"fetched": fetched, "inserted": inserted, "duplicates": fetched - inserted, "late": told["late"]}
+    return {"fetched": fetched, "inserted": inserted, "duplicates": fetched - inserted, "late": told["late"], "failed": told["failed"]}
 
 
 def run_source(store: Store, project: Project, source: SourceConfig, source_id: int, keywords: list[str], now: datetime) -> dict:
@@ -81,7 +81,7 @@ def run_source(store: Store, project: Project, source: SourceConfig, source_id:
     if errors and not done:
         raise errors[0][1]
     out = {"source": source.name, "since": min(b[0] for b in bounds).isoformat(), "until": max(b[1] for b in bounds).isoformat(), "windows": len(bounds)}
-    out |= {k: sum(d[k] for d in done) for k in ("fetched", "inserted", "duplicates", "late")}
+    out |= {k: sum(d[k] for d in done) for k in ("fetched", "inserted", "duplicates", "late", "failed")}
     return out | ({"errors": [{"since": at.isoformat(), "error": f"{type(e).__name__}: {str(e)[:300]}"} for at, e in errors]} if errors else {})
 
 
