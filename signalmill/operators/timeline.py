@@ -10,6 +10,11 @@ def daily_counts(df: DataFrame, at: Column, *keys: str) -> DataFrame:
     return df.where(at.isNotNull()).groupBy(*keys, F.to_date(at).alias("day")).agg(F.count("*").alias("n"))
 
 
+def bounds(df: DataFrame, at: str, *keys: str) -> DataFrame:
+    """(keys, window_since, window_until, n): the first and last time and the number of rows."""
+    return df.groupBy(*keys).agg(F.min(at).alias("window_since"), F.max(at).alias("window_until"), F.count("*").alias("n"))
+
+
 def spine(days: DataFrame, *keys: str, least: int = 14) -> DataFrame:
     """Each key's days from its first to its last; shorter ranges are widened at both ends, the odd day at the end."""
     ends = days.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))

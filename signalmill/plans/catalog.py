@@ -437,7 +437,7 @@ def sync_sources(spark, sf_dir):
 @query("SELECT n_regionkey, min(o_orderdate) AS window_since, max(o_orderdate) AS window_until, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")
 def window_bounds(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_regionkey").agg(F.min("o_orderdate").alias("window_since"), F.max("o_orderdate").alias("window_until"), F.count("*").alias("n"))
+    return timeline.bounds(rows, "o_orderdate", "n_regionkey")
 
 
 @query("""SELECT l_returnflag, s_nationkey, count(*) AS n, max(l_shipdate) AS last_run, CAST(round(100 * count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS pct, CAST(round(100 * count(*) / max(count(*)) OVER (PARTITION BY l_returnflag)) AS BIGINT) AS bar_pct

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from ..streaming import jobs
+from ..tables import shared_dir
 from . import reporting, roles
-from .catalog import _SCORE, _TIER, query
+from .catalog import _CELLS, _SCORE, _TIER, query
 
 _W = f"WITH {roles.SQL}"
 _HEALTH = """health AS (SELECT s.*, w.last_run_at, w.last_fetched, w.last_inserted, coalesce(r.n, 0) AS records_stored,
@@ -245,3 +250,46 @@ def project_summary(spark, sf_dir):
 def csv_export_projection(spark, sf_dir):
     rows = reporting.records_csv(roles.tables(spark, sf_dir), roles.PROJECT)
     return rows.select(*(_said(c) if c.endswith("_at") else c for c in rows.columns))
+
+
+# --- a store ---
+
+
+def _store(spark, sf_dir):
+    return roles.filled(spark, sf_dir, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(f"""{_W}, pairs AS (SELECT drug, event, posted_at FROM records r JOIN sources s ON r.source_id = s.id WHERE project_id = '{roles.PROJECT}'), {_CELLS}
+SELECT drug, event, n, prr, chi2, ic, (SELECT strftime(min(posted_at), '%Y-%m-%d %H:%M:%S') FROM pairs) AS window_since, (SELECT strftime(max(posted_at), '%Y-%m-%d %H:%M:%S') FROM pairs) AS window_until FROM stat""")
+def signal_job(spark, sf_dir):
+    """What the signal job stores of a project: names found in the records' texts, and statistics of their pairs."""
+    store, now = _store(spark, sf_dir), datetime(2030, 1, 1, tzinfo=timezone.utc)
+    jobs.compute_signals(store, roles.PROJECT, now)
+    rows = store.table("signals").where(F.col("computed_at") == F.lit(now))
+    return rows.select("drug", "event", "n", "prr", "chi2", "ic", _said("window_since"), _said("window_until"))
+
+
+@query(f"""{_W} SELECT p.id, (SELECT count(*) FROM sources WHERE project_id = p.id) AS n_sources, (SELECT count(*) FROM records r JOIN sources s ON r.source_id = s.id WHERE project_id = p.id) AS n_records, (SELECT count(*) FROM signals WHERE project_id = p.id) AS n_signals FROM projects p""")
+def project_list(spark, sf_dir):
+    return _store(spark, sf_dir).projects().select("id", "n_sources", "n_records", "n_signals")
+
+
+@query(f"""{_W}, own AS (SELECT id FROM sources WHERE project_id = '{roles.PROJECT}') SELECT 'records' AS name, (SELECT count(*) FROM records WHERE source_id IN (SELECT id FROM own)) AS gone, (SELECT count(*) FROM records WHERE source_id NOT IN (SELECT id FROM own)) AS n UNION ALL
+SELECT 'watermarks', (SELECT count(*) FROM watermarks WHERE source_id IN (SELECT id FROM own)), (SELECT count(*) FROM watermarks WHERE source_id NOT IN (SELECT id FROM own)) UNION ALL
+SELECT 'signals', (SELECT count(*) FROM signals WHERE project_id = '{roles.PROJECT}'), (SELECT count(*) FROM signals WHERE project_id <> '{roles.PROJECT}') UNION ALL
+SELECT 'projects', 0, (SELECT count(*) FROM projects) UNION ALL SELECT 'sources', 0, (SELECT count(*) FROM sources) UNION ALL SELECT 'audit_log', 0, 1""")
+def project_reset(spark, sf_dir):
+    """Rows of each table that a reset of a project takes, and rows left."""
+    store = _store(spark, sf_dir)
+    gone = store.reset_project(roles.PROJECT)
+    left = store.diagnostics().where("name <> 'record_keys'")
+    return left.join(spark.createDataFrame(list(gone.items()), "name string, gone long"), "name", "left").fillna(0, ["gone"])
+
+
+@query(f"""{_W} SELECT id, CASE WHEN id = '{roles.PROJECT}' THEN 'paused' ELSE status END AS status, CASE WHEN id = '{roles.PROJECT}' THEN 'weekly' ELSE coalesce(cadence, 'none') END AS cadence, 1 AS entries FROM projects""")
+def project_status(spark, sf_dir):
+    """Projects after one of them is paused and its cadence changed; with the number of entries of that in the log."""
+    store = _store(spark, sf_dir)
+    store.set_fields(roles.PROJECT, status="paused", cadence="weekly")
+    entries = store.table("audit_log").where("action = 'project.paused'").agg(F.count("*").cast("int").alias("entries"))
+    return store.table("projects").select("id", "status", F.coalesce("cadence", F.lit("none")).alias("cadence")).crossJoin(entries)  # one row

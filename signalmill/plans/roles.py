@@ -6,7 +6,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..schemas import TABLES
+from ..store import Store
 from .reporting import Tables
 
 # What each role takes for names. The same text serves both engines.
@@ -49,6 +52,14 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return lambda name: spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", stored, _SPARK[name]))
 
 
+def filled(spark: SparkSession, sf_dir: str, path: str) -> Store:
+    """A store that holds the tables, in one commit."""
+    t, store = tables(spark, sf_dir), Store(spark, path)
+    whole = lambda name: t(name).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields if f.name not in t(name).columns))
+    store.commit(replaced={name: whole(name) for name in _SPARK if name != "audit_log"})
+    return store
+
+
 #: The same as common table expressions.
 SQL = f"""projects AS (SELECT concat('p', r_regionkey) AS id, r_name AS name, 2 AS keywords, TIMESTAMP '1998-06-20' + to_days(CAST(10 * r_regionkey AS INTEGER)) AS created_at, TIMESTAMP '1998-06-21' + to_days(CAST(10 * r_regionkey AS INTEGER)) AS updated_at, {_STATUS} AS status, CASE WHEN r_regionkey = 1 THEN 'manual' END AS cadence FROM region),
 sources AS (SELECT CAST(n_nationkey AS BIGINT) AS id, concat('p', n_regionkey) AS project_id, n_name AS name, {_CONNECTOR} AS connector, concat('https://feeds.example/', lower(n_name)) AS feed_url, {_LATENCY} AS latency, n_nationkey % 7 <> 3 AS enabled FROM nation),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..operators import changes
+from ..operators import changes, timeline
 from ..operators import disproportionality as dp
 from ..store import Store
 from ..tables import settled
@@ -39,15 +39,15 @@ def record_pairs(store: Store, project_id: str, adverse_only: bool = False) -> D
 def compute_signals(store: Store, project_id: str, now: datetime, adverse_only: bool = False, min_n: int = dp.MIN_N, prr: float = dp.PRR, chi2: float = dp.CHI2) -> dict:
     pairs = settled(record_pairs(store, project_id, adverse_only))
     stats = settled(dp.compute(pairs, min_n, prr, chi2))
-    window = pairs.agg(F.min("posted_at").alias("a"), F.max("posted_at").alias("b")).first()
-    rows = stats.withColumns({"project_id": F.lit(project_id), "window_since": F.lit(window["a"]).cast("timestamp"), "window_until": F.lit(window["b"]).cast("timestamp"), "computed_at": F.lit(now)})
+    window = timeline.bounds(pairs, "posted_at").first()
+    rows = stats.withColumns({"project_id": F.lit(project_id), **{c: F.lit(window[c]).cast("timestamp") for c in ("window_since", "window_until")}, "computed_at": F.lit(now)})
     rows = rows.withColumn("id", F.abs(F.xxhash64("project_id", "drug", "event", "computed_at")))
     store.append("signals", rows.join(store.table("signals").select("id"), "id", "left_anti"))
     counts = stats.agg(F.count("*").alias("rows"), F.count_if("is_signal").alias("flagged")).first().asDict()
     store.append_audit("signals", "signals.computed", project_id, counts)
     examples = dp.examples(pairs, ["drug", "event"], "record", "text_redacted")
     top = stats.join(examples, ["drug", "event"], "left").orderBy(F.desc("is_signal"), F.desc("prr")).limit(20)
-    return {**counts, "pairs": pairs.count(), "top": [r.asDict() for r in top.collect()]}
+    return {**counts, "pairs": window["n"], "top": [r.asDict() for r in top.collect()]}
 
 
 class Scheduler:
