@@ -215,7 +215,7 @@ def _shard_links(spark: SparkSession, fps: DataFrame, blocks: int, radius: int,
 def _turn(star: DataFrame) -> DataFrame:
     both = star.union(star.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     small = large.groupBy("u").agg(F.min("v").alias("m"))
     return large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small).distinct()
 
