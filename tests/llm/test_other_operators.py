@@ -353,12 +353,12 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_of_odd_rows(spark, tmp_path):
-    rows = [(1, None, None, "s", None, "x"), (2, "", "en", "s", 0, "x"), (3, "A text, of words.", "en", None, 17, "x"), (3, "A text, of words.", "en", None, 17, "x"), (4, "123", "en", "s", 3, "x"), (None, "Other words here", "en", "s", 16, "x")]
+    rows = [(1, None, None, "s", None, "x"), (2, "", "en", "s", 0, "x"), (3, "A text, of words.", "en", None, 17, "x"), (3, "A text, of words.", "en", None, 17, "x"), (4, "123", "en", "s", 3, "x"), (None, "Other words here", "en", "s", 16, "x"), (6, " ".join(f"word{k}" for k in range(30_000)), None, "s", None, "x")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(str(r["doc_id"]) for r in out) == ["3", "None"] and all(r["n_tokens"] > 0 for r in out)
+    assert sorted(str(r["doc_id"]) for r in out) == ["3", "6", "None"] and all(r["n_tokens"] > 0 for r in out)
 
 
 def test_pipeline_masks_keys_covered_in_part(spark):
