@@ -162,10 +162,19 @@ def _total(token: Column, table: Column) -> Column:
     return F.aggregate(marks, F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("sum")), step, lambda acc: acc["sum"])
 
 
+def _left_random(text: Column, over: Column, e: Column) -> Column:
+    """Whether base spans `over` leave some of a candidate, and it or what they leave of it looks random."""
+    piece = lambda a, b: F.substring(text, a + 1, F.greatest(F.lit(0), b - a))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+    left = F.aggregate(over, F.struct(e["start"].alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], e["end"])))
+    return _let(left, lambda rest: (F.length(rest) > 0) & (_random_like(rest) | (F.size(over) > 0) & _random_like(piece(e["start"], e["end"]))))
+
+
 def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans", partly: bool = False) -> DataFrame:
     """df with two arrays of (start, ord, kind, end), sorted: `base` has the matches of the fixed patterns,
     `spans` also those strings of 20 and more characters that the Markov model of random strings explains better
-    (by MARGIN a character), where no base match overlaps them (`partly`: where base matches don't cover all of them). Offsets are code points, ends exclusive.
+    (by MARGIN a character), where no base match overlaps them (`partly`: strings that base matches cover in part are spans as a whole, if
+    the model takes either all of the string or what base matches leave of it for random). Offsets are code points, ends exclusive.
 
     Null texts count as empty and have none. Whole texts are scanned, of any length; rows are kept as they come, repeated ones
     too, and an empty table gives an empty one. Of spans with one start, kinds come in the order listed. Columns of df with the name of a new one are replaced.
@@ -174,9 +183,12 @@ def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", sp
     rows = df.withColumn(source, F.coalesce(df[text], F.lit(""))).drop(base, spans)
     t = F.col(source)
     kinds = [_located(t, p, _at_least(n), g, kind, k) for k, (kind, p, g, n) in enumerate(PATTERNS)]
-    rows = rows.withColumns({base: F.array_sort(F.concat(*kinds)), extra: _located(t, CANDIDATE, _random_like, 0, MARKOV, len(PATTERNS))})
-    reach = lambda e: F.aggregate(base, e["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-    taken = (lambda e: reach(e) >= e["end"]) if partly else lambda e: F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    held = _located(t, CANDIDATE, (lambda _: F.lit(True)) if partly else _random_like, 0, MARKOV, len(PATTERNS))
+    rows = rows.withColumns({base: F.array_sort(F.concat(*kinds)), extra: held})
+    if partly:
+        taken = lambda e: ~_left_random(t, F.filter(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])), e)
+    else:
+        taken = lambda e: F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
     apart = F.when(F.size(extra) == 0, F.col(extra)).otherwise(F.filter(extra, lambda e: ~taken(e)))
     return rows.withColumn(spans, F.array_sort(F.concat(F.col(base), apart))).drop(source, extra)
 
