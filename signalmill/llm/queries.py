@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_text, language, licenses, secrets, simhash, topk, url_rules, warc
+from . import bpe, common, decontaminate, html_text, language, licenses, resample, secrets, setsketch, simhash, topk, url_rules, variants, warc
 
 #: The rank file; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -102,8 +102,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(kind) for kind, *_ in secrets.PATTERNS), F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("secret_spans")).alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every word of the whole table's texts. Null and empty texts have no words, a null doc_id counts as an empty id; repeated rows
+    count as often as they come; ties of a form go to the first in code-point order; an empty table gives no rows."""
+    return variants.spelling_variants(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no features and weight 0; a null doc_id draws as an empty id would, and comes
+    last of a tie; repeated rows count each; ties go to the smaller doc_id; texts of any length are counted whole; no documents
+    give no rows, an empty benchmark counts of 0."""
+    docs, benchmark = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample.resample(docs, benchmark)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null, empty and blank texts have no shingles and are linked with nothing; a null doc_id has no component and
+    null for `kept`; repeated rows have one component; texts of any length are read whole; an empty table gives no rows."""
+    return setsketch.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_license_scan, op5_bpe, op6_warc, op7_html_text, op8_decontaminate, op9_url_filter, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_license_scan, op5_bpe, op6_warc, op7_html_text, op8_decontaminate, op9_url_filter, op10_secret_scan, op11_spelling_variants, op12_resample, op13_minhash)}
 
 
 def _words(text: str) -> str:
@@ -134,11 +154,80 @@ n AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
 SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in secrets.PATTERNS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
+#: (tab): the table of CRC32 by byte, from its polynomial.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST(range(8) AS BIGINT[])),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(column: str) -> str:
+    """CRC32 of a text in UTF-8, next to crc."""
+    octets = f"list_transform(range(strlen({column})), lambda k: CAST('0x' || substr(hex(encode({column})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _variants_sql() -> str:
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS s, r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({lowered}, '[a-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY ALL),
+h AS (SELECT r, k, {_crc("s")} AS h FROM c, crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+dels AS (SELECT word, substr(word, 1, i - 1) || ' ' || substr(word, i + 1) AS gap, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near FROM dels a JOIN dels b ON a.gap = b.gap AND a.word <> b.word UNION SELECT dels.word, v.word FROM dels JOIN v ON short = v.word UNION SELECT v.word, dels.word FROM dels JOIN v ON short = v.word),
+best AS (SELECT near.word, near.near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near.near) AS nth FROM near JOIN v ON near.near = v.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word AND nth = 1),
+led AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT led.word, f.form, steps + 1 FROM led JOIN f ON led.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, max_by(root, steps) AS root FROM led GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots ON f.word = roots.word"""
+
+
+def _resample_sql() -> str:
+    runs = lambda k: f"list_transform(range(1, greatest(0, len(w) - {k - 1}) + 1), lambda p: array_to_string(list_slice(w, p, p + {k - 1}), ' '))"
+    listed = f"flatten([{', '.join(runs(k) for k in range(1, resample.ORDERS + 1))}])"
+    return f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents), b AS (SELECT {_words("coalesce(text, '')")} AS w FROM benchmark),
+df AS (SELECT doc_id, f, count(*) AS k FROM (SELECT doc_id, unnest({listed}) AS f FROM d) GROUP BY ALL),
+bf AS (SELECT f, count(*) AS k FROM (SELECT unnest({listed}) AS f FROM b) GROUP BY f),
+codes AS (SELECT f, {_crc("f")} % {resample.BUCKETS} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT bucket, CAST(sum(k) AS DOUBLE) AS s FROM df JOIN codes USING (f) GROUP BY bucket), t AS (SELECT bucket, CAST(sum(k) AS DOUBLE) AS t FROM bf JOIN codes USING (f) GROUP BY bucket),
+gains AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + {resample.BUCKETS}) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + {resample.BUCKETS})))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON s.bucket = t.bucket),
+weights AS (SELECT doc_id, CAST(sum(k * gain) AS BIGINT) AS weight FROM df JOIN codes USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, len(w) AS n_words, CAST({' + '.join(f'greatest(0, len(w) - {k})' for k in range(resample.ORDERS))} AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights ON d.doc_id = weights.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS nth, (SELECT count(*) FROM scored WHERE n_words >= 20) AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND nth <= 5 * fit // 100 THEN nth END AS rank FROM ranked"""
+
+
+def _minhash_sql() -> str:
+    """Pairs are looked for by a shared shingle among the rarest of the smaller set, as many as a set of LEAST can lack, and one."""
+    lowered = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lowered}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 3), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), df AS (SELECT s, count(*) AS df FROM sh GROUP BY s),
+o AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS nth FROM sh JOIN df USING (s) JOIN n USING (doc_id)),
+pre AS (SELECT * FROM o WHERE nth <= n - CAST(ceil(n * 8 / 10) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM (SELECT a, b, na, nb, count(*) AS c FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.s = x.s GROUP BY ALL) WHERE 100 * c >= 80 * (na + nb - c)),
+linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS spot FROM n UNION SELECT reach.doc_id, linked.b FROM reach JOIN linked ON reach.spot = linked.a),
+firsts AS (SELECT doc_id, min(spot) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, w.doc_id = coalesce(component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN firsts ON w.doc_id = firsts.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL expresses; the others are tested against brute force, a library or held-out rows."""
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.name}', '{r.verdict}')" for r in URL_RULES)
     return {
         "op10_secret_scan": _secret_sql(),
+        "op11_spelling_variants": _variants_sql(),
+        "op12_resample": _resample_sql(),
+        "op13_minhash": _minhash_sql(),
         "op2_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -13,3 +13,8 @@ def words(text: str | None) -> list[bytes]:
 def normalised(text: str | None) -> bytes:
     """The words, each between single spaces."""
     return b" " + b" ".join(words(text)) + b" " if text else b" "
+
+
+def spaced(text: str | None) -> bytes:
+    """The text with a space for each byte outside a word."""
+    return text.encode("utf-8").translate(_TABLE) if text else b""
