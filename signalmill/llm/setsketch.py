@@ -3,10 +3,11 @@
 A register keeps, on a logarithmic scale of base BASE and cut to 16 bits, the least of the exponential numbers that a hash gives the
 set's elements. Registers of a union are the larger ones (merged), and two sets' registers agree the oftener the more alike the sets
 are. Texts with a band of equal registers are candidates; how many of two texts' registers are larger, smaller and equal gives the
-likelihood of each similarity, by which hopeless candidates go; the others are verified on the whole sets.
+likelihood of each similarity, by which hopeless candidates go; the others are verified, on parities first and then on the whole sets.
 
 Equal sets are one node. Nodes of a band are first paired with one of them, the star's centre, which links families in as many pairs as
-they have members. Then bands whose nodes are of several components are searched for pairs across these, in tiles of bounded size.
+they have members. Then bands whose nodes are of several components are searched for pairs across these, in tiles of bounded size. A
+family's members may be as many pairs that are nearly similar enough; what a tile gives is a pair for any two of its groups.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ CENTRES = 4
 TILE = 500
 #: Twice the log-likelihood ratio by which an estimate below LEAST must be likelier than LEAST to drop a pair: five standard errors.
 DOUBT = 25.0
-#: Estimates from which a pair is taken to link, so that one such pair of two groups of a tile is enough; the next value is tried where one
-#: of them doesn't link, the last one asks for every pair.
-LEVELS = (0.86, 0.95, 2.0)
+#: Bits of parity for each element. A pair that is just not similar enough mostly has too many bits that differ.
+PARITY = 8
+#: Similarities by parity from which a pair is taken to link, so that one such pair of two groups of a tile is enough; the next value is tried
+#: where one of them doesn't link, the last one asks for every pair that parities leave.
+LEVELS = (LEAST / 100, 2.0)
 
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -98,18 +101,64 @@ def alike(a: int, b: int, both: int) -> bool:
     return 100 * both >= LEAST * (a + b - both)
 
 
-_NODE = [("code", T.BinaryType()), ("size", T.LongType()), ("registers", T.BinaryType())]
+def parities(codes: np.ndarray) -> bytes:
+    """For each of a power of two of bits, PARITY an element at least, whether an odd number of elements falls on it."""
+    bits = max(64, 1 << (PARITY * len(codes) - 1).bit_length()) if len(codes) else 64
+    odd = np.bincount((codes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Parities of the members of a tile, by their lengths."""
+
+    def __init__(self, of: list[bytes]):
+        self.width = np.array([len(x) for x in of])
+        self.place = np.zeros(len(of), dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join(of[k] for k in at.tolist()), dtype="<u8").reshape(len(at), -1)
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """As they are with fewer bits."""
+        while rows.shape[1] * 8 > width:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    def apart(self, k: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits that differ between member k and others, and bits that are compared."""
+        count, bits = np.zeros(len(other), dtype=np.int64), np.zeros(len(other), dtype=np.int64)
+        own, mine = int(self.width[k]), self.rows[int(self.width[k])][self.place[k]][None, :]
+        for w in np.unique(self.width[other]).tolist():
+            at, least = np.flatnonzero(self.width[other] == w), min(w, own)
+            theirs = self._folded(self.rows[w][self.place[other[at]]], least)
+            count[at] = np.bitwise_count(theirs ^ self._folded(mine, least)).sum(axis=1)
+            bits[at] = 8 * least
+        return count, bits
+
+
+def by_parity(apart: np.ndarray, bits: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, possible) of pairs of so many elements in all: what the bits that differ let expect, and whether LEAST can be reached: each such bit
+    takes an element that only one of the two has."""
+    differ = -bits / 2 * np.log1p(-2 * np.minimum(apart, 0.49 * bits) / bits)
+    return np.maximum(0.0, (total - differ) / (total + differ)), (100 + LEAST) * apart <= (100 - LEAST) * total
+
+
+_NODE = [("code", T.BinaryType()), ("size", T.LongType()), ("registers", T.BinaryType()), ("parity", T.BinaryType())]
 
 
 def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """rows (with text) and code (a digest of the set; null of an empty one), size and registers."""
+    """rows (with text) and code (a digest of the set; null of an empty one), size, registers and parity."""
 
     def make():
         def work(columns):
-            out: list[list] = [[], [], []]
+            out: list[list] = [[] for _ in _NODE]
             for text in columns[0]:
                 codes = np.unique(simhash.shingles(text, shingle))
-                for x, y in zip(out, (xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None, len(codes), registers(codes).tobytes() if len(codes) else None)):
+                some = (xxhash.xxh3_128_digest(codes.tobytes()), len(codes), registers(codes).tobytes(), parities(codes)) if len(codes) else (None, 0, None, None)
+                for x, y in zip(out, some):
                     x.append(y)
             return out
 
@@ -196,10 +245,10 @@ class _Groups:
         return x != y
 
 
-def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray, size: np.ndarray, matrix: np.ndarray, level: float) -> Iterator[tuple[int, int, bool]]:
+def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray, size: np.ndarray, matrix: np.ndarray, parity: Parities, level: float) -> Iterator[tuple[int, int, bool]]:
     """Pairs of places in a tile (of all of it, or across its sides) that are of different components, have this band as the first that they
-    share, and may be LEAST alike. Of pairs that are estimated at `level` and more, one for each two groups; of the others
-    all between different groups."""
+    share, and may be LEAST alike by their registers and by parity. Of pairs that reach `level` by parity, one for each two groups, the
+    likest first; of the others all between different groups."""
     found: list[tuple[float, int, int]] = []
     order = np.arange(len(side))
     for k in range(len(side)):
@@ -209,13 +258,15 @@ def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray,
         if not len(other):
             continue
         equal = matrix[other] == matrix[k]
-        shared = equal.reshape(-1, BANDS, ROWS).all(axis=2)
-        first = shared.argmax(axis=1) == band
+        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         other, equal = other[first], equal[first].sum(axis=1)
-        if len(other):
-            larger = (matrix[k] > matrix[other]).sum(axis=1)
-            value, possible = estimate(larger, SIZE - larger - equal, equal, np.full(len(other), size[k]), size[other])
-            found.extend((-v, k, j) for v, j in zip(value[possible].tolist(), other[possible].tolist()))
+        if not len(other):
+            continue
+        larger = (matrix[k] > matrix[other]).sum(axis=1)
+        possible = estimate(larger, SIZE - larger - equal, equal, np.full(len(other), size[k]), size[other])[1]
+        other = other[possible]
+        value, possible = by_parity(*parity.apart(k, other), size[k] + size[other])
+        found.extend((-v, k, j) for v, j in zip(value[possible].tolist(), other[possible].tolist()))
     names = np.unique(component, return_inverse=True)[1].tolist()
     groups = _Groups(len(names))
     for value, k, j in sorted(found):
@@ -228,13 +279,13 @@ def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray,
 
 
 def _across(level: float):
-    """Over (key, kind, x, y, band, side, node, component, size, registers) sorted by the first four."""
+    """Over (key, kind, x, y, band, side, node, component, size, registers, parity) sorted by the first four."""
 
     def tile(rows: list[tuple]) -> Iterator[tuple]:
         (_, kind, x, y, band, *_), n = rows[0], len(rows)
-        side, node, component, size, raw = zip(*(r[5:] for r in rows))
+        side, node, component, size, raw, parity = zip(*(r[5:] for r in rows))
         matrix = np.frombuffer(b"".join(raw), dtype="<u2").reshape(n, SIZE)
-        for k, j, sure in tile_pairs(band, kind == 0 or kind == 1 and x == y, np.array(side), np.array(component), np.array(size), matrix, level):
+        for k, j, sure in tile_pairs(band, kind == 0 or kind == 1 and x == y, np.array(side), np.array(component), np.array(size), matrix, Parities(parity), level):
             yield min(node[k], node[j]), max(node[k], node[j]), sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +331,8 @@ def _tiles(known: DataFrame, nodes: DataFrame) -> DataFrame:
     of_big = F.transform(F.sequence(zero, F.col("rest") - 1), lambda t: spot(2, t, F.col("tile"), one))
     spots = F.when(small, F.array(spot(0, zero, zero, zero))).when(own, of_big).otherwise(F.concat(of_rest, to_big))
     dealt = rows.withColumn("tile", tile).select("key", "band", "node", "component", F.explode(spots).alias("s"))
-    held = dealt.join(nodes.select("node", "size", "registers"), "node")
-    return held.select("key", "s.kind", "s.x", "s.y", "band", "s.side", "node", "component", "size", "registers")
+    held = dealt.join(nodes.select("node", "size", "registers", "parity"), "node")
+    return held.select("key", "s.kind", "s.x", "s.y", "band", "s.side", "node", "component", "size", "registers", "parity")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -297,8 +348,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     made = common.materialise(spark, sketches(rows, shingle).drop("text"), "setsketch-docs")
     mine = made.where("code IS NOT NULL AND doc_id IS NOT NULL")
     one = F.min(F.struct("doc_id", "place")).alias("r")
-    nodes = mine.groupBy("code").agg(one, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("registers").alias("registers"))
-    nodes = common.materialise(spark, nodes.select(F.monotonically_increasing_id().alias("node"), "code", "r.doc_id", "r.place", "copies", "size", "registers"), "setsketch-nodes")
+    nodes = mine.groupBy("code").agg(one, F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "registers", "parity")))
+    nodes = common.materialise(spark, nodes.select(F.monotonically_increasing_id().alias("node"), "code", "r.doc_id", "r.place", "copies", "size", "registers", "parity"), "setsketch-nodes")
     rows = rows.where("doc_id IS NOT NULL")
     wide = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", k * wide + 1, wide)) for k in range(BANDS)))

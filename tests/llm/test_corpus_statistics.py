@@ -309,6 +309,39 @@ def test_share_of_pairs_with_a_band():
     assert shared == 300 and possible == 300
 
 
+def test_parities_rule_out_no_link():
+    """Of sets at and around the least similarity, also of different lengths: those that reach it are possible, those well below are not."""
+    rng = np.random.default_rng(5)
+    for n in (5, 40, 150, 1_000):
+        for lack in range(0, n, max(1, n // 20)):
+            pool = rng.integers(0, 1 << 63, n + n // 4 + 1, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[lack:])
+            both = len(np.intersect1d(a, b))
+            held = setsketch.Parities([setsketch.parities(a), setsketch.parities(b)])
+            value, possible = setsketch.by_parity(*held.apart(0, np.array([1])), np.array([len(a) + len(b)]))
+            real = both / (len(a) + len(b) - both)
+            assert possible[0] or real < 0.8
+            assert not possible[0] or real > 0.7 or n < 10
+            assert abs(value[0] - real) < 0.1 or n < 10 or real < 0.5
+
+
+def test_family_that_is_nearly_alike(spark):
+    """Edits of one text, most pairs of which are below the least similarity: what is emitted follows the members, not their pairs."""
+    rng = random.Random(15)
+    base = ["t%d" % k for k in range(140)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 3, 5, 7, 9])):
+            copy[rng.randrange(len(copy))] = "e%d" % rng.randrange(10_000)
+        texts.append(" ".join(copy))
+    assert rows_of(setsketch.near_duplicates(frame(spark, texts))) == brute_components(list(enumerate(texts)))
+    sets = [np.unique(simhash.shingles(t, 4)) for t in texts]
+    matrix, size = np.array([setsketch.registers(x) for x in sets]), np.array([len(x) for x in sets])
+    pairs = sum(len(list(setsketch.tile_pairs(band, True, np.zeros(len(sets)), np.arange(len(sets)), size, matrix, setsketch.Parities([setsketch.parities(x) for x in sets]), 0.8))) for band in range(setsketch.BANDS))
+    assert pairs < 12 * len(sets)
+
+
 def test_setsketch_of_nothing(spark):
     assert setsketch.near_duplicates(frame(spark, [])).collect() == []
     assert rows_of(setsketch.near_duplicates(frame(spark, ODD[:3]))) == [(k, 0, k, True) for k in range(3)]
