@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ DOUBT = 25.0
 PARITY = 8
 #: Similarities by parity from which a pair is taken to link, so that one such pair of two groups of a tile is enough; the next value is tried
 #: where one of them doesn't link, the last one asks for every pair that parities leave.
-LEVELS = (LEAST / 100, 2.0)
+LEVELS = (0.82, 2.0)
 
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -167,10 +167,17 @@ def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return common.map_rows(rows, ["text"], _NODE, make)
 
 
-def _joined(pairs: DataFrame, side: str, right: DataFrame) -> DataFrame:
-    """Stored pairs with the columns of a node's row; a node of many pairs is dealt over tasks."""
-    counts = pairs.groupBy(side).agg(F.count("*").alias("times"))
-    return common.salted_join(pairs, right, side, "times", "inner", counts)
+def _both(pairs: DataFrame, right: DataFrame, few: bool) -> DataFrame:
+    """(a, b, x, y): pairs with the rows of their two nodes, as structures. Few pairs are broadcast; of more, a node of many is dealt over tasks.
+    The two rows of a pair meet by the pair, so that no node's do."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    row = F.struct(*(c for c in right.columns if c != "node"))
+    if few:
+        met = right.join(F.broadcast(ends), "node")
+    else:
+        met = common.salted_join(ends, right, "node", "times", "inner", ends.groupBy("node").agg(F.count("*").alias("times")))
+    side = lambda x: F.first(F.when(F.col("node") == F.col(x), row), ignorenulls=True)
+    return met.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
 
 
 def _compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +188,8 @@ def _compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Stored pairs (a, b) that their registers don't rule out."""
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    halfway = common.materialise(pairs.sparkSession, _joined(pairs, "a", of("a")), "setsketch-half")
-    both = _joined(halfway, "b", of("b"))
+    both = _both(pairs, nodes.select("node", "size", "registers"), pairs.count() <= simhash.SMALL)
+    flat = both.select("a", "b", F.col("x.size").alias("n"), F.col("y.size").alias("m"), F.col("x.registers").alias("p"), F.col("y.registers").alias("q"))
 
     def make():
         def work(columns):
@@ -195,20 +201,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return work
 
-    return common.map_rows(both, ["na", "nb", "ra", "rb"], [("likely", T.BooleanType())], make).where("likely").select("a", "b")
+    return common.map_rows(flat, ["n", "m", "p", "q"], [("likely", T.BooleanType())], make).where("likely").select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Stored pairs with `link`: whether the whole sets reach LEAST. Sets are made again from the texts, of the nodes in pairs only."""
-    spark = pairs.sparkSession
+    """Stored pairs (a, b) with `link`: whether the whole sets reach LEAST. Sets are made again from the texts, of the nodes in pairs only."""
+    few = pairs.count() <= simhash.SMALL // 2
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = common.materialise(spark, nodes.select("node", "doc_id", "place").join(named, "node"), "setsketch-asked")
-    asked = F.broadcast(asked) if asked.count() <= simhash.SMALL else asked
+    places = nodes.select("node", "doc_id", "place")
+    asked = F.broadcast(places.join(F.broadcast(named), "node")) if few else places.join(named, "node")
     texts = rows.join(asked, ["doc_id", "place"]).select("node", "text")
     codes = common.map_rows(texts, ["text"], [("codes", T.BinaryType())], lambda: lambda columns: [[np.unique(simhash.shingles(t, shingle)).tobytes() for t in columns[0]]])
-    sets = common.materialise(spark, codes.groupBy("node").agg(F.first("codes").alias("codes")), "setsketch-sets")
-    halfway = common.materialise(spark, _joined(pairs, "a", sets.toDF("a", "ca")), "setsketch-half")
-    both = _joined(halfway, "b", sets.toDF("b", "cb"))
+    sets = codes.groupBy("node").agg(F.first("codes").alias("codes"))
+    if not few:
+        sets = common.materialise(pairs.sparkSession, sets, "setsketch-sets")
+    flat = _both(pairs, sets, few).select("a", "b", F.col("x.codes").alias("p"), F.col("y.codes").alias("q"))
 
     def make():
         def work(columns):
@@ -220,8 +227,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int)
 
         return work
 
-    found = common.map_rows(both, ["ca", "cb"], [("link", T.BooleanType())], make)
-    return common.materialise(spark, found.drop("ca", "cb"), "setsketch-links")
+    found = common.map_rows(flat, ["p", "q"], [("link", T.BooleanType())], make)
+    return common.materialise(pairs.sparkSession, found.drop("p", "q"), "setsketch-links")
+
+
+_STAR = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all of a bounded number of links (node, root): each linked node but its component's smallest, with that one."""
+    names: dict[int, int] = {}
+    pairs = [(x, y) for batch in batches for x, y in zip(*(c.to_pylist() for c in batch.columns))]
+    for x in sorted({n for p in pairs for n in p}):
+        names[x] = len(names)
+    groups, of = _Groups(len(names)), list(names)
+    for x, y in pairs:
+        groups.unite(names[x], names[y])
+    rows = [(of[k], of[groups.find(k)]) for k in range(len(of))]
+    rows = [r for r in rows if r[0] != r[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=_STAR.names)
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, root) of stored links: as simhash.connected, which takes turns of joins; up to SMALL links are united in one task at once."""
+    if links.count() > simhash.SMALL:
+        return simhash.connected(spark, links)
+    return common.materialise(spark, links.select("node", "root").coalesce(1).mapInArrow(_united, _STAR), "setsketch-roots")
 
 
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sure", T.BooleanType())])
@@ -321,7 +352,8 @@ def _tiles(known: DataFrame, nodes: DataFrame) -> DataFrame:
     counts = known.groupBy("key", "component").agg(F.count("*").alias("n"))
     per = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     per = common.materialise(spark, per.select("key", "largest", "total", F.ceil(F.col("most") / TILE).cast("int").alias("big"), F.ceil((F.col("total") - F.col("most")) / TILE).cast("int").alias("rest")), "setsketch-bands")
-    rows = common.salted_join(known, per, "key", "total", "inner", per.select("key", "total")) if not per.isEmpty() else known.join(per, "key")
+    few = per.count() <= simhash.SMALL
+    rows = known.join(F.broadcast(per), "key") if few else common.salted_join(known, per, "key", "total", "inner", per.select("key", "total"))
     small, own = F.col("total") <= TILE, F.col("component") == F.col("largest")
     tile = F.pmod(F.xxhash64("node"), F.when(own, F.col("big")).otherwise(F.col("rest"))).cast("int")
     spot = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
@@ -363,7 +395,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     linked = lambda found: found.where("link").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     links = linked(_verified(stars, nodes, rows, shingle))
     for level in LEVELS:
-        roots = simhash.connected(spark, links)
+        roots = components(spark, links)
         known = shared.select("key", "band", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
         tiles = _tiles(common.materialise(spark, known, "setsketch-known"), nodes)
         common.bound_batches(spark)
@@ -372,10 +404,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         pairs = common.materialise(spark, pairs, "setsketch-pairs")
         if pairs.isEmpty():
             break
-        found = _verified(pairs, nodes, rows, shingle)
+        found = _verified(pairs.select("a", "b"), nodes, rows, shingle)
         links = links.unionByName(linked(found))
-        if found.where("sure AND NOT link").isEmpty():
-            roots = simhash.connected(spark, links)
+        wrong = found.where("NOT link").join(pairs.where("sure"), ["a", "b"], "left_semi")
+        if wrong.isEmpty():
+            roots = components(spark, links)
             break
     ends = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     least = ends.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))

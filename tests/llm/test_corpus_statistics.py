@@ -268,6 +268,15 @@ def test_setsketch_in_tiles(spark, monkeypatch):
     assert rows_of(setsketch.near_duplicates(frame(spark, texts))) == brute_components(docs)
 
 
+def test_setsketch_beyond_small_sides(spark, monkeypatch):
+    """The ways that more pairs and links take than are broadcast or united at once."""
+    monkeypatch.setattr(simhash, "SMALL", 0)
+    monkeypatch.setattr(setsketch, "TILE", 8)
+    rng = random.Random(16)
+    texts = [*near_texts(rng, 6, 8, 50), *ODD]
+    assert rows_of(setsketch.near_duplicates(frame(spark, texts))) == brute_components(list(enumerate(texts)))
+
+
 def test_setsketch_levels(spark, monkeypatch):
     """What is taken to link and doesn't is looked at again, pair by pair."""
     monkeypatch.setattr(setsketch, "LEVELS", (0.5, 2.0))
