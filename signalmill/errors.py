@@ -25,6 +25,10 @@ class StorageError(EngineError):
     code, user_message, hint = "db", "The tables can't be written now.", "Try again in a moment."
 
 
+class ConflictError(StorageError):
+    """Another writer's commit came first."""
+
+
 class DuplicateError(EngineError):
     code, user_message, hint = "duplicate", "This id is taken.", "Choose another id."
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
@@ -13,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicon, schemas
+from . import names
 
 BRAND, GENERIC, SYMPTOM, MODEL = 0.90, 0.85, 0.80, 0.75
 NEGATION_TOKENS, NEGATION_CHARS = 5, 60
 
 
 @cache
-def _needles(kind: str) -> re.Pattern:
-    names = (*lexicon.BRAND_TO_GENERIC, *lexicon.GENERIC_DRUGS) if kind == "drug" else lexicon.SYMPTOMS
-    return re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, sorted(set(names), key=lambda n: (-len(n), n))))})(?![A-Za-z0-9])", re.I)
+def _needles(kind: str) -> names.NameTrie:
+    return names.NameTrie((*lexicon.BRAND_TO_GENERIC, *lexicon.GENERIC_DRUGS) if kind == "drug" else lexicon.SYMPTOMS)
 
 
 @cache
@@ -45,12 +47,12 @@ def entities(text: str | None, model=None) -> dict:
     the lists count too."""
     text = text or ""
     drugs, symptoms = [], []
-    for m in _needles("drug").finditer(text):
-        name = m.group().lower()
+    for a, b in _needles("drug").find(text):
+        name = text[a:b].lower()
         brand = lexicon.BRAND_TO_GENERIC.get(name)
-        drugs.append({"type": "DRUG", "text": m.group(), "start": m.start(), "end": m.end(), "normalized": brand or name, "confidence": BRAND if brand else GENERIC})
-    for m in _needles("symptom").finditer(text):
-        symptoms.append({"type": "SYMPTOM", "text": m.group(), "start": m.start(), "end": m.end(), "normalized": m.group().lower(), "confidence": SYMPTOM})
+        drugs.append({"type": "DRUG", "text": text[a:b], "start": a, "end": b, "normalized": brand or name, "confidence": BRAND if brand else GENERIC})
+    for a, b in _needles("symptom").find(text):
+        symptoms.append({"type": "SYMPTOM", "text": text[a:b], "start": a, "end": b, "normalized": text[a:b].lower(), "confidence": SYMPTOM})
     for kind, start, end, name in model(text) if model and text else ():
         if kind in ("DRUG", "SYMPTOM") and all(end <= e["start"] or start >= e["end"] for e in drugs + symptoms):
             (drugs if kind == "DRUG" else symptoms).append({"type": kind, "text": text[start:end], "start": start, "end": end, "normalized": name.lower(), "confidence": MODEL})
@@ -72,6 +74,44 @@ def spacy_model(name: str = "en_core_sci_sm"):
     return lambda text: [(kinds[e.label_], e.start_char, e.end_char, e.text) for e in pipeline(text).ents if e.label_ in kinds]
 
 
+@dataclass(frozen=True)
+class Model:
+    """A trained model by name: load() gives a function for entities(), or None where it can't be had here."""
+
+    name: str
+    load: Callable[[], Callable | None]
+
+
+def named_model(name: str | None) -> Model | None:
+    """By a source's setting: the name of a spaCy pipeline."""
+    return Model(name, lambda: spacy_model(name)) if name else None
+
+
+_models: dict[str, Callable | None] = {}
+
+
+def _loaded(model: Model) -> Callable | None:
+    """The model, loaded once in a worker, which outlives its tasks."""
+    if model.name not in _models:
+        _models[model.name] = model.load()
+    return _models[model.name]
+
+
+def ner_of(model: Model | None):
+    """ner_entities with the names of a model, if one is given."""
+    if model is None:
+        return ner_entities
+
+    @F.pandas_udf(ENTITIES)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        trained = _loaded(model)
+        one = _guarded(lambda t: entities(t, trained), {"entities": None, "pairs": None, "trigger": None})
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["entities", "pairs", "trigger"])
+
+    return found
+
+
 def pii_hits(text: str | None) -> list[dict]:
     """Hits that don't overlap: the surer, then the longer, then the earlier one stays."""
     if not text:

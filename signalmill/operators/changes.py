@@ -27,7 +27,9 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, drop_parents: bool =
     false keeps projects and sources, and empties them."""
     sources = tables["sources"].join(gone.select(F.col("id").alias("project_id")), "project_id", "left_semi").select(F.col("id").alias("source_id"))
     out = dict(tables)
-    for t in ("records", "watermarks"):
+    for t in ("records", "watermarks", "pair_counts"):
+        if t not in tables:
+            continue
         out[t] = tables[t].join(sources, "source_id", "left_anti")
     out["signals"] = tables["signals"].join(gone.select(F.col("id").alias("project_id")), "project_id", "left_anti")
     if drop_parents:

@@ -9,9 +9,13 @@ MIN_N, PRR, CHI2 = 3, 2.0, 4.0
 
 
 def marginals(pairs: DataFrame, drug: str = "drug", event: str = "event") -> DataFrame:
-    """(drug, event, a, drug_total, event_total, total) of a multiset of pairs. One shuffle of counts; the totals are sums
-    over the cells, joined back, so that no window holds all cells in one task."""
-    cells = pairs.groupBy(F.col(drug).alias("drug"), F.col(event).alias("event")).agg(F.count("*").alias("a"))
+    """(drug, event, a, drug_total, event_total, total) of a multiset of pairs: one shuffle of counts."""
+    return with_totals(pairs.groupBy(F.col(drug).alias("drug"), F.col(event).alias("event")).agg(F.count("*").alias("a")))
+
+
+def with_totals(cells: DataFrame) -> DataFrame:
+    """Counts (drug, event, a) with their marginals. The totals are sums over the cells, joined back, so that no window holds all cells in
+    one task."""
     by_drug = cells.groupBy("drug").agg(F.sum("a").alias("drug_total"))
     by_event = cells.groupBy("event").agg(F.sum("a").alias("event_total"))
     total = cells.agg(F.sum("a").alias("total"))
@@ -47,7 +51,16 @@ def with_statistics(cells_: DataFrame) -> DataFrame:
 
 def compute(pairs: DataFrame, min_n: int = MIN_N, prr: float = PRR, chi2: float = CHI2) -> DataFrame:
     """(drug, event, n, prr, chi2, ic, ror, is_signal): flags on unrounded values, outputs of three decimals."""
-    s = with_statistics(cells(marginals(pairs)).where(F.col("a") >= min_n))
+    return _flagged(marginals(pairs), min_n, prr, chi2)
+
+
+def compute_cells(counts: DataFrame, min_n: int = MIN_N, prr: float = PRR, chi2: float = CHI2) -> DataFrame:
+    """The same of counts (drug, event, a)."""
+    return _flagged(with_totals(counts), min_n, prr, chi2)
+
+
+def _flagged(margins: DataFrame, min_n: int, prr: float, chi2: float) -> DataFrame:
+    s = with_statistics(cells(margins).where(F.col("a") >= min_n))
     flag = (F.col("prr") >= prr) & (F.col("chi2") >= chi2) & (F.col("a") >= min_n)
     return s.select("drug", "event", F.col("a").alias("n"), *(F.round(x, 3).alias(x) for x in ("prr", "chi2", "ic", "ror")), flag.alias("is_signal"))
 

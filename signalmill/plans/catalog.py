@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import read_queries, source_queries  # noqa: F401  (they register theirs)
+    from . import read_queries, source_queries, stream_queries, text_queries  # noqa: F401  (they register theirs)
 
     return dict(_QUERIES)
 

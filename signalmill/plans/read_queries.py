@@ -185,6 +185,42 @@ def signal_evidence(spark, sf_dir):
     return rows.select(*(_said(c) if c == "at" else c for c in rows.columns))
 
 
+_OWN_DAYS = """c AS (SELECT CAST(coalesce(posted_at, ingested_at) AS DATE) AS day, count(*) AS n, count(*) FILTER (sentiment_label IN ('negative', 'adverse')) AS negative, count(*) FILTER (sentiment_label = 'positive') AS positive FROM own GROUP BY 1),
+e AS (SELECT min(day) AS a, max(day) AS b, greatest(0, 13 - (max(day) - min(day))) AS pad FROM c),
+s AS (SELECT CAST(unnest(generate_series(CAST(a - CAST(pad // 2 AS INTEGER) AS TIMESTAMP), CAST(b + CAST(pad - pad // 2 AS INTEGER) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+d AS (SELECT s.day, coalesce(n, 0) AS n, coalesce(negative, 0) AS negative, coalesce(positive, 0) AS positive FROM s LEFT JOIN c ON s.day = c.day)"""
+
+
+@query(f"""{_ONE}, {_OWN_DAYS}, r AS (SELECT *, row_number() OVER (ORDER BY day) AS nth, count(*) OVER () // 2 AS half FROM d),
+m AS (SELECT coalesce(avg(n) FILTER (nth <= half), 0) AS base_avg, coalesce(avg(n) FILTER (nth > half), 0) AS recent_avg FROM r)
+SELECT *, CAST(CASE WHEN base_avg > 0 THEN round(100 * (recent_avg - base_avg) / base_avg) WHEN recent_avg > 0 THEN 100 ELSE 0 END AS BIGINT) AS growth_pct FROM m""")
+def signal_growth(spark, sf_dir):
+    return signal_parts(spark, sf_dir)["growth"]
+
+
+@query(f"""{_ONE}, h AS (SELECT s.* FROM signals s JOIN one ON s.project_id = one.project_id AND s.drug = one.drug AND s.event = one.event AND s.computed_at <= one.computed_at),
+r AS (SELECT *, row_number() OVER (ORDER BY computed_at DESC, id DESC) AS nth, lead(prr) OVER (ORDER BY computed_at DESC, id DESC) AS previous, strftime(min(computed_at) OVER (), '%Y-%m-%d %H:%M:%S') AS first_detected FROM h)
+SELECT drug, event, prr, previous, first_detected, CASE WHEN previous IS NULL OR previous <= 0 THEN 'Preliminary' WHEN prr > previous * 1.05 THEN 'Rising Signal' WHEN prr < previous * 0.95 THEN 'Declining Signal' ELSE 'Stable Signal' END AS trend_status FROM r WHERE nth = 1""")
+def signal_history(spark, sf_dir):
+    return signal_parts(spark, sf_dir)["trend"].select("drug", "event", "prr", "previous", _said("first_detected"), "trend_status")
+
+
+@query(f"""{_W}, m AS (SELECT {", ".join(f"count(*) FILTER (sentiment_label IN ({of})) AS {n}" for n, of in (("negative", "'negative', 'adverse'"), ("neutral", "'neutral'"), ("positive", "'positive'")))} FROM records r JOIN sources s ON r.source_id = s.id WHERE project_id = '{roles.PROJECT}')
+SELECT *, {", ".join(f"CAST(round(100 * {n} / greatest(1, negative + neutral + positive)) AS BIGINT) AS {n}_pct" for n in ("negative", "neutral", "positive"))} FROM m""")
+def signal_project_mix(spark, sf_dir):
+    return signal_parts(spark, sf_dir)["project_sentiment_mix"]
+
+
+@query(f"{_ONE}, {_OWN_DAYS} SELECT day, negative, n - negative - positive AS neutral, positive FROM d")
+def signal_trajectory(spark, sf_dir):
+    return signal_parts(spark, sf_dir)["trajectory"]
+
+
+@query(f"{_ONE} SELECT latency, count(*) AS n FROM own GROUP BY latency ORDER BY n DESC, latency LIMIT 1")
+def signal_cadence(spark, sf_dir):
+    return signal_parts(spark, sf_dir)["cadence"]
+
+
 # --- logs, compliance, search, totals ---
 
 

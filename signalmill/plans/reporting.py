@@ -121,12 +121,12 @@ def recent_signals(t: Tables, as_of: Column, limit: int = 6) -> DataFrame:
 
 def pair_connectors(t: Tables) -> DataFrame:
     """(project_id, drug, event, src_count, src_names): connectors of the project's own records that matched both as keywords."""
-    matched = t("records").join(t("sources").select(F.col("id").alias("source_id"), "project_id", "connector"), "source_id").select("id", "project_id", "connector", F.explode(F.array_distinct(F.transform("matched_keywords", lambda k: F.lower(k)))).alias("k"))
-    pairs = t("signals").select("project_id", "drug", "event").distinct()
-    drug = matched.select("id", "project_id", "connector", F.col("k").alias("_d"))
-    event = matched.select("id", F.col("k").alias("_e"))
-    hit = pairs.join(drug.withColumnRenamed("project_id", "_p"), (F.col("project_id") == F.col("_p")) & (F.lower("drug") == F.col("_d"))).join(event.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.lower("event") == F.col("_e")))
-    by = hit.select("project_id", "drug", "event", "connector").distinct().groupBy("project_id", "drug", "event")
+    keys = F.array_distinct(F.transform("matched_keywords", lambda k: F.lower(k)))
+    rows = t("records").join(t("sources").select(F.col("id").alias("source_id"), "project_id", "connector"), "source_id").select("project_id", "connector", keys.alias("k"))
+    # Both keywords of a record are in its own row; what is shuffled is one row for each pair of keywords and connector, not its records.
+    both = rows.select("project_id", "connector", F.explode("k").alias("_d"), "k").select("project_id", "connector", "_d", F.explode("k").alias("_e")).distinct()
+    pairs = t("signals").select("project_id", "drug", "event").distinct().withColumns({"_d": F.lower("drug"), "_e": F.lower("event")})
+    by = pairs.join(both, ["project_id", "_d", "_e"]).select("project_id", "drug", "event", "connector").distinct().groupBy("project_id", "drug", "event")
     return by.agg(F.count("*").alias("src_count"), F.array_join(F.slice(F.array_sort(F.collect_list("connector")), 1, 4), ", ").alias("src_names"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
@@ -52,11 +52,16 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return lambda name: spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", stored, _SPARK[name]))
 
 
+def whole(t: Tables, name: str) -> DataFrame:
+    """A role with all columns of the stored table, null where it has none."""
+    rows = t(name)
+    return rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields if f.name not in rows.columns))
+
+
 def filled(spark: SparkSession, sf_dir: str, path: str) -> Store:
     """A store that holds the tables, in one commit."""
     t, store = tables(spark, sf_dir), Store(spark, path)
-    whole = lambda name: t(name).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields if f.name not in t(name).columns))
-    store.commit(replaced={name: whole(name) for name in _SPARK if name != "audit_log"})
+    store.commit(replaced={name: whole(t, name) for name in _SPARK if name != "audit_log"})
     return store
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import evaluate, extract, keywords, text
@@ -238,13 +237,8 @@ def html_links(spark, sf_dir):
 def effective_since(spark, sf_dir):
     """Where a window of the last 30 days starts for each source, by its watermark."""
     window, now = TimeWindow(lookback_days=30), datetime(1998, 8, 2, tzinfo=timezone.utc)
-
-    @F.pandas_udf("timestamp_ntz")
-    def start(mark: pd.Series) -> pd.Series:
-        return mark.map(lambda m: window.effective(now, None if pd.isna(m) else m.to_pydatetime().replace(tzinfo=timezone.utc))[0].replace(tzinfo=None))
-
     marks = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").cast("timestamp_ntz").alias("mark"))
-    return _t(spark, sf_dir, "customer").select("c_custkey").join(marks, "c_custkey", "left").select("c_custkey", start("mark").alias("since"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(marks, "c_custkey", "left").select("c_custkey", window.start(now, F.col("mark")).alias("since"))
 
 
 # --- ingestion and log ---

@@ -152,7 +152,8 @@ class _PagedReader(DataSourceReader):
 
 
 class _CursorStream(SimpleDataSourceStreamReader):
-    """Listings that name the next page: the offset is the cursor and the pages read."""
+    """A listing whose pages name the next one: the offset is the cursor and the pages read, so that a query that is started again goes on there. A
+    page a batch; several listings are as many streams, in one query."""
 
     def __init__(self, options: dict):
         self.options, self.pages = options, int(options.get("pages", 5))
@@ -164,8 +165,8 @@ class _CursorStream(SimpleDataSourceStreamReader):
         if start["page"] >= self.pages or start["page"] and not start["after"]:
             return [], start
         got = fetch(self.options["path"].replace("{after}", start["after"]))
-        if not got.ok:  # throttled or gone: what was read stays
-            return [], {"after": "", "page": self.pages}
+        if not got.ok:  # throttled or away: the next batch asks for the same page
+            return [], start
         data = json.loads(got.text).get("data") or {}
         rows = [(json.dumps(c.get("data") or {}, ensure_ascii=False),) for c in data.get("children") or []]
         return rows, {"after": data.get("after") or "", "page": start["page"] + 1}

@@ -34,27 +34,42 @@ def _plain(html: Column) -> Column:
 RSS = "guid string, id string, title string, link string, description string, summary string, pubDate string, published string, updated string, author string"
 
 
+#: Of Atom, links are elements with an address and a relation.
+ATOM = "id string, title string, summary string, content string, published string, updated string, author struct<name:string>, link array<struct<_href:string,_rel:string>>"
+
+
+def _items(rows: DataFrame, row_tag: str) -> DataFrame:
+    """Rows as RSS has them: of Atom's links the one to the entry itself."""
+    if row_tag != "entry":
+        return rows
+    own = F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    return rows.withColumns({"link": own, "summary": F.coalesce("summary", "content"), "author": F.col("author.name"), **{c: F.lit(None).cast("string") for c in ("guid", "description", "pubDate")}})
+
+
 def rss(spark: SparkSession, path: str, now: Column, row_tag: str = "item", most: int = 25, language: str | None = None) -> DataFrame:
     """Items of an RSS feed (row_tag "entry": Atom), the first `most` of each file."""
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(RSS).load(path).withColumn("_file", F.input_file_name()).withColumn("_nth", F.monotonically_increasing_id())
+    schema = ATOM if row_tag == "entry" else RSS
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path).withColumn("_file", F.input_file_name()).withColumn("_nth", F.monotonically_increasing_id())
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_file").orderBy("_nth"))).where(F.col("_k") <= most)
-    return rss_records(rows, now, language)
+    return rss_records(_items(rows, row_tag), now, F.lit(language))
 
 
 def rss_texts(texts: DataFrame, now: Column, row_tag: str = "item", most: int = 25, language: str | None = None) -> DataFrame:
-    """Items of feeds fetched as text (url, text)."""
+    """Items of feeds fetched as text (url, text); the language is the feed's own, where it names one."""
     items = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)<{row_tag}[ >].*?</{row_tag}>"), F.lit(0)), 1, most)
-    rows = texts.select(F.explode(items).alias("x")).select(F.from_xml("x", RSS).alias("i")).select("i.*")
-    return rss_records(rows, now, language)
+    told = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"<language>\s*([\w-]+)\s*</language>", r"<feed\b[^>]*\bxml:lang=[\"']([\w-]+)")), F.lit(language))
+    rows = texts.select(told.alias("_language"), F.explode(items).alias("x")).select("_language", F.from_xml("x", ATOM if row_tag == "entry" else RSS).alias("i")).select("_language", "i.*")
+    return rss_records(_items(rows, row_tag), now, F.col("_language"))
 
 
-def rss_records(rows: DataFrame, now: Column, language: str | None = None) -> DataFrame:
+def rss_records(rows: DataFrame, now: Column, language: Column | str | None = None) -> DataFrame:
     """Rows of RSS, one an item."""
+    language = language if isinstance(language, Column) else F.lit(language)
     # Weekdays and zone names of mail dates aren't read by Spark's patterns.
     told = F.regexp_replace(F.regexp_replace(F.coalesce("published", "pubDate", "updated"), "^[A-Za-z]{3},\\s*", ""), "(GMT|UTC|UT)$", "+0000")
     at = dated(told, now, "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX")
     body = _plain(F.coalesce("summary", "description", F.lit("")))
-    return shaped(rows.select(F.concat(F.lit("rss:"), F.coalesce("id", "guid", "link")).alias("external_id"), F.col("link").alias("url"), F.trim(F.concat_ws("\n\n", "title", body)).alias("text"), at.alias("posted_at"), F.col("author").alias("author_handle"), F.lit(language).alias("language_hint"), F.lit("rss").alias("source_kind")))
+    return shaped(rows.select(F.concat(F.lit("rss:"), F.coalesce("id", "guid", "link")).alias("external_id"), F.col("link").alias("url"), F.trim(F.concat_ws("\n\n", "title", body)).alias("text"), at.alias("posted_at"), F.col("author").alias("author_handle"), language.alias("language_hint"), F.lit("rss").alias("source_kind")))
 
 
 def faers(spark: SparkSession, path: str, now: Column) -> DataFrame:
@@ -147,6 +162,7 @@ def x_records(rows: DataFrame, now: Column) -> DataFrame:
 
 
 _POST = "id:string,title:string,selftext:string,permalink:string,author:string,created_utc:double"
+POST = f"struct<{_POST}>"
 LISTING = f"data struct<after:string,children:array<struct<data:struct<{_POST}>>>>"
 
 
@@ -158,9 +174,12 @@ def reddit_listing(spark: SparkSession, path: str, subreddits: int = 1, total: i
 
 def reddit_records(posts: DataFrame, subreddits: int = 1, total: int = 1000) -> DataFrame:
     """Posts with their subreddit as `sub`; of each the newest total // subreddits."""
-    kept = emission_cap(posts.where("id IS NOT NULL"), "sub", [F.desc("created_utc"), F.col("id")], total, subreddits)
+    return post_records(emission_cap(posts.where("id IS NOT NULL"), "sub", [F.desc("created_utc"), F.col("id")], total, subreddits))
+
+
+def post_records(posts: DataFrame) -> DataFrame:
     text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("selftext", F.lit(""))))
-    return shaped(kept.select(F.concat(F.lit("reddit:"), F.col("id")).alias("external_id"), F.concat(F.lit("https://www.reddit.com"), "permalink").alias("url"), text.alias("text"), F.timestamp_seconds(F.coalesce("created_utc", F.lit(0.0))).alias("posted_at"), F.col("author").alias("author_handle"), F.lit("reddit").alias("source_kind")))
+    return shaped(posts.where("id IS NOT NULL").select(F.concat(F.lit("reddit:"), F.col("id")).alias("external_id"), F.concat(F.lit("https://www.reddit.com"), "permalink").alias("url"), text.alias("text"), F.timestamp_seconds(F.coalesce("created_utc", F.lit(0.0))).alias("posted_at"), F.col("author").alias("author_handle"), F.lit("reddit").alias("source_kind")))
 
 
 def comments(thread: dict, post_id: str, most: int = 100) -> list[dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -27,21 +28,22 @@ class _Node:
         self.tag, self.attrs, self.parts, self.up = tag, attrs, [], up
 
     def text(self) -> str:
-        return " ".join(" ".join(self._strings()).split())
+        return " ".join(" ".join(p for p in self._parts() if isinstance(p, str)).split())
 
-    def _strings(self) -> Iterator[str]:
-        for p in self.parts:
-            if isinstance(p, str):
-                if p.strip():
-                    yield p.strip()
+    def _parts(self) -> Iterator["str | _Node"]:
+        """Texts and elements in the page's order, however deep they are."""
+        stack = [iter(self.parts)]
+        while stack:
+            for p in stack[-1]:
+                yield p
+                if not isinstance(p, str):
+                    stack.append(iter(p.parts))
+                    break
             else:
-                yield from p._strings()
+                stack.pop()
 
     def walk(self) -> Iterator["_Node"]:
-        for p in self.parts:
-            if not isinstance(p, str):
-                yield p
-                yield from p.walk()
+        return (p for p in self._parts() if not isinstance(p, str))
 
 
 class _Tree(HTMLParser):
@@ -52,7 +54,7 @@ class _Tree(HTMLParser):
         self.left_out = left_out
         self.root = self.top = _Node("", {}, None)
         self.out = 0
-        self.depth = 0
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag, attrs):
         if self.out or tag in self.left_out:
@@ -64,15 +66,19 @@ class _Tree(HTMLParser):
             self._close("li", {"ul", "ol"})
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.top)
         self.top.parts.append(node)
-        if tag not in VOID and self.depth < 400:
-            self.top, self.depth = node, self.depth + 1
+        if tag not in VOID:
+            self.top = node
+            self.open[tag] += 1
 
     def _close(self, tag, stops):
-        node, up = self.top, 0
+        if not self.open[tag]:
+            return
+        node, ended = self.top, Counter()
         while node.up is not None and node.tag not in stops:
-            up += 1
+            ended[node.tag] += 1
             if node.tag == tag:
-                self.top, self.depth = node.up, self.depth - up
+                self.top = node.up
+                self.open -= ended
                 return
             node = node.up
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +57,8 @@ def _items(spark, p, now, hashed) -> DataFrame:
 def _rss(spark, p, now) -> DataFrame:
     tag, most = p.get("row_tag", "item"), int(p.get("max_items", 25))
     if p.get("path"):
-        return feeds.rss(spark, p["path"], now, tag, most)
-    return feeds.rss_texts(_fetched(spark, [p["feed_url"]]).select("url", F.col("html").alias("text")), now, tag, most)
+        return feeds.rss(spark, p["path"], now, tag, most, p.get("language"))
+    return feeds.rss_texts(_fetched(spark, [p["feed_url"]]).select("url", F.col("html").alias("text")), now, tag, most, p.get("language"))
 
 
 def _reddit(spark, p, now) -> DataFrame:
@@ -109,3 +110,32 @@ def read(spark: SparkSession, source: SourceConfig, now: F.Column, after=None) -
     if source.reader == "openfda":
         api.register(spark)
     return feeds.since(READERS[source.reader](spark, source.reader_params(), now), after)
+
+
+def _reddit_stream(spark, p, now) -> DataFrame:
+    """Posts of each subreddit page by page: a stream for each, with a cursor of its own in the query's checkpoint."""
+    api.register(spark)
+    subs, base = p.get("subreddits") or [p.get("subreddit", "all")], p.get("base_url", "https://www.reddit.com")
+    path = p.get("listing_url") or f"{base}/r/{{name}}/new.json?limit=100&after={{after}}"
+    pages = lambda sub: spark.readStream.format("json_api").options(path=path.replace("{name}", sub), pages=str(p.get("pages", 5))).load()
+    rows = reduce(DataFrame.union, map(pages, subs))
+    return feeds.post_records(rows.select(F.from_json("value", feeds.POST).alias("p")).select("p.*"))
+
+
+def _json_stream(spark, path, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("multiLine", True).json(path)
+
+
+#: Readers of what arrives, for connectors that have one.
+STREAMS: dict[str, Reader] = {
+    "reddit": _reddit_stream,
+    "whatsapp": lambda s, p, now: feeds.whatsapp_records(_json_stream(s, p.get("path") or p["fixture"], feeds.INBOX), now),
+    "x": lambda s, p, now: feeds.x_records(_json_stream(s, p["path"], feeds.POSTS), now),
+}
+
+
+def read_stream(spark: SparkSession, source: SourceConfig, now: F.Column) -> DataFrame:
+    """The source's records as they arrive."""
+    if source.reader not in STREAMS:
+        raise ConnectorError(f"{source.connector} doesn't stream")
+    return STREAMS[source.reader](spark, source.reader_params(), now)

@@ -7,9 +7,10 @@ inserts nothing, and a stream's batch is remembered by its number, so one that i
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ConnectorError
@@ -20,9 +21,11 @@ from ..operators import changes
 from ..project import Project, SourceConfig
 from ..schemas import TABLES
 from ..sources import registry
-from ..store import Store
+from ..store import Snapshot, Store
 from ..tables import settled
 from ..windows import in_any
+from . import scoring
+from .events import unique_within
 
 
 def gated(raw: DataFrame, source: SourceConfig, keywords: list[str], bounds: list[tuple[datetime, datetime]]) -> DataFrame:
@@ -34,10 +37,11 @@ def gated(raw: DataFrame, source: SourceConfig, keywords: list[str], bounds: lis
     return rows.where((F.size("matched_keywords") > 0) | text.has_mention(F.coalesce("text", F.lit("")), [*text.DRUG_NAMES, *text.SYMPTOM_NAMES]))
 
 
-def enriched(rows: DataFrame, source_id: int, now: datetime) -> DataFrame:
-    """The stored columns: enrichment is of the original text, and only the redacted text is stored."""
+def enriched(rows: DataFrame, source_id: int, now: datetime, model: extract.Model | None = None) -> DataFrame:
+    """The stored columns: enrichment is of the original text, and only the redacted text is stored. model: names of a trained model
+    count beside those of the lists."""
     t = F.coalesce("text", F.lit(""))
-    out = rows.withColumns({"_mood": extract.sentiment_of(t), "_found": extract.ner_entities(t), "_pii": extract.pii_counted(t)}).withColumn("text_redacted", F.col("_pii.redacted"))
+    out = rows.withColumns({"_mood": extract.sentiment_of(t), "_found": extract.ner_of(model)(t), "_pii": extract.pii_counted(t)}).withColumn("text_redacted", F.col("_pii.redacted"))
     return out.select(
         F.lit(source_id).cast("long").alias("source_id"), "external_id", text.content_hash(t).alias("content_hash"), "url", "posted_at", "text_redacted", "author_handle", "language_hint", "source_kind", "matched_keywords", F.lit(now).alias("ingested_at"),
         F.col("_mood.score").alias("sentiment_score"), F.col("_mood.label").alias("sentiment_label"), F.col("_pii.hits").alias("pii_hits_count"), F.when(F.size("_found.entities") > 0, F.col("_found.entities")).alias("entities"),
@@ -46,36 +50,51 @@ def enriched(rows: DataFrame, source_id: int, now: datetime) -> DataFrame:
 
 def store_batch(store: Store, rows: DataFrame, source_id: int, now: datetime, batch_id: tuple[str, str] | None = None) -> dict[str, int]:
     """Counts of fetched and inserted rows (the rest are duplicates), of late ones, dated before the source's watermark, and of ones whose
-    redaction failed, which are stored without a text. Records, their keys and the
-    watermark are one commit: after a failure anywhere before it nothing is stored. Only the buckets of keys are read that the batch's are in."""
-    batch = settled(rows)
+    redaction failed, which are stored without a text. Records, their keys, what they add to the counts of pairs and the
+    watermark are one commit: after a failure anywhere before it nothing is stored. Only the buckets of keys are read that the batch's are in.
+    The counts are observed on the two writes that the batch takes, of its rows and of those that are new."""
+    first = store.snapshot()
+    last = first.table("watermarks").where(F.col("source_id") == source_id).select("last_seen_ts").first()
+    late = F.count_if(F.col("posted_at") < F.lit(last["last_seen_ts"])) if last and last["last_seen_ts"] else F.sum(F.lit(0).cast("long"))
+    seen = Observation()
+    batch = settled(rows.observe(seen, F.count(F.lit(1)).alias("fetched"), late.alias("late"), F.count_if(F.col("text_redacted").isNull()).alias("failed")))
+    told = {k: v or 0 for k, v in seen.get.items()}
     # An id from the source and the content: the same however often the batch is tried.
     ident = F.abs(F.xxhash64("source_id", "external_id"))
-    new = settled(changes.unknown_records(batch, store.table("record_keys")).withColumn("id", ident))
-    marks = store.table("watermarks")
-    last = marks.where(F.col("source_id") == source_id).select("last_seen_ts").first()
-    late = F.count_if(F.col("posted_at") < F.lit(last["last_seen_ts"])) if last and last["last_seen_ts"] else F.lit(0)
-    told = batch.agg(F.count("*").alias("fetched"), late.alias("late"), F.count_if(F.col("text_redacted").isNull()).alias("failed")).first()
-    fetched, inserted = told["fetched"], new.count()
-    mark = changes.high_water(batch).select("source_id", "last_seen_id", "last_seen_ts").withColumns({"last_run_at": F.lit(now), "last_fetched": F.lit(fetched).cast("long"), "last_inserted": F.lit(inserted).cast("long")})
-    if not fetched:
-        mark = store.spark.createDataFrame([(source_id, None, None, now, 0, 0)], TABLES["watermarks"])
-    appended = {"records": new, "record_keys": changes.keys_of(new)} if inserted else {}
-    done = store.commit({"watermarks": settled(changes.advance(marks, mark))}, appended, batch_id)
-    inserted = inserted if done else 0
-    return {"fetched": fetched, "inserted": inserted, "duplicates": fetched - inserted, "late": told["late"], "failed": told["failed"]}
-
-
-def run_source(store: Store, project: Project, source: SourceConfig, source_id: int, keywords: list[str], now: datetime) -> dict:
-    """Each window is a run of its own: one that fails is told in `errors` and doesn't stop the others; if all fail, the first failure is raised."""
+
+    def change(at: Snapshot) -> dict:
+        told["inserted"] = 0
+        marks = at.table("watermarks")
+        if not told["fetched"]:
+            if batch_id:  # a stream's batch without rows, which only moves its state on
+                return None
+            mark = store.spark.createDataFrame([(source_id, None, None, now, 0, 0)], TABLES["watermarks"])
+            return {"replaced": {"watermarks": settled(changes.advance(marks, mark))}, "batch": batch_id}
+        added = Observation()
+        new = changes.unknown_records(batch, at.table("record_keys")).withColumn("id", ident)
+        folder, stored = store.staged("records", new.observe(added, F.count(F.lit(1)).alias("inserted")))
+        inserted = told["inserted"] = added.get["inserted"] or 0
+        appended = {"records": folder, "record_keys": changes.keys_of(stored), **scoring.added(at, stored)} if inserted else {}
+        if not inserted:
+            store.discard("records", folder)
+        mark = changes.high_water(batch).select("source_id", "last_seen_id", "last_seen_ts").withColumns({"last_run_at": F.lit(now), "last_fetched": F.lit(told["fetched"]).cast("long"), "last_inserted": F.lit(inserted).cast("long")})
+        return {"replaced": {"watermarks": settled(changes.advance(marks, mark))}, "appended": appended, "batch": batch_id}
+
+    inserted = told["inserted"] if not first.done(batch_id) and store.transact(change) else 0
+    return {"fetched": told["fetched"], "inserted": inserted, "duplicates": told["fetched"] - inserted, "late": told["late"], "failed": told["failed"]}
+
+
+def run_source(store: Store, project: Project, source: SourceConfig, source_id: int, keywords: list[str], now: datetime, model: extract.Model | None = None) -> dict:
+    """model: for entities; by default the one that the source's `ner_model` names. Each window is a run of its own: one that fails is told in `errors` and doesn't stop the others; if all fail, the first failure is raised."""
     mark = store.table("watermarks").where(F.col("source_id") == source_id).select("last_seen_ts").first()
     last = mark["last_seen_ts"].replace(tzinfo=now.tzinfo) if mark and mark["last_seen_ts"] else None
     bounds = [w.effective(now, last) for w in project.windows(source)]
+    model = model or extract.named_model(source.params.get("ner_model"))
     done, errors = [], []
     for since, until in bounds:
         try:
             raw = registry.read(store.spark, source, F.lit(now), since)
-            done.append(store_batch(store, enriched(gated(raw, source, keywords, [(since, until)]), source_id, now), source_id, now))
+            done.append(store_batch(store, enriched(gated(raw, source, keywords, [(since, until)]), source_id, now, model), source_id, now))
         except Exception as e:
             errors.append((since, e))
     if errors and not done:
@@ -85,7 +104,7 @@ def run_source(store: Store, project: Project, source: SourceConfig, source_id:
     return out | ({"errors": [{"since": at.isoformat(), "error": f"{type(e).__name__}: {str(e)[:300]}"} for at, e in errors]} if errors else {})
 
 
-def run_project(store: Store, project_id: str, now: datetime, only: set[int] | None = None) -> dict:
+def run_project(store: Store, project_id: str, now: datetime, only: set[int] | None = None, model: extract.Model | None = None) -> dict:
     """All enabled sources; one that fails is told in the audit log and doesn't stop the others. Returns the run's manifest, which is also
     written beside the tables."""
     project = store.load_project(project_id)
@@ -98,7 +117,7 @@ def run_project(store: Store, project_id: str, now: datetime, only: set[int] | N
         if not source.enabled or only is not None and ids[source.name] not in only:
             continue
         try:
-            done.append(run_source(store, project, source, ids[source.name], keywords, now))
+            done.append(run_source(store, project, source, ids[source.name], keywords, now, model))
             store.append_audit("runner", "source.done", source.name, done[-1])
         except Exception as e:
             done.append({"source": source.name, "error": f"{type(e).__name__}: {str(e)[:300]}"})
@@ -111,16 +130,20 @@ def run_project(store: Store, project_id: str, now: datetime, only: set[int] | N
     return manifest
 
 
-def stream_records(store: Store, source: SourceConfig, source_id: int, keywords: list[str], raw: DataFrame, checkpoint: str, now: datetime, bounds=None, **trigger):
-    """A streaming query that stores each micro-batch of a streaming raw-record frame."""
+def stream_records(store: Store, source: SourceConfig, source_id: int, keywords: list[str], raw: DataFrame, checkpoint: str, now: datetime | Callable[[], datetime], bounds: list | Callable[[datetime], list] | None = None, delay: str | None = None, name: str | None = None, model: extract.Model | None = None, **trigger):
+    """A streaming query that stores each micro-batch of a streaming raw-record frame. now, bounds: times, or what gives them for a batch. delay: repeats are dropped in the stream's own state already,
+    which holds no more than so much event time; rows later than that are dropped and counted (events.Progress)."""
     if not raw.isStreaming:
         raise ConnectorError("not a stream")
-    limits = bounds or [(datetime(1970, 1, 1, tzinfo=now.tzinfo), now)]
+    rows = unique_within(raw, delay, ["external_id"]) if delay else raw
 
     def batch(df: DataFrame, number: int) -> None:
-        store_batch(store, enriched(gated(df, source, keywords, limits), source_id, now), source_id, now, (checkpoint, str(number)))
+        at = now() if callable(now) else now
+        limits = (bounds(at) if callable(bounds) else bounds) or [(datetime(1970, 1, 1, tzinfo=at.tzinfo), at)]
+        store_batch(store, enriched(gated(df, source, keywords, limits), source_id, at, model), source_id, at, (checkpoint, str(number)))
 
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return (out.queryName(name) if name else out).start()
 
 
 def backfill(store: Store, force: bool = False) -> int:

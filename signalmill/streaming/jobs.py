@@ -3,60 +3,55 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract
-from ..operators import changes, timeline
+from ..operators import changes, counters
 from ..operators import disproportionality as dp
 from ..store import Store
 from ..tables import settled
 from .ingest import run_project
-
-
-def labels(label: str = "sentiment_label", text: str = "text_redacted"):
-    """The stored label, of records without one that of their text."""
-    return F.coalesce(F.nullif(label, F.lit("")), extract.sentiment_of(text)["label"])
-
-
-def adverse_label(label):
-    return label.isin("adverse", "negative")
+from .scoring import adverse_label, labels, pair_counts, pairs_of
 
 
 def record_pairs(store: Store, project_id: str, adverse_only: bool = False) -> DataFrame:
-    """(record, drug, event, source_id, posted_at, text), once a record; materialise it to serve several readings."""
+    """Pairs of all records of a project; materialise it to serve several readings."""
     sources = store.table("sources").where(F.col("project_id") == project_id).select(F.col("id").alias("source_id"))
     rows = store.table("records").join(sources, "source_id", "left_semi")
-    if adverse_only:
-        rows = rows.where(adverse_label(labels()))
-    found = rows.select(F.col("id").alias("record"), "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", F.explode(extract.ner_entities("text_redacted")["pairs"]).alias("p"))
-    return found.select("record", "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", "p.drug", "p.event")
+    return pairs_of(rows.where(adverse_label(labels())) if adverse_only else rows)
 
 
 def compute_signals(store: Store, project_id: str, now: datetime, adverse_only: bool = False, min_n: int = dp.MIN_N, prr: float = dp.PRR, chi2: float = dp.CHI2) -> dict:
-    pairs = settled(record_pairs(store, project_id, adverse_only))
-    stats = settled(dp.compute(pairs, min_n, prr, chi2))
-    window = timeline.bounds(pairs, "posted_at").first()
+    """Statistics of the project's pairs, from the counts that each batch of records adds to: what it costs follows the number of pairs, and no
+    record is read. All pairs are scored, since each new record changes the total that all are held against."""
+    counted = settled(pair_counts(store, project_id, adverse_only))
+    stats = settled(counters.compute(counted, min_n, prr, chi2))
+    window = counted.agg(F.min("first_at").alias("window_since"), F.max("last_at").alias("window_until"), F.sum("n").alias("n")).first()
     rows = stats.withColumns({"project_id": F.lit(project_id), **{c: F.lit(window[c]).cast("timestamp") for c in ("window_since", "window_until")}, "computed_at": F.lit(now)})
     rows = rows.withColumn("id", F.abs(F.xxhash64("project_id", "drug", "event", "computed_at")))
     store.append("signals", rows.join(store.table("signals").select("id"), "id", "left_anti"))
     counts = stats.agg(F.count("*").alias("rows"), F.count_if("is_signal").alias("flagged")).first().asDict()
     store.append_audit("signals", "signals.computed", project_id, counts)
-    examples = dp.examples(pairs, ["drug", "event"], "record", "text_redacted")
+    examples = counted.select("drug", "event", F.transform("examples", lambda e: e["text"]).alias("examples"))
     top = stats.join(examples, ["drug", "event"], "left").orderBy(F.desc("is_signal"), F.desc("prr")).limit(20)
-    return {**counts, "pairs": window["n"], "top": [r.asDict() for r in top.collect()]}
+    return {**counts, "pairs": window["n"] or 0, "top": [r.asDict() for r in top.collect()]}
+
+
+#: Seconds after which a tick's lease ends by itself, should its process be lost.
+LEASE = 3_600
 
 
 class Scheduler:
-    """One tick at a time: runs what is due of each project, then computes its signals again. start() ticks every few seconds in the
+    """One tick at a time, over all processes on a store: who ticks holds a lease there. A tick runs what is due of each project, then computes its signals again. start() ticks every few seconds in the
     background, until stop()."""
 
     def __init__(self, store: Store):
-        self.store, self.lock = store, threading.Lock()
-        self.ended, self.thread = threading.Event(), None
+        self.store, self.owner = store, uuid.uuid4().hex
+        self.lock, self.ended, self.thread = threading.Lock(), threading.Event(), None
 
     def start(self, seconds: float = 300, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> None:
         """A tick that fails is told in the audit log, and the next one comes all the same."""
@@ -82,18 +77,27 @@ class Scheduler:
         if not self.lock.acquire(blocking=False):
             return {"skipped": True}
         try:
-            s = self.store
-            rows = changes.due(s.table("sources"), s.table("projects"), s.table("watermarks"), F.lit(now)).select("project_id", "id").collect()
-            by: dict[str, set[int]] = {}
-            for r in rows:
-                by.setdefault(r["project_id"], set()).add(r["id"])
-            out = {"projects": 0, "sources": len(rows), "inserted": 0, "flagged": 0}
-            for project_id, ids in by.items():
-                run = run_project(s, project_id, now, ids)
-                out["projects"] += 1
-                out["inserted"] += run["inserted"]
-                out["flagged"] += compute_signals(s, project_id, now)["flagged"]
-            s.append_audit("scheduler", "tick.run", None, out)
-            return out
+            if not self.store.lease("tick", self.owner, LEASE):
+                return {"skipped": True}
+            try:
+                return self._tick(now)
+            finally:
+                self.store.lease("tick", self.owner, 0)
         finally:
             self.lock.release()
+
+    def _tick(self, now: datetime) -> dict:
+        s = self.store
+        rows = changes.due(s.table("sources"), s.table("projects"), s.table("watermarks"), F.lit(now)).select("project_id", "id").collect()
+        by: dict[str, set[int]] = {}
+        for r in rows:
+            by.setdefault(r["project_id"], set()).add(r["id"])
+        out = {"projects": 0, "sources": len(rows), "inserted": 0, "flagged": 0}
+        for project_id, ids in by.items():
+            run = run_project(s, project_id, now, ids)
+            out["projects"] += 1
+            out["inserted"] += run["inserted"]
+            out["flagged"] += compute_signals(s, project_id, now)["flagged"]
+            s.lease("tick", self.owner, LEASE)  # still at work
+        s.append_audit("scheduler", "tick.run", None, out)
+        return out

@@ -38,6 +38,12 @@ class TimeWindow:
         live = bool(self.lookback_days) and not self.since
         return (max(since, watermark) if live and watermark else since), until
 
+    def start(self, now: datetime, watermark: Column) -> Column:
+        """The start of effective(), without a zone, for each row's watermark (without one, of UTC)."""
+        since, live = self.resolve(now)[0], bool(self.lookback_days) and not self.since
+        fixed = F.lit(since.astimezone(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+        return F.greatest(fixed, watermark) if live else fixed
+
     @classmethod
     def from_dict(cls, d: dict | None) -> "TimeWindow":
         return cls(d.get("lookback_days"), instant(d.get("since")), instant(d.get("until"))) if d else cls()
