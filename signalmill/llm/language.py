@@ -112,15 +112,19 @@ def learn(df: DataFrame, where, text: str = "text", lang: str = "lang", order: s
     spark = df.sparkSession
     common.ship(spark)
     rows = df.where(where & df[lang].isNotNull() & df[text].rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(order, text).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    place = F.col("h").bitwiseAND(F.lit(2**63 - 1))
+    told = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("kinds"), F.min(place).alias("least"))
+    counts = told.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
     each = max(1, min(per_language, most_rows // len(counts)))
-    # A hash bound that leaves about twice as many; ranking then takes a few rows of each language.
-    bound = {r["lang"]: min(2**63 - 1, (2**63 - 1) * (2 * each + 40) // r["count"]) for r in counts}
+    # A hash bound that leaves about twice as many rows that differ, and one at least; ranking then takes a few rows of each language. Rows that
+    # repeat have one hash, so that they are ranked in parts first.
+    bound = {r["lang"]: max(r["least"], min(2**63 - 1, (2**63 - 1) * (2 * each + 40) // max(1, r["kinds"]))) for r in counts}
     limits = spark.createDataFrame(list(bound.items()), "lang string, bound long")  # one row a language
-    near = rows.join(F.broadcast(limits), "lang").where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound"))
-    few = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= each)
+    few = rows.join(F.broadcast(limits), "lang").where(place <= F.col("bound")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    for over in (["lang", "part"], ["lang"]):
+        few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*over).orderBy("h", "text"))).where(F.col("nth") <= each)
     coded = common.map_rows(few.select("lang", "nth", "text"), ["text"], [("codes", T.ArrayType(T.IntegerType()))], lambda: lambda columns: [[distinct_codes(t).tolist() for t in columns[0]]])
     sample = common.materialise(spark, coded.drop("text"), "language-sample")
     top = sample.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy(F.desc("count"), "code").limit(features)

@@ -220,6 +220,19 @@ def test_language_on_held_out_rows(spark, sf_dir):
     assert len(rows) == docs.count() and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
 
 
+def test_languages_of_repeated_rows_are_learnt(spark):
+    """However often one row repeats, and whatever its hash: beside many rows of another language, or with few that differ."""
+    english = [(k, f"the house and the road of number{k} is here", "en") for k in range(300)]
+    for key in range(6):
+        german = [(key, "das haus und die straße ist nicht weit von hier", "de")] * 2_000
+        french = [(k % 3, f"la maison et la rue {'a' * (k % 3)} sont ici", "fr") for k in range(600)]
+        rows = spark.createDataFrame(english + german + french, "doc_id long, text string, lang string")
+        model = language.learn(rows, F.lit(True))
+        assert model.languages == ["de", "en", "fr"]
+    told = language.predict(spark.createDataFrame([("das haus ist weit",), ("la maison et la rue",)], "text string"), model)
+    assert [r["lang_pred"] for r in told.collect()] == ["de", "fr"]
+
+
 def test_language_edges(spark):
     learnt = language.learn(frame(spark, ["the cat and the dog", "le chat et le chien"] * 3).withColumn("lang", F.when(F.contains("text", F.lit("the")), "en").otherwise("fr")), F.lit(True))
     rows = {r["text"]: r for r in language.predict(frame(spark), learnt).collect()}
