@@ -64,12 +64,20 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     most = max(POSTING, -(-held.count() // MOST_SPLIT))
     hot = F.broadcast(sizes.where(F.col("rows") > most).select(*key, F.ceil(F.col("rows") / most).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    there = held.join(hot, key, "left").select(*key, F.pmod(F.xxhash64("word"), salts).cast("int").alias("salt"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    # One edit leaves the front or the back half of the shorter word as it is; that is compared, by hashes, before the distance is worked out.
+    front = lambda n: F.xxhash64(F.substring("word", F.lit(1), n))
+    back = lambda n: F.xxhash64(F.substring("word", F.col("size") - n + 1, n))
+    half = lambda n: F.floor(n / 2).cast("int")
+    size, less = F.col("size"), F.col("size") - 1
+    halves = F.struct(*(x.alias(c) for c, x in (("front", front(half(size))), ("back", back(size - half(size))), ("front_less", front(half(less))), ("back_less", back(less - half(less))))))
+    there = held.join(hot, key, "left").select(*key, F.pmod(F.xxhash64("word"), salts).cast("int").alias("salt"), F.col("word").alias("b"), F.col("n").alias("nb"), halves.alias("there"))
     spots = F.array(*(F.struct((F.col("pos") + p).alias("pos"), (F.col("size") + s).alias("size")) for p, s in ((0, 0), (0, 1), (1, 1))))
-    look = held.select("rank", F.explode(spots).alias("spot"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("size").alias("own"))
-    look = look.select("rank", "spot.pos", "spot.size", "a", "na", "own").join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    ordered = (F.col("own") < F.col("size")) | (F.col("a") < F.col("b"))
-    met = look.join(there, [*key, "salt"]).where(ordered & (F.levenshtein("a", "b", 1) == 1))
+    look = held.select("rank", F.explode(spots).alias("spot"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("size").alias("own"), front(half(size)).alias("front"), back(size - half(size)).alias("back"))
+    look = look.select("rank", "spot.pos", "spot.size", "a", "na", "own", "front", "back").join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    shorter = F.col("own") < F.col("size")
+    same = lambda c: F.col(c) == F.when(shorter, F.col(f"there.{c}_less")).otherwise(F.col(f"there.{c}"))
+    ordered = shorter | (F.col("a") < F.col("b"))
+    met = look.join(there, [*key, "salt"]).where(ordered & (same("front") | same("back")) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "na", "b", "nb").distinct()
 
 
