@@ -1,8 +1,10 @@
 """License scans by a positional rare-token index.
 
-The index holds each licence template's rarest positions (by inverse document frequency over all files), so many that any match has some of
-them in place. In files that hold a template's key phrases, the places of these words vote for its starts; where enough agree, the
-template is compared word by word and its key phrases are required within it. No match is missed, however many licences a file has.
+The index has postings (template, position) for the rarest words of each licence template, by inverse document frequency over all files: one more
+position than a match can have wrong, so that any match has one of them right. A file's words are looked up there; where one stands, its postings
+say where templates would start. Such a start must have AGREE of the template's further rare words at their relative positions; then the
+template is compared word by word and its key phrases are required within it. No match is missed, however many licences a file has, and
+what a file costs follows its licence words, not the number of templates.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import math
 from dataclasses import dataclass
 from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ class Template:
     label: str
     text: list[bytes]
     keys: list[bytes]
-    rarest: list[tuple[bytes, int]]  # words and positions
+    rarest: list[tuple[int, bytes]]  # positions and words
     agree: int  # of the rarest, in any match
 
 
@@ -62,6 +63,7 @@ class Template:
 class Index:
     phrases: list[tuple[bytes, str]]
     templates: list[Template]
+    postings: dict[bytes, list[tuple[int, int]]]  # by word: templates' numbers and positions
 
 
 def spaced(text: str) -> bytes:
@@ -69,38 +71,33 @@ def spaced(text: str) -> bytes:
 
 
 def build(phrases: dict[str, str], templates: list, frequency: dict[bytes, int], files: int) -> Index:
-    made = []
+    made: list[Template] = []
+    postings: dict[bytes, list[tuple[int, int]]] = {}
     for label, text, keys in templates:
         own = words(text)
         idf = [math.log((files + 1) / (frequency.get(w, 0) + 1)) for w in own]
         astray = len(own) - next((n for n in range(len(own) + 1) if own and n / len(own) >= LEAST), 0)
         order = sorted(range(len(own)), key=lambda p: (-idf[p], own[p], p))[: astray + AGREE]
-        made.append(Template(label, own, [spaced(k) for k in keys], [(own[p], p) for p in order], len(order) - astray))
-    return Index([(spaced(p), label) for p, label in phrases.items()], made)
+        for p in order[: astray + 1]:
+            postings.setdefault(own[p], []).append((len(made), p))
+        made.append(Template(label, own, [spaced(k) for k in keys], [(p, own[p]) for p in order], len(order) - astray))
+    return Index([(spaced(p), label) for p, label in phrases.items()], made, postings)
 
 
-def template_matches(index: Index, own: list[bytes], flat: bytes) -> dict[str, float]:
+def template_matches(index: Index, own: list[bytes]) -> dict[str, float]:
     """Labels with the largest share of a template's words found at their places."""
-    held = [t for t in index.templates if t.text and all(k in flat for k in t.keys)]
-    looked = {w for t in held for w, _ in t.rarest}
-    places: dict[bytes, list] = {}
-    for p, w in enumerate(own) if looked else ():
-        if w in looked:
-            places.setdefault(w, []).append(p)
-    known = {w: np.array(p, dtype=np.int64) for w, p in places.items()}
+    starts = {(t, at - p) for at, w in enumerate(own) if w in index.postings for t, p in index.postings[w]}
     out: dict[str, float] = {}
-    for t in held:
-        votes = [known[w] - p for w, p in t.rarest if w in known]
-        if not votes:
+    for k, start in starts:
+        t = index.templates[k]
+        if sum(0 <= start + p < len(own) and own[start + p] == w for p, w in t.rarest) < t.agree:
             continue
-        starts, counts = np.unique(np.concatenate(votes), return_counts=True)
-        for start in starts[counts >= t.agree].tolist():
-            low, high = max(0, start), min(len(own), start + len(t.text))
-            same = sum(a == b for a, b in zip(own[low:high], t.text[low - start :])) / len(t.text)
-            if same >= LEAST and same > out.get(t.label, 0):
-                window = b" " + b" ".join(own[low:high]) + b" "
-                if all(k in window for k in t.keys):
-                    out[t.label] = same
+        low, high = max(0, start), min(len(own), start + len(t.text))
+        same = sum(a == b for a, b in zip(own[low:high], t.text[low - start :])) / len(t.text)
+        if same >= LEAST and same > out.get(t.label, 0):
+            window = b" " + b" ".join(own[low:high]) + b" "
+            if all(k in window for k in t.keys):
+                out[t.label] = same
     return out
 
 
@@ -117,7 +114,7 @@ def scan(index: Index, text: str | None) -> tuple:
             at = flat.find(phrase, at + 1)
     # A place's word number is the number of gaps before it.
     at_words = [flat.count(b" ", 0, at) for at in (min(found), max(found))] if found else [None, None]
-    more = template_matches(index, own, flat)
+    more = template_matches(index, own)
     score = 1.0 if labels else max(more.values(), default=0.0)
     return len(own), len(found), *at_words, sorted(labels), sorted(labels | more.keys()), round(score, 6)
 
@@ -149,8 +146,8 @@ def find_licenses(df: DataFrame, text: str = "text", phrases: dict[str, str] = P
     """df with n_words, n_base, first_word, last_word, base_label_list, label_list and score.
 
     Base: every place where a phrase's words stand one after another. label_list has the labels of templates too; score
-    is 1 with a base label, else the largest share of a template's words. Null texts count as empty: no words, no labels, score 0.
-    Whole texts are read, twice (once for the word frequencies over all rows). Rows are kept as they come;
+    is 1 with a base label, else the largest share of a template's words. Null texts count as empty: no words, no labels, score 0; an empty
+    table gives an empty one. Whole texts are read, twice (once for the word frequencies over all rows). Rows are kept as they come;
     columns of df with the name of a new one are replaced.
     """
     vocabulary = {w for _, t, _ in templates for w in words(t)}

@@ -198,6 +198,50 @@ def brute_templates(text):
     return out
 
 
+def test_license_scores_equal_brute_force(spark):
+    """The largest share of a template's words at their places, over all starts; ties of equal shares too; and repeated words that are rare ones."""
+    rng = random.Random(9)
+    texts = ["", "version version version license license", "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0."]
+    for _ in range(150):
+        _, template, _ = rng.choice(licenses.TEMPLATES)
+        own = template.split()
+        for _ in range(rng.randrange(0, len(own) // 3 + 1)):
+            own[rng.randrange(len(own))] = rng.choice(["x", "license", "the", ""])
+        cut = rng.randrange(0, 3)
+        texts.append(" ".join([*rng.choices(["of", "license", "software", "y"], k=rng.randrange(6)), *own[cut:], "z"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.find_licenses(docs).collect():
+        own, best = words(r["text"]), {}
+        for label, template, keys in licenses.TEMPLATES:
+            t = words(template)
+            for start in range(-len(t), len(own)):
+                low, high = max(0, start), min(len(own), start + len(t))
+                window = b" " + b" ".join(own[low:high]) + b" "
+                same = sum(own[p] == t[p - start] for p in range(low, high)) / len(t)
+                if same >= licenses.LEAST and all(licenses.spaced(k) in window for k in keys):
+                    best[label] = max(best.get(label, 0), same)
+        assert set(r["label_list"]) == set(r["base_label_list"]) | set(best)
+        assert r["score"] == (1.0 if r["base_label_list"] else round(max(best.values(), default=0.0), 6))
+
+
+def test_license_cost_does_not_grow_with_templates():
+    """Starts that are looked at: as many with 500 templates, whose words a file doesn't have, as with a few."""
+    import time
+
+    text = words("some prose without a licence word, " * 20_000 + "Released under the MIT License.")
+    took = []
+    for n in (0, 500):
+        more = [(f"l{k}", f"terms{k} of{k} a{k} licence{k} number{k} that{k} nobody{k} has{k}", [f"terms{k} of{k}"]) for k in range(n)]
+        index = licenses.build(licenses.PHRASES, [*licenses.TEMPLATES, *more], {b"the": 9, b"license": 3}, 10)
+        best = 9.0
+        for _ in range(3):
+            at = time.perf_counter()
+            assert licenses.template_matches(index, text) == {"mit": 1.0}
+            best = min(best, time.perf_counter() - at)
+        took.append(best)
+    assert took[1] < 2 * took[0]
+
+
 def test_several_licenses_of_a_file(spark):
     rng, bodies = random.Random(8), [t for _, t, _ in licenses.TEMPLATES]
     texts = [f"{a} {b}" for a in bodies for b in bodies if a is not b] + ["\n".join(bodies), "license " * 3_000 + bodies[6]]
