@@ -264,6 +264,44 @@ def test_language_on_held_out_rows(spark, sf_dir):
     assert len(rows) == docs.count() and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
 
 
+def naive_grams(text):
+    """Sets of 1 to 3 bytes of lower-cased letters, all else one gap."""
+    b = [c if 97 <= c <= 122 or c >= 128 else 0 for c in text.lower().encode()]
+    return {tuple(b[k : k + n]) for n in (1, 2, 3) for k in range(len(b) - n + 1)}
+
+
+def naive_kernel(a, b):
+    import numpy as np
+
+    return np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+
+def test_language_equals_naive_kernel_ridge(spark):
+    """With every row a landmark the scores are those of kernel ridge regression solved on the whole kernel matrix; with few they agree on 200 rows."""
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND n_chars < 1500").orderBy("doc_id").select("text", "lang").collect()
+    learnt, asked = rows[:160], rows[160:360]
+    codes = [language.distinct_codes(r["text"]) for r in learnt]
+    grams = np.unique(np.concatenate(codes)).astype("<i4")
+    samples = [(r["lang"], np.searchsorted(grams, c)) for r, c in zip(learnt, codes)]
+    sets, others = [naive_grams(r["text"]) for r in learnt], [naive_grams(r["text"]) for r in asked]
+    seen = set().union(*sets)
+    names = sorted({r["lang"] for r in learnt})
+    y = np.array([names.index(r["lang"]) for r in learnt])
+    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    weight = (1.0 / np.bincount(y))[y] * len(y) / len(names)
+    k, n, ridge = naive_kernel(sets, sets), len(learnt), 0.5
+    system = np.block([[weight[:, None] * k + ridge * np.eye(n), weight[:, None]], [weight @ k, weight.sum()]])
+    solved = np.linalg.solve(system, np.vstack([weight[:, None] * target, weight @ target]))
+    want = naive_kernel([s & seen for s in others], sets) @ solved[:n] + solved[n]
+    whole = language.fit(samples, grams, n, ridge)
+    got = whole.scores([r["text"] for r in asked])[0]
+    assert whole.languages == names and np.abs(got - want).max() < 1e-3
+    few = language.fit(samples, grams, 12, ridge).scores([r["text"] for r in asked])[0]
+    assert (few.argmax(axis=1) == want.argmax(axis=1)).mean() >= 0.97
+
+
 def test_languages_of_repeated_rows_are_learnt(spark):
     """However often one row repeats, and whatever its hash: beside many rows of another language, or with few that differ."""
     english = [(k, f"the house and the road of number{k} is here", "en") for k in range(300)]
@@ -449,3 +487,44 @@ def test_deep_pages(page, text):
 
 def test_main_text_of_an_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string, TEXT string")).count() == 0
+
+
+def test_random_strings_of_other_origin():
+    """Strings that the samples' generator didn't make: names of the standard library against keys, tokens and UUIDs."""
+    import base64
+    import importlib
+    import uuid
+
+    names = set()
+    for module in ("os", "socket", "ssl", "unittest", "logging.handlers", "http.client", "email.message", "asyncio", "multiprocessing", "xml.dom.minidom", "urllib.request", "tkinter.constants", "concurrent.futures", "ctypes", "decimal", "argparse", "typing", "ast", "signal", "errno", "locale"):
+        try:
+            held = importlib.import_module(module)
+        except ImportError:
+            continue
+        for name in dir(held):
+            names |= {name, *dir(getattr(held, name))}
+    names = sorted(n for n in names if len(n) >= 20 and not n.startswith("__") and set(n) <= set(secrets.ALPHABET))
+    rng = random.Random(20)
+    noise = lambda n: rng.getrandbits(8 * n).to_bytes(n, "big")
+    keys = [f(k) for k in range(150) for f in (lambda k: base64.urlsafe_b64encode(noise(24)).decode().rstrip("="), lambda k: base64.b32encode(noise(20)).decode(), lambda k: str(uuid.UUID(bytes=noise(16), version=4)), lambda k: base64.b64encode(noise(30)).decode())]
+    flagged = lambda some: sum(secrets.ratio(t) > secrets.MARGIN * len(t) for t in some)
+    right, wrong = flagged(keys), flagged(names)
+    assert len(names) > 100 and right >= 0.9 * len(keys) and right >= 0.9 * (right + wrong)
+
+
+def test_keys_planted_in_documents(spark):
+    """Of keys put at any place of whole texts nearly all are spans, and texts without one have no span of the model's."""
+    rng = random.Random(21)
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect()]
+    rows, planted = [], {}
+    for k, text in enumerate(docs):
+        if k % 2 == 0:
+            key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(24, 44)))
+            at = rng.choice([m.end() for m in re.finditer(r"\s", text)] or [0])
+            planted[k] = (at, at + len(key))
+            text = f"{text[:at]}{key} {text[at:]}"
+        rows.append((k, text))
+    found = {r["doc_id"]: r["secret_spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(any(s["start"] <= a and b <= s["end"] for s in found[k]) for k, (a, b) in planted.items())
+    assert hit >= 0.9 * len(planted) and len(planted) > 50
+    assert not [s for k, spans in found.items() if k not in planted for s in spans if s["kind"] == secrets.MARKOV]
