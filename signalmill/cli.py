@@ -40,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("query")
     expand = sub.add_parser("expand", help="terms that a keyword stands for")
     expand.add_argument("keyword", nargs="+")
+    expand.add_argument("--ask", metavar="URL", help="a server that generates text, for further terms")
+    expand.add_argument("--model", default="", help="the server's model")
+    expand.add_argument("--cache", help="file of terms that were asked for before")
     return top
 
 
@@ -58,9 +61,13 @@ def main(argv: list[str] | None = None) -> int:
         show([r.asDict() for r in recall(posts(_session(), args.n)).collect()])
         return 0
     if args.command == "expand":
-        from .functions.keywords import expand_layered
+        from .functions.keywords import TermCache, expand_layered, server_terms
 
-        show(expand_layered(args.keyword)[1])
+        ask = server_terms(args.ask, args.model) if args.ask else None
+        if ask and args.cache:
+            held, asked = TermCache(args.cache), ask
+            ask = lambda term: held.get(args.model, term, asked)
+        show(expand_layered(args.keyword, ask)[1])
         return 0
     from .plans import reporting
     from .project import Project
@@ -88,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "tick":
         show(jobs.Scheduler(store).tick(now))
     elif args.command == "search":
-        show([r.asDict() for r in reporting.search(store.table, args.query).collect()])
+        show([r.asDict() for r in reporting.search(store.table, args.query, index=jobs.name_index(store)).collect()])
     else:
         t = store.table
         made = {"kpis": lambda: reporting.system_kpis(t, as_of), "health": lambda: reporting.source_health(t, as_of), "projects": lambda: reporting.project_rows(t), "signals": lambda: reporting.all_signals(t, 200), "recent": lambda: reporting.recent_signals(t, as_of), "compliance": lambda: reporting.compliance_kpis(t), "log": lambda: reporting.compliance_log(t), "activity": lambda: reporting.activity(t), "about": lambda: reporting.about(t)}

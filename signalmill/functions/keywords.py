@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.request
 from collections.abc import Callable, Iterable
 
 from .. import lexicon
@@ -78,3 +79,23 @@ def expand_layered(keywords: Iterable[str], ask: Callable[[str], list[str]] | No
                 terms.append(term)
                 rows.append((keyword, term, source, CONFIDENCE[source]))
     return terms, rows
+
+
+_PROMPT = "List other words that patients write for the medical term {term!r}, misspellings and mixed Hindi and English included. Answer with a JSON list of strings and nothing else."
+
+
+def server_terms(url: str, model: str, most: int = 10, timeout: float = 20) -> Callable[[str], list[str]]:
+    """An `ask` by a server that generates text: it is sent {model, prompt, stream: false} and answers {response: text}, in which the first JSON
+    list is looked for. No terms where it can't be asked or says nothing of use."""
+
+    def ask(term: str) -> list[str]:
+        body = json.dumps({"model": model, "prompt": _PROMPT.format(term=term), "stream": False}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                said = json.loads(r.read()).get("response") or ""
+            found = json.loads(said[said.index("[") : said.rindex("]") + 1])
+        except (OSError, ValueError, AttributeError):
+            return []
+        return [t.strip() for t in found if isinstance(t, str) and t.strip()][:most]
+
+    return ask

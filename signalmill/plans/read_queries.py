@@ -7,7 +7,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs
+from ..operators import search, timeline
+from ..streaming import ingest, jobs
 from ..tables import shared_dir
 from . import reporting, roles
 from .catalog import _CELLS, _SCORE, _TIER, query
@@ -270,6 +271,17 @@ def search_like(spark, sf_dir):
     return reporting.search(roles.tables(spark, sf_dir), "Ra")
 
 
+@query(f"""{_W} (SELECT 'signal' AS kind, CAST(id AS VARCHAR) AS id, drug || ' → ' || event AS label FROM signals WHERE contains(lower(drug), 'eta') OR contains(lower(event), 'eta') OR contains(lower(drug), 'che') OR contains(lower(event), 'che')) UNION ALL
+(SELECT 'project', id, name FROM projects WHERE false)""")
+def search_index(spark, sf_dir):
+    """Signals by parts of their names, by an index of trigrams that is written beside them; those of two searches together."""
+    t, path = roles.tables(spark, sf_dir), f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
+    search.postings(jobs.names_of(t("signals"))).write.partitionBy("bucket").parquet(path)
+    index = spark.read.parquet(path)
+    found = [reporting.search(t, q, 1 << 30, 0, 0, index) for q in ("Eta", "CHE")]
+    return found[0].unionByName(found[1]).distinct()
+
+
 @query(f"{_W} SELECT (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM records) AS records, (SELECT count(*) FROM signals) AS signals, (SELECT count(*) FROM audit_log) AS audit_log")
 def about_totals(spark, sf_dir):
     return reporting.about(roles.tables(spark, sf_dir))
@@ -305,6 +317,31 @@ def signal_job(spark, sf_dir):
     return rows.select("drug", "event", "n", "prr", "chi2", "ic", _said("window_since"), _said("window_until"))
 
 
+@query(f"""{_W} SELECT CASE WHEN id % 5 = 0 THEN CASE event WHEN 'cough' THEN 'neutral' ELSE 'negative' END ELSE sentiment_label END AS label, count(*) AS n, (SELECT count(*) FROM records WHERE id % 5 = 0) AS enriched,
+  CAST(sum(CASE WHEN id % 5 = 0 THEN 2 WHEN tagged THEN 2 ELSE 0 END) AS BIGINT) AS entities FROM records GROUP BY 1""")
+def backfilled(spark, sf_dir):
+    """Records by label after those without one are enriched from their text; with the number of these, and of entities."""
+    store = _store(spark, sf_dir)
+    store.replace("records", store.table("records").withColumn("sentiment_label", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("sentiment_label"))))
+    n = ingest.backfill(store)
+    by = store.table("records").groupBy(F.col("sentiment_label").alias("label")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("entities"), F.lit(0))).alias("entities"))
+    return by.select("label", "n", F.lit(n).cast("long").alias("enriched"), "entities")
+
+
+@query("""WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1), e AS (SELECT CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS id, CAST(day AS VARCHAR) || '|runner|ingest|events|{"inserted": ' || CAST(n AS VARCHAR) || '}' AS body FROM d),
+c AS (SELECT 0 AS id, '' AS prev_hash, '' AS hash UNION ALL SELECT e.id, c.hash, sha256(c.hash || '|' || e.body) FROM c JOIN e ON e.id = c.id + 1) SELECT id, prev_hash, hash, true AS ok FROM c WHERE id > 0""")
+def audit_days(spark, sf_dir):
+    """An entry in the log for each day of events, in two appends; with what verifying says of each."""
+    from ..operators import audit
+    from ..schemas import TABLES
+
+    days = timeline.daily_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("ts")).orderBy("day").collect()  # a row a day
+    entries = [(str(r["day"]), "runner", "ingest", "events", {"inserted": r["n"]}) for r in days]
+    log = audit.append(spark.createDataFrame([], TABLES["audit_log"]), entries[:10])
+    log = log.unionByName(audit.append(log, entries[10:]))
+    return audit.checked(log).select(F.col("id").cast("int").alias("id"), F.coalesce("prev_hash", F.lit("")).alias("prev_hash"), "hash", "ok")
+
+
 @query(f"""{_W} SELECT p.id, (SELECT count(*) FROM sources WHERE project_id = p.id) AS n_sources, (SELECT count(*) FROM records r JOIN sources s ON r.source_id = s.id WHERE project_id = p.id) AS n_records, (SELECT count(*) FROM signals WHERE project_id = p.id) AS n_signals FROM projects p""")
 def project_list(spark, sf_dir):
     return _store(spark, sf_dir).projects().select("id", "n_sources", "n_records", "n_signals")

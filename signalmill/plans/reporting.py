@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import audit, changes, timeline
+from ..operators import search as trigrams
 from ..operators import disproportionality as dp
 
 Tables = Callable[[str], DataFrame]
@@ -226,12 +227,18 @@ def compliance_log(t: Tables, limit: int = 12) -> DataFrame:
     return a.unionByName(b).unionByName(c).orderBy(F.desc("ts"), "action", "subject").limit(limit)
 
 
-def search(t: Tables, query: str, signals: int = 30, projects: int = 20, sources: int = 20) -> DataFrame:
-    """(kind, id, label): pairs, projects and sources that have the query in a name; its % and _ are wild, nothing else in it is."""
+def search(t: Tables, query: str, signals: int = 30, projects: int = 20, sources: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """(kind, id, label): pairs, projects and sources that have the query in a name; its % and _ are wild, nothing else in it is. index: of
+    the names in signals (operators/search.py); with it, patterns are held against the names that can match only."""
     pattern = F.lit(f"%{query.lower()}%".replace("\\", "\\\\"))
     like = lambda *cs: reduce(Column.__or__, (F.like(F.lower(c), pattern) for c in cs))
     hit = lambda df, cond, kind, ident, label, order, most: df.where(cond).orderBy(*order).limit(most).select(F.lit(kind).alias("kind"), ident.cast("string").alias("id"), label.alias("label"))
-    a = hit(t("signals"), like("drug", "event"), "signal", F.col("id"), F.concat_ws(" → ", "drug", "event"), (F.desc("computed_at"), F.desc("prr"), "id"), signals)
+    rows, cond = t("signals"), like("drug", "event")
+    if index is not None:
+        names = trigrams.candidates(index, query).where(like("name"))
+        of = lambda c: names.select(F.col("name").alias(c))
+        rows, cond = rows.join(of("drug"), "drug", "left_semi").unionByName(rows.join(of("event"), "event", "left_semi").join(of("drug"), "drug", "left_anti").select(*rows.columns)), F.lit(True)
+    a = hit(rows, cond, "signal", F.col("id"), F.concat_ws(" → ", "drug", "event"), (F.desc("computed_at"), F.desc("prr"), "id"), signals)
     b = hit(t("projects"), like("id", "name"), "project", F.col("id"), F.col("name"), ("id",), projects)
     return a.unionByName(b).unionByName(hit(t("sources"), like("name", "connector"), "source", F.col("id"), F.col("name"), ("id",), sources))
 

@@ -29,12 +29,14 @@ TABLES: dict[str, T.StructType] = {
     "audit_log": _struct(id=_L, ts=_S, actor=_S, action=_S, target=_S, payload_json=_S, prev_hash=_S, hash=_S),
 }
 
-#: Tables that follow from the records and are kept beside them: counts of pairs by source (operators/counters.py).
+#: Tables that follow from others and are kept beside them: counts of the records' pairs by source (operators/counters.py), trigrams of the names
+#: in signals (operators/search.py).
 DERIVED: dict[str, T.StructType] = {
     "pair_counts": _struct(source_id=_L, drug=_S, event=_S, adverse=_B, n=_L, first_at=_TS, last_at=_TS, examples=T.ArrayType(_struct(record=_L, text=_S))),
+    "signal_grams": _struct(name=_S, gram=_S, bucket=T.IntegerType()),
 }
 
 #: Tables that are written in folders by a column's values.
-PARTITIONED = {"record_keys": ("bucket",)}
+PARTITIONED = {"record_keys": ("bucket",), "signal_grams": ("bucket",)}
 
 STATUSES, CADENCES = ("running", "paused", "closed"), ("real_time", "daily", "weekly", "manual")

@@ -29,11 +29,11 @@ class Fetched:
         return 200 <= self.status < 300 and bool(self.text)
 
 
-def _plain(url: str, timeout: float) -> tuple[int, str]:
+def _plain(url: str, timeout: float, headers: dict[str, str] | None = None) -> tuple[int, str]:
     if url.startswith("file:"):
         with urllib.request.urlopen(url, timeout=timeout) as r:
             return 200, r.read().decode("utf-8")
-    request = urllib.request.Request(url, headers={"User-Agent": "signalmill/1"})
+    request = urllib.request.Request(url, headers={"User-Agent": "signalmill/1", **(headers or {})})
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:
             return r.status, r.read().decode("utf-8", "replace")
@@ -99,6 +99,11 @@ def fetch(url: str, timeout: float = 20, rungs=RUNGS, waits: tuple[float, ...] =
     return out
 
 
+def fetch_as(url: str, headers: dict[str, str], timeout: float = 15) -> Fetched:
+    """By the plain rung, with headers of one's own, as of a key."""
+    return fetch(url, timeout, (("plain", lambda u, t: _plain(u, t, headers)),))
+
+
 def listing_pages(path: str, pages: int) -> list[str]:
     """Texts of a listing's pages by its cursors, until it names no next one or a page can't be had."""
     out, after = [], ""

@@ -161,6 +161,16 @@ def x_records(rows: DataFrame, now: Column) -> DataFrame:
     return shaped(rows.where("id IS NOT NULL").select(F.concat(F.lit("x:"), F.col("id")).alias("external_id"), "url", "text", dated(F.col("created_at"), now, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("posted_at"), F.col("author").alias("author_handle"), F.col("lang").alias("language_hint"), F.lit("x").alias("source_kind")))
 
 
+SEARCHED = "tweets array<struct<id:string,text:string,createdAt:string,lang:string,author:struct<userName:string>>>"
+
+
+def searched_records(rows: DataFrame, now: Column) -> DataFrame:
+    """Rows of a search's answer; its times name the weekday, which Spark's patterns don't read."""
+    told = F.regexp_replace(F.col("createdAt"), "^[A-Za-z]{3}\\s+", "")
+    at = dated(told, now, "MMM d HH:mm:ss Z yyyy", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return shaped(rows.where("id IS NOT NULL").select(F.concat(F.lit("x:"), F.col("id")).alias("external_id"), F.concat(F.lit("https://x.com/i/status/"), F.col("id")).alias("url"), F.coalesce("text", F.lit("")).alias("text"), at.alias("posted_at"), F.col("author.userName").alias("author_handle"), F.col("lang").alias("language_hint"), F.lit("x").alias("source_kind")))
+
+
 _POST = "id:string,title:string,selftext:string,permalink:string,author:string,created_utc:double"
 POST = f"struct<{_POST}>"
 LISTING = f"data struct<after:string,children:array<struct<data:struct<{_POST}>>>>"

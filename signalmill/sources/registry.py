@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,11 +18,11 @@ from . import api, feeds, html
 Reader = Callable[[SparkSession, dict, F.Column], DataFrame]
 
 
-def _fetched(spark: SparkSession, urls: list[str]) -> DataFrame:
+def _fetched(spark: SparkSession, urls: list[str], headers: dict[str, str] | None = None) -> DataFrame:
     """(page_id, url, html): configuration-sized lists of pages, fetched where they are read."""
     @F.pandas_udf("string")
     def load(url: pd.Series) -> pd.Series:
-        return url.map(lambda u: (lambda r: r.text if r.ok else None)(api.fetch(u)))
+        return url.map(lambda u: (lambda r: r.text if r.ok else None)(api.fetch_as(u, headers) if headers else api.fetch(u)))
 
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(max(1, len(urls)))
     return rows.withColumn("html", load("url")).where("html IS NOT NULL")
@@ -89,13 +90,25 @@ def _reddit(spark, p, now) -> DataFrame:
     return posts.unionByName(feeds.comment_records(told, int(p.get("max_comments", 100))))
 
 
+def _x(spark, p, now) -> DataFrame:
+    """With a key and a query the site's search, newest first; without, or where it can't be had, captured posts (path)."""
+    if p.get("api_key") and p.get("query"):
+        url = p.get("search_url", "https://api.twitterapi.io/twitter/tweet/advanced_search")
+        asked = urllib.parse.urlencode({"query": p["query"], "queryType": "Latest"})
+        pages = settled(_fetched(spark, [f"{url}?{asked}" if not url.startswith("file:") else url], {"X-API-Key": p["api_key"]}))
+        if not p.get("path") or not pages.isEmpty():
+            found = pages.select(F.from_json("html", feeds.SEARCHED).alias("r")).select(F.posexplode("r.tweets").alias("nth", "t")).where(F.col("nth") < int(p.get("max_results", 50)))
+            return feeds.searched_records(found.select("t.*"), now)
+    return feeds.x_posts(spark, p["path"], now)
+
+
 READERS: dict[str, Reader] = {
     "reddit": _reddit,
     "rss": _rss,
     "faers": lambda s, p, now: feeds.faers(s, p["path"], now),
     "openfda": lambda s, p, now: feeds.openfda(s, p["path"], now) if p.get("path") else feeds.openfda_records(s.read.format("json_api").options(**{k: str(v) for k, v in {"path": "https://api.fda.gov/drug/event.json", **p}.items()}).load().select(F.from_json("value", feeds.OPENFDA).alias("r")).select("r.*"), now),
     "whatsapp": lambda s, p, now: feeds.whatsapp(s, p.get("path") or p["fixture"], now),
-    "x": lambda s, p, now: feeds.x_posts(s, p["path"], now),
+    "x": _x,
     "html_auto": _blocks,
     "html_listing": _listing,
     "html_stealth": lambda s, p, now: _items(s, p, now, True),

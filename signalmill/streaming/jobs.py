@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import changes, counters
+from ..operators import changes, counters, search
 from ..operators import disproportionality as dp
 from ..store import Store
 from ..tables import settled
@@ -33,7 +33,11 @@ def compute_signals(store: Store, project_id: str, now: datetime, adverse_only:
     window = counted.agg(F.min("first_at").alias("window_since"), F.max("last_at").alias("window_until"), F.sum("n").alias("n")).first()
     rows = stats.withColumns({"project_id": F.lit(project_id), **{c: F.lit(window[c]).cast("timestamp") for c in ("window_since", "window_until")}, "computed_at": F.lit(now)})
     rows = rows.withColumn("id", F.abs(F.xxhash64("project_id", "drug", "event", "computed_at")))
-    store.append("signals", rows.join(store.table("signals").select("id"), "id", "left_anti"))
+    at = store.snapshot()
+    new = rows.join(at.table("signals").select("id"), "id", "left_anti")
+    # What the index lacks where signals are stored that it doesn't know is made up for when it is next asked for.
+    known = {"signal_grams": search.postings(names_of(stats))} if at.has("signal_grams") or not at.has("signals") else {}
+    store.commit(appended={"signals": new, **known})
     counts = stats.agg(F.count("*").alias("rows"), F.count_if("is_signal").alias("flagged")).first().asDict()
     store.append_audit("signals", "signals.computed", project_id, counts)
     examples = counted.select("drug", "event", F.transform("examples", lambda e: e["text"]).alias("examples"))
@@ -41,6 +45,19 @@ def compute_signals(store: Store, project_id: str, now: datetime, adverse_only:
     return {**counts, "pairs": window["n"] or 0, "top": [r.asDict() for r in top.collect()]}
 
 
+def names_of(signals: DataFrame) -> DataFrame:
+    return signals.select(F.explode(F.array("drug", "event")).alias("name")).distinct()
+
+
+def name_index(store: Store) -> DataFrame:
+    """Trigrams of the names in signals (operators/search.py), as they were kept with the commits; made anew where they weren't."""
+    at = store.snapshot()
+    if at.has("signals") and not at.has("signal_grams"):
+        store.transact(lambda now: {"replaced": {"signal_grams": search.postings(names_of(now.table("signals")))}})
+        at = store.snapshot()
+    return at.table("signal_grams")
+
+
 #: Seconds after which a tick's lease ends by itself, should its process be lost.
 LEASE = 3_600
 

@@ -487,3 +487,94 @@ def test_starts_of_windows_as_a_column(spark):
     for window in (TimeWindow(), TimeWindow(30), TimeWindow(3, datetime(2024, 4, 1, tzinfo=timezone.utc)), TimeWindow(None)):
         want = [window.effective(NOW, m and m.replace(tzinfo=timezone.utc))[0].replace(tzinfo=None) for m in marks]
         assert [r[0] for r in df.select(window.start(NOW, F.col("m"))).collect()] == want
+
+
+# --- search ---
+
+
+def test_search_by_trigrams(spark, tmp_path):
+    """The same hits as by a scan; only the folders of the query's trigrams are read; kept with the commits of signals, and made anew where not."""
+    from signalmill.operators import search
+
+    store = Store(spark, str(tmp_path / "t"))
+    store.save_project(project("a"), NOW)
+    stored(spark, store, range(40))
+    jobs.compute_signals(store, "p", NOW, min_n=1)
+    assert store.snapshot().has("signal_grams")
+    for query in ("rash", "RASH", "par_cet%ol", "a", "%", "et", "mol", "x_%", "zzz", "a\\b", "'", "naus%a"):
+        by_scan = rows_of(reporting.search(store.table, query))
+        assert rows_of(reporting.search(store.table, query, index=jobs.name_index(store))) == by_scan, query
+    plan = search.candidates(store.table("signal_grams"), "rash")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    asked = store.table("signal_grams").where(F.col("bucket").isin([search._bucket(F.lit(g)) for g in search.wanted("rash")]))
+    folders = {r[0].rsplit("/", 2)[1] for r in asked.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(folders) <= len(search.wanted("rash"))
+    store.replace("signals", store.table("signals").where("drug <> 'paracetamol'"))
+    assert not store.snapshot().has("signal_grams")
+    assert rows_of(reporting.search(store.table, "aspi", index=jobs.name_index(store))) == rows_of(reporting.search(store.table, "aspi"))
+    assert store.snapshot().has("signal_grams")
+
+
+def test_trigrams(spark):
+    from signalmill.operators import search
+
+    assert search.wanted("Rash") == ["ras", "ash"] and search.wanted("ab%cd_efg") == ["efg"] and search.wanted("") == []
+    names = spark.createDataFrame([(n,) for n in ("abcabc", "ab", "", None, "ABC", "xabcd")], "name string")
+    index = search.postings(names)
+    assert {r["gram"] for r in index.where("name = 'abcabc'").collect()} == {"abc", "bca", "cab"}
+    assert {r[0] for r in search.candidates(index, "abc").collect()} == {"abcabc", "ABC", "xabcd"} and {r[0] for r in search.candidates(index, "b").collect()} == {"abcabc", "ab", "", "ABC", "xabcd"}
+
+
+# --- live back-ends, from captured answers ---
+
+
+def test_posts_by_search(spark, tmp_path):
+    import json
+
+    from signalmill.project import SourceConfig
+
+    tweets = [{"id": "7", "text": "dolo rash", "createdAt": "Tue Dec 10 07:00:30 +0000 2024", "lang": "en", "author": {"userName": "ann"}}, {"id": "8", "text": "later", "createdAt": None}, {"id": None, "text": "no id"}, {"id": "9", "text": "beyond"}]
+    (tmp_path / "search.json").write_text(json.dumps({"tweets": tweets}))
+    (tmp_path / "old.json").write_text(json.dumps([{"id": "1", "author": "b", "created_at": "2024-01-05T00:00:00Z", "lang": "en", "text": "captured"}]))
+    read = lambda **p: {r["external_id"]: r for r in registry.read(spark, SourceConfig("s", "x", p), F.lit(NOW)).collect()}
+    live = read(api_key="k", query="dolo", search_url=f"file://{tmp_path}/search.json", max_results=3)
+    assert set(live) == {"x:7", "x:8"} and live["x:7"]["posted_at"] == datetime(2024, 12, 10, 7, 0, 30) and live["x:7"]["author_handle"] == "ann" and live["x:7"]["url"] == "https://x.com/i/status/7"
+    assert live["x:8"]["posted_at"] == NOW.replace(tzinfo=None)
+    assert set(read(api_key="k", query="dolo", search_url=f"file://{tmp_path}/away.json", path=str(tmp_path / "old.json"))) == {"x:1"} == set(read(path=str(tmp_path / "old.json")))
+
+
+def test_terms_of_a_server(tmp_path, capsys):
+    import http.server
+    import json
+    import threading
+
+    from signalmill import cli
+    from signalmill.functions import keywords
+
+    said = ['Here: ["loose motion", " dast ", 3, ""] done', "no list", '{"a": [1}']
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            answer = json.dumps({"response": said[min(len(asked), len(said)) - 1]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/generate"
+    try:
+        ask = keywords.server_terms(url, "m")
+        assert ask("diarrhea") == ["loose motion", "dast"] and ask("x") == ask("x") == [] and asked[0]["model"] == "m" and "diarrhea" in asked[0]["prompt"]
+        del asked[:]
+        for _ in range(2):
+            assert cli.main(["expand", "diarrhea", "--ask", url, "--cache", str(tmp_path / "c.json")]) == 0
+        assert "loose motion" in capsys.readouterr().out and len(asked) == 1
+    finally:
+        server.shutdown()
+    assert keywords.server_terms("http://127.0.0.1:9/", "m", timeout=1)("x") == []
