@@ -271,15 +271,15 @@ def search_like(spark, sf_dir):
     return reporting.search(roles.tables(spark, sf_dir), "Ra")
 
 
-@query(f"""{_W} (SELECT 'signal' AS kind, CAST(id AS VARCHAR) AS id, drug || ' → ' || event AS label FROM signals WHERE contains(lower(drug), 'eta') OR contains(lower(event), 'eta') OR contains(lower(drug), 'che') OR contains(lower(event), 'che')) UNION ALL
+@query(f"""{_W} (SELECT 'signal' AS kind, CAST(id AS VARCHAR) AS id, drug || ' → ' || event AS label FROM signals WHERE contains(lower(drug), 'aceta') OR contains(lower(event), 'aceta')) UNION ALL (SELECT 'signal', CAST(id AS VARCHAR), drug || ' → ' || event FROM signals WHERE contains(lower(drug), 'spiri') OR contains(lower(event), 'spiri')) UNION ALL
 (SELECT 'project', id, name FROM projects WHERE false)""")
 def search_index(spark, sf_dir):
-    """Signals by parts of their names, by an index of trigrams that is written beside them; those of two searches together."""
+    """Signals by parts of their names, by an index of trigrams that is written beside them; those of two searches one after another."""
     t, path = roles.tables(spark, sf_dir), f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
     search.postings(jobs.names_of(t("signals"))).write.partitionBy("bucket").parquet(path)
     index = spark.read.parquet(path)
-    found = [reporting.search(t, q, 1 << 30, 0, 0, index) for q in ("Eta", "CHE")]
-    return found[0].unionByName(found[1]).distinct()
+    found = [reporting.search(t, q, 1 << 30, 0, 0, index) for q in ("Aceta", "SPIRI")]
+    return found[0].unionByName(found[1])
 
 
 @query(f"{_W} SELECT (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM records) AS records, (SELECT count(*) FROM signals) AS signals, (SELECT count(*) FROM audit_log) AS audit_log")
