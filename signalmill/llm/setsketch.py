@@ -37,8 +37,8 @@ CENTRES = 4
 TILE = 500
 #: Twice the log-likelihood ratio by which an estimate below LEAST must be likelier than LEAST to drop a pair: five standard errors.
 DOUBT = 25.0
-#: Bits of parity for each element. A pair that is just not similar enough mostly has too many bits that differ.
-PARITY = 8
+#: Bits of parity for each element, and of any set. A pair that is just not similar enough mostly has too many bits that differ.
+PARITY, LEAST_BITS = 8, 1 << 10
 #: Similarities by parity from which a pair is taken to link, so that one such pair of two groups of a tile is enough; the next value is tried
 #: where one of them doesn't link, the last one asks for every pair that parities leave.
 LEVELS = (0.82, 2.0)
@@ -103,7 +103,7 @@ def alike(a: int, b: int, both: int) -> bool:
 
 def parities(codes: np.ndarray) -> bytes:
     """For each of a power of two of bits, PARITY an element at least, whether an odd number of elements falls on it."""
-    bits = max(64, 1 << (PARITY * len(codes) - 1).bit_length()) if len(codes) else 64
+    bits = max(LEAST_BITS, 1 << (PARITY * len(codes)).bit_length())
     odd = np.bincount((codes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
