@@ -18,11 +18,11 @@ from .catalog import _HASH, _t, query
 
 # A sentence, whether a trigger is in it, its label and score, the terms that a negator suppresses.
 SENTENCES = [
-    ("Took Crocin 650 for fever, ended up with bad stomach pain and rash.", True, "adverse", -1.0, ""),
-    ("Patient denies any rash or vomiting after the dose.", False, "positive", 1.0, "rash,vomiting"),
-    ("Telma 40 + Ecosprin combo getting daily dizziness.", True, "adverse", -1.0, ""),
-    ("Just took some painkillers and feeling much better.", False, "positive", 1.0, ""),
-    ("Dolo lene ke baad pet mein dard ho raha hai.", True, "adverse", -1.0, ""),
+    ("Crocin 650 against a fever, and I ended up with stomach pain, then a bad rash.", True, "adverse", -1.0, ""),
+    ("She denies rash and vomiting since the dose.", False, "positive", 1.0, "rash,vomiting"),
+    ("On Telma 40 with Ecosprin I keep getting daily dizziness.", True, "adverse", -1.0, ""),
+    ("A few painkillers later I feel much better.", False, "positive", 1.0, ""),
+    ("Dolo khane ke baad se pet mein dard hai.", True, "adverse", -1.0, ""),
     ("Metformin works well, no side effects so far.", True, "positive", 1.0, "side effects"),
     ("Zantac 150 was recalled over ndma contamination.", True, "adverse", -1.0, ""),
     ("Good relief from headache after taking disprin.", True, "adverse", -0.5, ""),
