@@ -576,3 +576,11 @@ def test_synthetic(spark):
     df = feeds.synthetic(spark)
     assert df.count() == 150 and df.where(F.contains("text", F.lit("dermacult")) & F.contains("text", F.lit("angioedema"))).count() >= 18
     assert feeds.healthy(df) and not feeds.healthy(df.limit(0)) and "synthetic" not in registry.READERS
+
+
+def test_references_without_a_semicolon_stay_if_asked(spark):
+    body = "word " * 20
+    page = f"<title>A&amp;&amp</title><article><p>{body}&amp;&lt;&am &#38;</p></article>"
+    rows = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
+    texts = lambda **how: [r["text"] for r in html.page_blocks(rows, **how).collect()]
+    assert texts(unclosed=False) == [f"A&&amp\n\n{body}&<&am &"] and texts() == [f"A&&\n\n{body}&<&am &"]
