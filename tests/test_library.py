@@ -584,3 +584,27 @@ def test_references_without_a_semicolon_stay_if_asked(spark):
     rows = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
     texts = lambda **how: [r["text"] for r in html.page_blocks(rows, **how).collect()]
     assert texts(unclosed=False) == [f"A&&amp\n\n{body}&<&am &"] and texts() == [f"A&&\n\n{body}&<&am &"]
+
+
+def test_personal_data_of_documents_is_that_of_the_sql(spark, tmp_path):
+    """Numbers in a document's own text: the SQL of whole_pii and whole_redacted looks for its mail addresses only, every_pii for all."""
+    rows = [(0, "Key 12ab838394cd, a@b.example\n560034"), (1, "9225426587 é x.y@z.example"), (2, None), (3, "")]
+    spark.createDataFrame([(k, "src1", t) for k, t in rows], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()
+    hits = {(r["doc_id"], r["type"], r["match"]) for r in found["whole_pii"](spark, str(tmp_path)).collect()}
+    assert {h for h in hits if h[0] < 2} == {(0, "EMAIL", "a@b.example"), (0, "EMAIL", "a.b@mail.example"), (0, "PAN", "ABCDE1234F"), (1, "EMAIL", "x.y@z.example"), (1, "PHONE_IN", "9876543210")}
+    red = {r["doc_id"]: (r["text_redacted"], r["hits"]) for r in found["whole_redacted"](spark, str(tmp_path)).collect()}
+    assert red[0] == ("Key 12ab838394cd, <EMAIL>\n560034 \n;PAN <PAN> and mail <EMAIL> now", 3) and red[2] == (" \n;<ADDRESS>.", 1)
+    every = {(r["doc_id"], r["type"], r["match"], r["start"]) for r in found["every_pii"](spark, str(tmp_path)).collect()}
+    assert {(0, "PIN_IN", "838394", 8), (1, "PHONE_IN", "9225426587", 0)} <= every and {h[:3] for h in every} > hits
+
+
+def test_addresses_are_those_of_the_whole_text():
+    import random
+
+    rng, address, code = random.Random(5), *extract._address()
+    parts = ["flat no. 560034", "h.no 12", "H.No. 560034", "near", "é", ".", ";", ":", " ", "\n", "560034", "1234567", "-", ",", "x560034"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        want = [m.span() for m in address.finditer(t) if code.search(m.group())]
+        assert [(h["start"], h["end"]) for h in extract.pii_hits(t, ["ADDRESS"])] == want
