@@ -231,51 +231,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int)
     return common.materialise(pairs.sparkSession, found.drop("p", "q"), "setsketch-links")
 
 
-_STAR = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over all of a bounded number of links (node, root): each linked node but its component's smallest, with that one."""
-    names: dict[int, int] = {}
-    pairs = [(x, y) for batch in batches for x, y in zip(*(c.to_pylist() for c in batch.columns))]
-    for x in sorted({n for p in pairs for n in p}):
-        names[x] = len(names)
-    groups, of = _Groups(len(names)), list(names)
-    for x, y in pairs:
-        groups.unite(names[x], names[y])
-    rows = [(of[k], of[groups.find(k)]) for k in range(len(of))]
-    rows = [r for r in rows if r[0] != r[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=_STAR.names)
-
-
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, root) of stored links: as simhash.connected, which takes turns of joins; up to SMALL links are united in one task at once."""
-    if links.count() > simhash.SMALL:
-        return simhash.connected(spark, links)
-    return common.materialise(spark, links.select("node", "root").coalesce(1).mapInArrow(_united, _STAR), "setsketch-roots")
-
-
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sure", T.BooleanType())])
 
 
-class _Groups:
-    """Disjoint sets of numbers below n."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def unite(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray, size: np.ndarray, matrix: np.ndarray, parity: Parities, level: float) -> Iterator[tuple[int, int, bool]]:
     """Pairs of places in a tile (of all of it, or across its sides) that are of different components, have this band as the first that they
     share, and may be LEAST alike by their registers and by parity. Of pairs that reach `level` by parity, one for each two groups, the
@@ -299,7 +257,7 @@ def tile_pairs(band: int, whole: bool, side: np.ndarray, component: np.ndarray,
         value, possible = by_parity(*parity.apart(k, other), size[k] + size[other])
         found.extend((-v, k, j) for v, j in zip(value[possible].tolist(), other[possible].tolist()))
     names = np.unique(component, return_inverse=True)[1].tolist()
-    groups = _Groups(len(names))
+    groups = simhash.Groups(len(names))
     for value, k, j in sorted(found):
         x, y = names[k], names[j]
         if groups.find(x) != groups.find(y):
@@ -395,7 +353,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     linked = lambda found: found.where("link").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     links = linked(_verified(stars, nodes, rows, shingle))
     for level in LEVELS:
-        roots = components(spark, links)
+        roots = simhash.components(spark, links)
         known = shared.select("key", "band", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
         tiles = _tiles(common.materialise(spark, known, "setsketch-known"), nodes)
         common.bound_batches(spark)
@@ -408,7 +366,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         links = links.unionByName(linked(found))
         wrong = found.where("NOT link").join(pairs.where("sure"), ["a", "b"], "left_semi")
         if wrong.isEmpty():
-            roots = components(spark, links)
+            roots = simhash.components(spark, links)
             break
     ends = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     least = ends.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))

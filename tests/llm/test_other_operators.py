@@ -409,3 +409,15 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_large_shards_lose_no_near_copies(spark, monkeypatch):
+    """Pairs that are just similar enough, each in shards above the limit."""
+    monkeypatch.setattr(simhash, "SHARD_TEXTS", 1)
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(66)]
+        rows += [(2 * k, " ".join(words[:60])), (2 * k + 1, " ".join(words[:54] + words[60:]))]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(400)) == 400 and len(set(got.values())) == 400
