@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import operator
+import os
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +31,31 @@ def _java(needle: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", needle)
 
 
+def _same(char: str) -> str:
+    """One for all characters that Java's engine takes to be the same but for letter case."""
+    for to in (char.upper(), char.lower()):
+        char = to if len(to) == 1 else char
+    return {"\u0130": "i"}.get(char, char)
+
+
+def _branches(needles: Iterable[str]) -> str:
+    """The needles as a tree of their characters, of which a text's next one leaves one branch at most; the longest is tried first."""
+    heads: dict[str, list[str]] = {}
+    for n in needles:
+        if n:
+            heads.setdefault(n[0], []).append(n[1:])
+    ends, parts = len(heads) and "" in needles, []
+    for head, rest in sorted(heads.items()):
+        shared = os.path.commonprefix(rest)
+        parts.append(_java(head + shared) + _branches({r[len(shared) :] for r in rest}))
+    if len(parts) > 1 or ends:
+        return f"(?:{'|'.join(parts)}){'?' if ends else ''}"
+    return "".join(parts)
+
+
 def alternation(needles: Iterable[str]) -> str:
-    """Longest first, so that a scan from the left keeps the longest name of those that overlap."""
-    return f"(?iu){LEFT}({'|'.join(map(_java, sorted(set(needles), key=lambda n: (-len(n), n))))}){RIGHT}"
+    """The longest of those that a place has, so that a scan from the left keeps the longest name of those that overlap."""
+    return f"(?iu){LEFT}({_branches({''.join(map(_same, n)) for n in needles})}){RIGHT}"
 
 
 def mentions(text: Column, names: Mapping[str, str]) -> Column:
@@ -61,7 +86,9 @@ def has_mention(text: Column, names: Iterable[str]) -> Column:
 
 
 def has_trigger(text: Column) -> Column:
-    return text.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in lexicon.ADR_TRIGGERS))
+    """In any letter case; a pattern is tried only in texts that hold its first letters."""
+    found = lambda low: reduce(operator.or_, ((F.contains(low, F.lit(held)) if held else F.lit(True)) & low.rlike("(?U)" + p) for held, p in lexicon.trigger_starts()))
+    return F.element_at(F.transform(F.array(F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))), found), 1)
 
 
 def pairs(a: Column, b: Column) -> Column:
