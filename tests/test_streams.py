@@ -578,3 +578,10 @@ def test_terms_of_a_server(tmp_path, capsys):
     finally:
         server.shutdown()
     assert keywords.server_terms("http://127.0.0.1:9/", "m", timeout=1)("x") == []
+
+
+def test_letters_differ_by_no_more_than_edits():
+    from signalmill.functions import near
+
+    for a, b, edits in (("telmisartan", "telmisartn", 1), ("aaaa", "aa", 2), ("", "é", 1), ("abcabc", "cbacba", 0), ("ondansetron", "ondansteron", 0)):
+        assert ((near.letters(a) ^ near.letters(b)) & (1 << 64) - 1).bit_count() <= edits
