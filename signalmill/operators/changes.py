@@ -40,10 +40,10 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, drop_parents: bool =
 
 def first_writers(df: DataFrame, key: str, order: list[str], copies: str | None = None) -> DataFrame:
     """One row of each key: the first in order, with the number of its rows if `copies` names a column for it. Aggregated, so that a
-    key with most of the rows meets in few rows a task."""
+    key with most of the rows meets in few rows a task. The key stays the grouped column, so that a join on it deals no row again."""
     row = F.struct(*(F.col(c).alias(c) for c in df.columns))
     by = df.groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("_row"), F.count("*").alias("_n"))
-    return by.select("_row.*", *([F.col("_n").alias(copies)] if copies else []))
+    return by.select(*(c if c == key else F.col(f"_row.{c}") for c in df.columns), *([F.col("_n").alias(copies)] if copies else []))
 
 
 def _first_of_batch(batch: DataFrame, order: list[str]) -> DataFrame:
@@ -80,13 +80,17 @@ def keys_of(records: DataFrame) -> DataFrame:
 
 
 def unknown_records(batch: DataFrame, keys: DataFrame, order: list[str] = ("posted_at", "external_id")) -> DataFrame:
-    """As new_records, against stored keys instead of records: of these only the buckets are read that the batch's keys are in."""
-    once = _first_of_batch(batch, order).withColumns({"_source_key": _source_key(), "_hash_key": _hash_key()})
-    buckets = once.select(F.explode(F.array(_bucket(F.col("_source_key")), _bucket(F.col("_hash_key")))).alias("b")).distinct().collect()  # KEY_BUCKETS numbers
-    known = keys.where(F.col("bucket").isin([r["b"] for r in buckets])).select("key")
-    for own in ("_source_key", "_hash_key"):
-        once = once.join(known.withColumnRenamed("key", own), own, "left_anti")
-    return once.select(*batch.columns)
+    """As new_records, against stored keys instead of records: of these only the buckets are read that the batch's keys are in. Rows are dealt
+    twice, by source key and by hash, each time for the first of the batch and the stored keys at once; so a row whose source key is stored is only
+    marked before the firsts of the hashes are found."""
+    keyed = batch.withColumn("_key", _source_key())
+    buckets = keyed.select(F.explode(F.array(_bucket(F.col("_key")), _bucket(_hash_key()))).alias("b")).distinct().collect()  # KEY_BUCKETS numbers
+    known = keys.where(F.col("bucket").isin([r["b"] for r in buckets]))
+    sources = known.where(F.startswith("key", F.lit("s\x1f"))).select(F.col("key").alias("_key"), F.lit(True).alias("_known"))
+    hashes = known.where(F.startswith("key", F.lit("h\x1f"))).select(F.expr("substring(key, 3)").alias("content_hash"))
+    once = first_writers(keyed, "_key", list(order)).join(sources, "_key", "left")
+    once = first_writers(once, "content_hash", list(order)).join(hashes, "content_hash", "left_anti")
+    return once.where(F.col("_known").isNull()).select(*batch.columns)
 
 
 def high_water(records: DataFrame, source: str = "source_id", at: str = "posted_at", ident: str = "external_id") -> DataFrame:

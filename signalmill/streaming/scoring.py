@@ -12,8 +12,9 @@ from ..tables import settled
 
 
 def labels(label: str = "sentiment_label", text: str = "text_redacted") -> Column:
-    """The stored label, of records without one that of their text."""
-    return F.coalesce(F.nullif(label, F.lit("")), extract.sentiment_of(text)["label"])
+    """The stored label, of records without one that of their text; other texts aren't sent to be judged."""
+    given = F.nullif(label, F.lit(""))
+    return F.coalesce(given, extract.sentiment_label(F.when(given.isNull(), F.col(text))))
 
 
 def adverse_label(label: Column) -> Column:
@@ -22,7 +23,7 @@ def adverse_label(label: Column) -> Column:
 
 def pairs_of(records: DataFrame) -> DataFrame:
     """(record, drug, event, source_id, posted_at, ...), once a record, of the texts as they are stored."""
-    found = records.select(F.col("id").alias("record"), "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", F.explode(extract.ner_entities("text_redacted")["pairs"]).alias("p"))
+    found = records.select(F.col("id").alias("record"), "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", F.explode(extract.ner_pairs("text_redacted")).alias("p"))
     return found.select("record", "source_id", "posted_at", "ingested_at", "sentiment_label", "text_redacted", "p.drug", "p.event")
 
 

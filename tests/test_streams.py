@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalmill import store as stores
 from signalmill.errors import ConflictError
 from signalmill.functions import extract
-from signalmill.operators import counters, timeline
+from signalmill.operators import changes, counters, timeline
 from signalmill.operators import disproportionality as dp
 from signalmill.plans import reporting
 from signalmill.project import Project
@@ -107,6 +107,34 @@ def test_small_folders_of_counts_are_added_up(spark, tmp_path, monkeypatch):
     assert store.table("pair_counts").groupBy(*counters.KEYS).count().where("count > 3").isEmpty()
 
 
+def test_pairs_alone_are_those_of_entities(spark):
+    texts = [*TEXTS, "Dolo DOLO and rash, Rash", "paracetamol or dolo: RASH", "aspirin", "rash", None, "Dolo gave me rash"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = rows.select("id", extract.ner_pairs("t").alias("alone"), extract.ner_entities("t")["pairs"].alias("whole")).orderBy("id").collect()
+    assert [r["alone"] for r in got] == [r["whole"] for r in got] and sum(map(len, (r["alone"] for r in got))) > 8
+    labels = rows.select("id", F.when(F.col("id") % 2 == 0, F.lit("kept")).alias("sentiment_label"), F.col("t").alias("text_redacted")).select("id", scoring.labels().alias("l")).orderBy("id")
+    assert [r["l"] for r in labels.collect()] == ["kept" if k % 2 == 0 else extract.sentiment(t)["label"] for k, t in enumerate(texts)]
+
+
+def test_a_batch_is_dealt_by_each_key_once(spark, tmp_path):
+    """For its repeats and for the stored keys at once, with what new_records gives: a row of a stored source key is still the first of its hash."""
+    store = Store(spark, str(tmp_path / "tables"))
+    stored(spark, store, range(20))
+    seventh = store.table("records").where("external_id = 'e7'").first()["content_hash"]
+    at = datetime(2024, 5, 2, tzinfo=timezone.utc)
+    rows = [(1, "e5", "new", at), (1, "e90", "new", at + timedelta(1)), (1, "e91", seventh, at), (1, "e92", "a", at), (1, "e92", "b", at + timedelta(1)), (2, "e92", "b", at), (2, "e5", "c", at), (2, "e6", "c", at + timedelta(1))]
+    batch = spark.createDataFrame(rows, "source_id long, external_id string, content_hash string, posted_at timestamp")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = changes.unknown_records(batch, store.table("record_keys"))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(new) == rows_of(changes.new_records(batch, store.table("records"))) and sorted(r["content_hash"] for r in new.collect()) == ["a", "b", "c"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert plan.count("Exchange hashpartitioning(") == 4  # the batch twice, the stored keys twice
+
+
 # --- event time ---
 
 
