@@ -66,7 +66,8 @@ def _source_key() -> Column:
 
 
 def _hash_key() -> Column:
-    return F.concat_ws("\x1f", F.lit("h"), "content_hash")
+    """Null without a hash, which makes no record a duplicate."""
+    return F.concat(F.lit("h\x1f"), "content_hash")
 
 
 def _bucket(key: Column) -> Column:
@@ -74,8 +75,9 @@ def _bucket(key: Column) -> Column:
 
 
 def keys_of(records: DataFrame) -> DataFrame:
-    """(key, bucket): what makes a later record a duplicate, two rows a record; dealt by bucket, so that a bucket is one file."""
-    keys = records.select(F.explode(F.array(_source_key(), _hash_key())).alias("key"))
+    """(key, bucket): what makes a later record a duplicate, two rows a record, one of a record without a hash; dealt by bucket, so that a bucket is
+    one file."""
+    keys = records.select(F.explode(F.array_compact(F.array(_source_key(), _hash_key()))).alias("key"))
     return keys.withColumn("bucket", _bucket(F.col("key"))).repartition("bucket")
 
 

@@ -135,6 +135,19 @@ def test_a_batch_is_dealt_by_each_key_once(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning(") == 4  # the batch twice, the stored keys twice
 
 
+def test_records_without_a_hash_share_no_key(spark, tmp_path):
+    """Else half of all keys would meet in one task, and any later record without a hash would be held to be known."""
+    schema = "source_id long, external_id string, content_hash string, posted_at timestamp"
+    at = datetime(2024, 5, 2, tzinfo=timezone.utc)
+    kept = spark.createDataFrame([(1, f"e{k}", None, at) for k in range(500)] + [(1, "e500", "a", at)], schema)
+    keys = changes.keys_of(kept)
+    assert keys.count() == 502 and keys.groupBy("bucket").count().agg(F.max("count")).first()[0] < 20
+    batch = spark.createDataFrame([(1, "e3", None, at), (1, "e600", "a", at), (1, "e601", "b", at)], schema)
+    assert rows_of(changes.unknown_records(batch, keys)) == rows_of(changes.new_records(batch, kept))
+    later = spark.createDataFrame([(1, "e602", None, at)], schema)
+    assert [r["external_id"] for r in changes.unknown_records(later, keys).collect()] == ["e602"]
+
+
 # --- event time ---
 
 
