@@ -633,3 +633,11 @@ def test_terms_and_triggers_are_those_of_the_patterns(spark):
     ours, began = time.process_time() - began, time.process_time()
     every.search(long)
     assert ours < time.process_time() - began
+
+
+def test_blocks_of_a_page_are_whole(spark):
+    said = [f"{k} {'word ' * 20}".strip() for k in range(450)]
+    rows = spark.createDataFrame([(1, "http://h/", "".join(f"<p>{t}</p>" for t in said + said[:9]))], "page_id long, url string, html string")
+    assert html.blocks("".join(f"<li>{t}</li>" for t in said))[1] == said
+    for how in (True, False):
+        assert [(r["nth"], r["text"]) for r in html.page_blocks(rows, unclosed=how).orderBy("nth").collect()] == list(enumerate(said))
