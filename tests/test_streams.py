@@ -626,3 +626,70 @@ def test_letters_differ_by_no_more_than_edits():
 
     for a, b, edits in (("telmisartan", "telmisartn", 1), ("aaaa", "aa", 2), ("", "é", 1), ("abcabc", "cbacba", 0), ("ondansetron", "ondansteron", 0)):
         assert ((near.letters(a) ^ near.letters(b)) & (1 << 64) - 1).bit_count() <= edits
+
+
+def syllables(rng, n, of=("th", "er", "ing", "on", "tion", "en", "sch", "é", "que", "ou", "ß", "ía")):
+    return list(dict.fromkeys("".join(rng.choice(of) for _ in range(rng.randrange(3, 8))) for _ in range(n)))
+
+
+def test_near_names_of_many_words_end_in_time(spark):
+    """30,000 terms by 1,500 names of few syllables: nearly all share a segment of two letters with many."""
+    import random
+    import time
+
+    from signalmill.functions.near import near_names, ratio
+
+    rng = random.Random(7)
+    terms, names = syllables(rng, 31_000)[:30_000], syllables(rng, 1_600)[:1_500]
+    frames = spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")
+    near_names(*(df.limit(10) for df in frames)).count()
+    began = time.perf_counter()
+    got = near_names(*frames).collect()
+    assert time.perf_counter() - began < 12
+    mine = {t: [(r["name"], r["ratio"]) for r in sorted(got, key=lambda r: r["nth"]) if r["term"] == t] for t in terms[:40]}
+    for t, of in mine.items():
+        want = sorted(((ratio(n, t), n) for n in names), reverse=True)[:8]
+        assert of == [(n, r) for r, n in want if r >= 0.82]
+
+
+@pytest.mark.parametrize("cutoff", [0.5, 0.82, 1.0])
+def test_near_names_of_odd_texts(spark, monkeypatch, cutoff):
+    """Long ones, of many characters, outside the first plane, in more than one block; terms all of one letter."""
+    import random
+
+    from signalmill.functions import near
+
+    monkeypatch.setattr(near, "NAMES", 40)
+    rng = random.Random(3)
+    names = ["x" * n for n in (1, 2, 62, 63, 64, 65, 66, 130, 250)] + ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randrange(2, 70))) for _ in range(90)] + ["😀😃a", "a\0", "\0a", "é", "e\u0301", " "]
+    terms = ["x" * n for n in (1, 3, 60, 64, 65, 70, 200)] + [*names[9:40], "😀😄a", "a", "a\0\0", ""] + [n[: len(n) // 2] + "xy" + n[len(n) // 2 + 1 :] for n in names]
+    got = near.near_names(spark.createDataFrame([(t,) for t in [*terms, None]], "term string"), spark.createDataFrame([(n,) for n in [*names, *names, None, ""]], "name string"), cutoff, 3)
+    want = {(t, n, r, k) for t in set(terms) - {""} for k, (r, n) in enumerate(sorted(((near.ratio(n, t), n) for n in set(names)), reverse=True)[:3], 1) if r >= cutoff}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def test_near_names_of_empty_tables(spark):
+    from signalmill.functions.near import near_names
+
+    some, none = spark.createDataFrame([("abcdef",)], "x string"), spark.createDataFrame([], "x string")
+    assert not near_names(some.toDF("term"), none.toDF("name")).collect() and not near_names(none.toDF("term"), some.toDF("name")).collect()
+
+
+def test_bits_of_many_texts_are_those_of_each():
+    from signalmill.functions import near
+
+    for texts in (["nausea", "banana", "aaaaaa", "éß😀abc"], ["x" * 64, "ab" * 32], ["y" * 65]):
+        assert near._groups(texts)[0].bits.tolist() == [near.letters(t) for t in texts]
+
+
+def test_chunks_hold_each_text_once(monkeypatch):
+    import pyarrow as pa
+
+    from signalmill.functions import near
+
+    monkeypatch.setattr(near, "TERMS", 30)
+    monkeypatch.setattr(near, "CHARS", 100)
+    texts = ["x" * 300, *map(str, range(200)), "y" * 99, "zz"]
+    got = [b.column(0)[0].as_py() for b in near._chunks(pa.RecordBatch.from_arrays([pa.array(texts[k : k + 64])], ["t"]) for k in range(0, len(texts), 64))]
+    assert sum(got, []) == texts and max(map(len, got)) == 30 and all(len(c) == 1 or sum(map(len, c)) <= 100 for c in got)
+    assert list(near._chunks(iter([]))) == []
