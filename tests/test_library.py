@@ -641,3 +641,14 @@ def test_blocks_of_a_page_are_whole(spark):
     assert html.blocks("".join(f"<li>{t}</li>" for t in said))[1] == said
     for how in (True, False):
         assert [(r["nth"], r["text"]) for r in html.page_blocks(rows, unclosed=how).orderBy("nth").collect()] == list(enumerate(said))
+
+
+def test_blocks_of_long_pages_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    page = lambda k, n: f"<html><head><title>T{k} &amp; more</title></head><body><article>" + "".join(f"<p>{j % (n - 3)} {'word ' * 20}</p>" for j in range(n)) + "</article></body></html>"
+    rows = [(k, f"http://h/{k}", page(k, n)) for k, n in enumerate([5, 199, 200, 201, 202, 203, 253, 1200])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["html_block_dedup"]).fetchall()
+    assert sorted(map(tuple, catalog.queries()["html_block_dedup"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == sum(1 + n - 3 for n in (5, 199, 200, 201, 202, 203, 253, 1200))
